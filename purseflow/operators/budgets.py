@@ -117,12 +117,13 @@ def budget_spend(
     Amounts are converted and rounded per row, so they cannot be added up by currency first;
     the join is salted because one (user, category) may hold a large share of the rows.
     """
-    expenses = filter_transactions(tx, direction=OUTBOUND)
-    if scope != "all":
-        expenses = expenses.filter(
-            (F.col("occurred_on") >= period_start(scope, anchor))
-            & (F.col("occurred_on") < period_end(scope, anchor))
-        )
+    dated = scope != "all"
+    expenses = filter_transactions(
+        tx,
+        start=period_start(scope, anchor) if dated else None,
+        end=F.date_sub(period_end(scope, anchor), 1) if dated else None,
+        direction=OUTBOUND,
+    )
     targets = limits.select(
         *KEY, F.col("currency").alias("target_currency"), "period_start", "period_end"
     )
@@ -226,7 +227,7 @@ def carry_over_funds(
             money_sum(F.when(F.col("occurred_on") <= end, flow)).alias(f"_{scope}")
             for scope, end in ends.items()
         ]
-        held = converted.filter(F.col("occurred_on") <= last).groupBy("user_id").agg(*sums)
+        held = filter_transactions(converted, end=last).groupBy("user_id").agg(*sums)
         people = people.join(held, "user_id", "left")
     amounts = [
         F.struct(

@@ -2,8 +2,11 @@
 
 A batch row has a sequence number ``seq`` (unique in the batch) and an ``op``. Results equal
 applying the rows one by one in that order. Each function returns the new table, and where
-rows can fail also the rejected rows with a ``reason``. Tables are only left-joined or
-anti-joined to the batch, so a batch under the broadcast threshold never shuffles the table.
+rows can fail also the rejected rows with a ``reason``.
+
+Checked batches are staged in the shared folder: several outputs use them, and the planner
+knows their size. Tables are only left-, semi- or anti-joined to a batch, so a batch under the
+broadcast threshold never shuffles the table.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from purseflow.operators.ledger import (
     write_currency,
 )
 from purseflow.operators.skew import previous_value
+from purseflow.schemas import MONTH_COLUMN
+from purseflow.session import staged
 
 PATCHABLE = ("category_id", "amount", "currency", "occurred_on", "occurred_time", "description")
 USER_FIELDS = ("name", "email", "base_currency", "default_region")
@@ -39,14 +44,34 @@ def _patched(field: str, change: Column | None = None) -> Column:
     return F.when(F.col(f"_{field}").isNotNull(), value).otherwise(F.col(field)).alias(field)
 
 
-def _alive(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Split matched rows at the first delete of their key: (deletes, other rows before it)."""
+def _matching(table: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a large table whose key occurs in a batch: a semi join, so that the batch can be
+    broadcast and the table is not shuffled."""
+    return table.join(wanted.select(*keys).distinct(), keys, "left_semi")
+
+
+def _bases(users: DataFrame, changes: DataFrame) -> DataFrame:
+    """Base currency of the users a batch mentions."""
+    people = users.select(F.col("id").alias("user_id"), F.col("base_currency").alias("_base"))
+    return _matching(people, changes, ["user_id"])
+
+
+def _owned(rows: DataFrame, edits: DataFrame) -> DataFrame:
+    """Edits whose row exists by then and belongs to the same user."""
+    owners = rows.select("id", F.col("user_id").alias("_owner"), "_born")
+    known = owners.join(edits, "id")
+    return known.filter(
+        (F.col("_owner") == F.col("user_id")) & (F.col("seq") > F.col("_born"))
+    ).drop("_owner", "_born")
+
+
+def _done(owned: DataFrame) -> DataFrame:
+    """Owned edits up to and including the first delete of their row."""
     deletes = (
-        rows.filter(F.col("op") == "delete").groupBy(key).agg(F.min("seq").alias("_gone_at"))
+        owned.filter(F.col("op") == "delete").groupBy("id").agg(F.min("seq").alias("_gone_at"))
     )
-    others = rows.filter(F.col("op") != "delete").join(deletes, key, "left")
-    before = F.col("_gone_at").isNull() | (F.col("seq") < F.col("_gone_at"))
-    return deletes, others.filter(before).drop("_gone_at")
+    within = F.col("_gone_at").isNull() | (F.col("seq") <= F.col("_gone_at"))
+    return owned.join(deletes, "id", "left").filter(within).drop("_gone_at")
 
 
 # ----------------------------------------------------------------------------- transactions
@@ -56,12 +81,12 @@ def transaction_inserts(
     changes: DataFrame, categories: DataFrame, users: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """(accepted inserts with their currency resolved, rejected inserts)."""
-    checked = with_direction_reason(changes.filter(F.col("op") == "insert"), categories)
-    bases = users.select(F.col("id").alias("user_id"), "base_currency")
-    accepted = checked.filter(F.col("reason").isNull()).join(bases, "user_id", "left")
-    code = write_currency(F.col("currency"), F.col("region"), F.col("base_currency"))
+    asked = changes.filter(F.col("op") == "insert")
+    code = write_currency(F.col("currency"), F.col("region"), F.col("_base"))
+    resolved = asked.join(_bases(users, asked), "user_id", "left").withColumn("currency", code)
+    checked = staged(with_direction_reason(resolved.drop("_base"), categories), "inserts")
     return (
-        accepted.withColumn("currency", code).drop("base_currency", "reason"),
+        checked.filter(F.col("reason").isNull()).drop("reason"),
         checked.filter(F.col("reason").isNotNull()),
     )
 
@@ -74,18 +99,20 @@ def apply_transactions(
     Patches list the fields they set in ``fields`` and never change the direction. A patch or
     delete of an unknown, already deleted or other user's row is rejected.
     """
+    base = base.drop(MONTH_COLUMN)
     columns = base.columns
     inserts, bad_inserts = transaction_inserts(changes, categories, users)
     rows = base.withColumn("_born", F.lit(-1).cast("bigint")).unionByName(
         inserts.select(*columns, F.col("seq").cast("bigint").alias("_born"))
     )
     edits = changes.filter(F.col("op").isin("patch", "delete"))
-    owned = edits.join(
-        rows.select("id", F.col("user_id").alias("_owner"), "_born"), "id"
-    ).filter((F.col("_owner") == F.col("user_id")) & (F.col("seq") > F.col("_born")))
-    deletes, patches = _alive(owned, "id")
-    fold = patches.groupBy("id").agg(*[_last_set(field) for field in PATCHABLE])
-    merged = rows.join(deletes.select("id"), "id", "left_anti").join(fold, "id", "left")
+    owned = staged(_owned(rows, edits), "edits")
+    # A deleted row is gone whatever its patches, so only the rejects need their order.
+    effects = owned.groupBy("id").agg(
+        F.bool_or(F.col("op") == "delete").alias("_deleted"),
+        *[_last_set(field) for field in PATCHABLE],
+    )
+    merged = rows.join(effects, "id", "left").filter(~F.coalesce("_deleted", F.lit(False)))
     upper = F.upper(F.col("_currency.currency"))
     result = merged.select(
         *[
@@ -95,10 +122,7 @@ def apply_transactions(
             for name in columns
         ]
     )
-    done = patches.select("seq").union(
-        deletes.select(F.col("_gone_at").alias("seq"))
-    )
-    bad_edits = edits.join(done, "seq", "left_anti").select(
+    bad_edits = edits.join(_done(owned).select("seq"), "seq", "left_anti").select(
         "seq", "op", "id", "user_id", F.lit("transaction not found").alias("reason")
     )
     return result, bad_inserts.select("seq", "op", "id", "user_id", "reason").unionByName(bad_edits)
@@ -112,18 +136,13 @@ def apply_budgets(
 ) -> tuple[DataFrame, DataFrame]:
     """Upsert and delete budgets by (user, category, year, month)."""
     values = ["limit_amount", "currency"]
-    checked = with_budget_reason(changes, categories)
+    code = F.upper(F.coalesce(F.nullif("currency", F.lit("")), F.col("_base")))
+    resolved = changes.join(_bases(users, changes), "user_id", "left").withColumn("currency", code)
+    checked = staged(with_budget_reason(resolved.drop("_base"), categories), "budget-changes")
     refused = (F.col("op") == "upsert") & F.col("reason").isNotNull()
     bad = checked.filter(refused).select("seq", "op", *BUDGET_KEY, "reason")
-    bases = users.select(F.col("id").alias("user_id"), F.col("base_currency").alias("_base"))
-    code = F.upper(F.coalesce(F.nullif("currency", F.lit("")), F.col("_base")))
-    valid = (
-        checked.filter(~refused)
-        .join(bases, "user_id", "left")
-        .withColumn("currency", code)
-        .drop("_base", "reason")
-    )
-    held = base.select(*BUDGET_KEY).withColumn("_held", F.lit(True))
+    valid = checked.filter(~refused).drop("reason")
+    held = _matching(base.select(*BUDGET_KEY), valid, BUDGET_KEY).withColumn("_held", F.lit(True))
     # What stands before each row: the operation ahead of it in the batch, else the table.
     key = F.concat_ws("/", *BUDGET_KEY)
     ordered = previous_value(
@@ -147,14 +166,14 @@ def apply_budgets(
 def apply_fund_overrides(base: DataFrame, changes: DataFrame, users: DataFrame) -> DataFrame:
     """Upsert and reset opening-fund overrides; resetting a missing one does nothing."""
     values = ["amount", "currency"]
-    bases = users.select(F.col("id").alias("user_id"), F.col("base_currency").alias("_base"))
     code = F.upper(F.coalesce(F.nullif("currency", F.lit("")), F.col("_base")))
-    final = (
-        changes.join(bases, "user_id", "left")
+    last = (
+        changes.join(_bases(users, changes), "user_id", "left")
         .withColumn("currency", code)
         .groupBy(*FUND_KEY)
         .agg(F.max_by(F.struct("op", *values), "seq").alias("_last"))
     )
+    final = staged(last, "fund-changes")
     kept = base.join(final.select(*FUND_KEY), FUND_KEY, "left_anti")
     fresh = final.filter(F.col("_last.op") == "upsert").select(
         *FUND_KEY, *[F.col(f"_last.{name}").alias(name) for name in values]
@@ -178,15 +197,17 @@ def apply_profiles(
     rows = base.withColumn("_born", F.lit(-1).cast("bigint")).unionByName(
         created.select(*columns, F.col("seq").cast("bigint").alias("_born"))
     )
-    owned = actions.join(
-        rows.select("id", F.col("user_id").alias("_owner"), "_born"), "id"
-    ).filter((F.col("_owner") == F.col("user_id")) & (F.col("seq") > F.col("_born")))
-    deletes, activations = _alive(owned, "id")
+    owned = staged(_owned(rows, actions), "profile-actions")
+    done = _done(owned)
     # Every activation, be it an action or a profile created active, ordered per user.
-    turns = activations.select("user_id", "id", F.col("seq").cast("bigint"), "at").unionByName(
-        created.filter("is_active").select(
-            "user_id", "id", F.col("seq").cast("bigint"), F.col("updated_at").alias("at")
-        )
+    activated = done.filter(F.col("op") == "activate")
+    turns = staged(
+        activated.select("user_id", "id", F.col("seq").cast("bigint"), "at").unionByName(
+            created.filter("is_active").select(
+                "user_id", "id", F.col("seq").cast("bigint"), F.col("updated_at").alias("at")
+            )
+        ),
+        "profile-turns",
     )
     by_user = turns.groupBy("user_id").agg(
         F.max_by("id", "seq").alias("_active_id"),
@@ -215,15 +236,14 @@ def apply_profiles(
     )
     flag = F.when(untouched, F.col("is_active")).otherwise(active)
     merged = (
-        rows.join(deletes.select("id"), "id", "left_anti")
+        rows.join(owned.filter(F.col("op") == "delete").select("id"), "id", "left_anti")
         .join(by_user, "user_id", "left")
         .join(on, "id", "left")
         .join(off, "id", "left")
     )
     values = {"is_active": flag, "updated_at": changed_at}
     result = merged.select(*[values.get(name, F.col(name)).alias(name) for name in columns])
-    done = activations.select("seq").union(deletes.select(F.col("_gone_at").alias("seq")))
-    rejected = actions.join(done, "seq", "left_anti").withColumn(
+    rejected = actions.join(done.select("seq"), "seq", "left_anti").withColumn(
         "reason", F.lit("profile not found")
     )
     return result, rejected
@@ -239,9 +259,8 @@ def add_categories(
     direction, and the first of equal new ones wins."""
     key = ["name", "direction"]
     first = changes.groupBy(*key).agg(F.min("seq").alias("seq"))
-    fresh = changes.join(first, [*key, "seq"], "left_semi").join(
-        base.select(*key), key, "left_anti"
-    )
+    taken = _matching(base.select(*key), changes, key)
+    fresh = changes.join(first, [*key, "seq"], "left_semi").join(taken, key, "left_anti")
     added = {
         "statutory": F.lit(False),
         "is_system": F.lit(False),
@@ -261,7 +280,8 @@ def update_users(base: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFr
     result = merged.select(
         *[_patched(name) if name in USER_FIELDS else F.col(name) for name in base.columns]
     )
-    rejected = changes.join(base.select("id"), "id", "left_anti").withColumn(
+    known = _matching(base.select("id"), changes, ["id"])
+    rejected = changes.join(known, "id", "left_anti").withColumn(
         "reason", F.lit("user not found")
     )
     return result, rejected

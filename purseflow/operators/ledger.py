@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from purseflow.functions.money import signed
 from purseflow.functions.periods import as_day
 from purseflow.operators.skew import MAX_WINDOW_ROWS, running_sum, top_k
-from purseflow.schemas import INBOUND, OUTBOUND, REGION_CURRENCY
+from purseflow.schemas import INBOUND, MONTH_COLUMN, OUTBOUND, REGION_CURRENCY
 
 UNCATEGORIZED = "Uncategorized"
 LIST_LIMIT, LIST_MAX = 500, 2000
@@ -18,16 +18,25 @@ RECENT_EXPENSES = 20
 
 def filter_transactions(
     tx: DataFrame,
-    start: date | str | None = None,
-    end: date | str | None = None,
+    start: Column | date | str | None = None,
+    end: Column | date | str | None = None,
     region: str | None = None,
     direction: str | None = None,
 ) -> DataFrame:
-    """Inclusive dates, region and direction; a NULL region never matches a region filter."""
+    """Inclusive dates, region and direction; a NULL region never matches a region filter.
+
+    Date bounds are repeated on the month partitions where the table has them, so whole months
+    are skipped.
+    """
+    by_month = MONTH_COLUMN in tx.columns
     if start is not None:
         tx = tx.filter(F.col("occurred_on") >= as_day(start))
+        if by_month:
+            tx = tx.filter(F.col(MONTH_COLUMN) >= F.trunc(as_day(start), "month"))
     if end is not None:
         tx = tx.filter(F.col("occurred_on") <= as_day(end))
+        if by_month:
+            tx = tx.filter(F.col(MONTH_COLUMN) <= F.trunc(as_day(end), "month"))
     if region is not None:
         tx = tx.filter(F.col("region") == region)
     if direction is not None:

@@ -21,6 +21,9 @@ PAY_PERIODS = ("monthly", "annual")
 REGION_CURRENCY = {"PH": "PHP", "US": "USD", "AU": "AUD", "EU": "EUR"}
 PIVOT_CURRENCY = "USD"
 
+# Stored transactions carry the first day of their month as a partition column.
+MONTH_COLUMN = "month"
+
 # Databases that store enum *names* are normalised to these values on read.
 ENUM_VALUES = {
     "direction": {"INBOUND": "inbound", "OUTBOUND": "outbound"},

@@ -6,10 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from purseflow.schemas import BREAKDOWN, ENUM_VALUES, TABLES
+from purseflow.schemas import BREAKDOWN, ENUM_VALUES, MONTH_COLUMN, TABLES
 
 # Fact tables are stored by month, so that a dated report reads only its months.
-PARTITION_COLUMN = "month"
 PARTITIONED = {"transactions": "occurred_on"}
 JDBC_FETCH_SIZE = 10_000
 
@@ -29,7 +28,7 @@ def read_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet")
     """One table below ``root``; parquet, orc, csv (with header) or json."""
     schema = TABLES[name]
     if name in PARTITIONED:
-        schema = T.StructType([*schema.fields, T.StructField(PARTITION_COLUMN, T.DateType())])
+        schema = T.StructType([*schema.fields, T.StructField(MONTH_COLUMN, T.DateType())])
     reader = spark.read.schema(schema)
     if fmt == "csv":
         reader = reader.option("header", True)
@@ -86,12 +85,12 @@ def write_table(
     rows = conform(df, name)
     if name in PARTITIONED:
         month = F.trunc(F.col(PARTITIONED[name]), "month")
-        rows = rows.withColumn(PARTITION_COLUMN, month).hint("rebalance", F.col(PARTITION_COLUMN))
+        rows = rows.withColumn(MONTH_COLUMN, month).hint("rebalance", F.col(MONTH_COLUMN))
     writer = rows.write.mode(mode).format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)
     if name in PARTITIONED:
-        writer = writer.partitionBy(PARTITION_COLUMN)
+        writer = writer.partitionBy(MONTH_COLUMN)
     writer.save(f"{root.rstrip('/')}/{name}")
 
 
