@@ -700,14 +700,10 @@ def p11_payroll_register(v: Views) -> DataFrame:
     return pay.payroll_register(paid_profiles(v))
 
 
-def _flat_tenth(gross: Column) -> list[rules.Line]:
-    return [rules.Line("flat_tax", "Flat tax", rules.TAX, gross * rules.exact("0.10"))]
-
-
 @query
 def p12_rule_registry(v: Views) -> DataFrame:
     """A fifth region registered next to the built-in ones, and the profiles of each."""
-    extended = rules.with_rule(rules.PayrollRule("ZZ", "USD", "Flat tenth", _flat_tenth))
+    extended = rules.with_rule(rules.PayrollRule("ZZ", "USD", "Flat tenth", brackets=(("0", "0.10"),)))
     paid = pay.with_breakdown(_with_unknown(v), extended)
     sums = paid.groupBy("region").agg(
         F.count(F.lit(1)).alias("profiles"),

@@ -167,7 +167,12 @@ class Views:
             .filter("event_type in ('click', 'view', 'purchase')")
             .groupBy(F.expr(quote).alias("quote_currency"), F.to_date("ts").alias("as_of"))
             .agg(F.max_by("value", "ts").cast("decimal(18,8)").alias("rate"))
-            .select(F.lit("USD").alias("base_currency"), "quote_currency", "rate", "as_of")
+            .select(
+                F.expr("substr(concat('USD', quote_currency), 1, 3)").alias("base_currency"),
+                "quote_currency",
+                "rate",
+                "as_of",
+            )
         )
 
 

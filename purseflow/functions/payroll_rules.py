@@ -1,7 +1,9 @@
-"""Gross-to-net rules as column expressions, and the registry that holds them.
+"""Gross-to-net rules, the registry that holds them, and the column arithmetic they need.
 
-A rule turns an annual gross column into payroll lines. Figures are planning approximations
-of national rules, not filing advice. The tax year is a label: no rule reads it.
+A rule is data: contributions, brackets and labels. The payroll operator picks the constants of
+a row's region by index out of literal arrays, so that one short piece of arithmetic serves all
+regions. Figures are planning approximations of national rules, not filing advice. The tax year
+is a label: no rule reads it.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from decimal import Decimal
 from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, functions as F
 
@@ -23,16 +26,43 @@ def exact(text: str | int) -> Column:
     return F.lit(Decimal(str(text)))
 
 
+def choose(values: Sequence[str | None], index: Column, kind: str) -> Column:
+    """The value at a 1-based index of a literal decimal array; NULL for None."""
+    cells = [F.lit(None if v is None else Decimal(v)).cast(kind) for v in values]
+    return F.element_at(F.array(*cells), index)
+
+
+def bracket_tax(income: Column, schedules: Sequence[Sequence[Bracket]], which: Column) -> Column:
+    """Marginal tax by the schedule with the given 1-based number; NULL for an empty schedule.
+
+    Within a bracket the tax is income times its rate less a fixed amount, which is worked out
+    here once; a row then needs one product, whatever the number of brackets.
+    """
+    width = max(len(schedule) for schedule in schedules)
+    rates: list[str | None] = []
+    offsets: list[str | None] = []
+    for schedule in schedules:
+        offset, before = Decimal(0), Decimal(0)
+        for lower, rate in schedule:
+            offset += Decimal(lower) * (Decimal(rate) - before)
+            before = Decimal(rate)
+            rates.append(rate)
+            offsets.append(str(offset))
+        padding = [None] * (width - len(schedule))
+        rates, offsets = rates + padding, offsets + padding
+    bounds = [
+        choose([s[i][0] if i < len(s) else None for s in schedules], which, "decimal(14,2)")
+        for i in range(1, width)
+    ]
+    passed = reduce(add, [F.when(income > bound, 1).otherwise(0) for bound in bounds], F.lit(0))
+    place = ((which - 1) * width + passed + 1).cast("int")
+    rate, offset = choose(rates, place, "decimal(6,5)"), choose(offsets, place, "decimal(18,6)")
+    return F.when(rate.isNotNull(), F.greatest(income * rate - offset, exact(0)))
+
+
 def progressive_tax(income: Column, brackets: Sequence[Bracket]) -> Column:
-    """Marginal tax for ascending (lower bound, rate) brackets; 0 for income up to 0."""
-    uppers = [lower for lower, _ in brackets[1:]] + [None]
-    slices = []
-    for (lower, rate), upper in zip(brackets, uppers):
-        if Decimal(rate) == 0:
-            continue
-        capped = income if upper is None else F.least(income, exact(upper))
-        slices.append(F.greatest(capped - exact(lower), exact(0)) * exact(rate))
-    return reduce(lambda a, b: a + b, slices, exact(0))
+    """Marginal tax for ascending (lower bound, rate) brackets from 0; 0 for income up to 0."""
+    return bracket_tax(income, [brackets], F.lit(1))
 
 
 def capped_contribution(
@@ -44,19 +74,39 @@ def capped_contribution(
 
 
 @dataclass(frozen=True)
-class Line:
+class Contribution:
+    """A percentage of the gross clamped to [floor, ceiling].
+
+    ``only_above``: due on the whole gross, but only once it passes this amount.
+    ``extra_rate`` is due on top for the part above ``extra_above``.
+    """
+
     key: str
     label: str
-    kind: str
-    amount: Column
+    rate: str
+    floor: str | None = None
+    ceiling: str | None = None
+    only_above: str | None = None
+    extra_rate: str | None = None
+    extra_above: str | None = None
+    kind: str = SOCIAL
 
 
 @dataclass(frozen=True)
 class PayrollRule:
+    """One region. ``brackets``, or a ``tariff`` column function of the taxable income."""
+
     region: str
     currency: str
     modelled_as: str
-    lines: Callable[[Column], list[Line]]
+    contributions: tuple[Contribution, ...] = ()
+    brackets: tuple[Bracket, ...] = ()
+    tariff: Callable[[Column], Column] | None = None
+    deduction: str = "0"
+    social_is_deductible: bool = False
+    tax_key: str = "income_tax"
+    tax_label: str = "Income tax"
+    tax_comes_first: bool = True
     gross_label: str = "Gross salary"
     net_label: str = "Net take-home"
 
@@ -64,19 +114,19 @@ class PayrollRule:
 # --------------------------------------------------------------------------- fixed values
 # Brackets are (annual lower bound, marginal rate); contributions are (rate, floor, ceiling).
 
-PH_BRACKETS = [
+PH_BRACKETS = (
     ("0", "0"),
     ("250000", "0.15"),
     ("400000", "0.20"),
     ("800000", "0.25"),
     ("2000000", "0.30"),
     ("8000000", "0.35"),
-]
+)
 PH_SSS = ("0.045", "48000", "360000")
 PH_PHILHEALTH = ("0.025", "120000", "1200000")
 PH_PAGIBIG = ("0.02", None, "60000")
 
-US_BRACKETS = [
+US_BRACKETS = (
     ("0", "0.10"),
     ("11925", "0.12"),
     ("48475", "0.22"),
@@ -84,20 +134,20 @@ US_BRACKETS = [
     ("197300", "0.32"),
     ("250525", "0.35"),
     ("626350", "0.37"),
-]
+)
 US_STANDARD_DEDUCTION = "15000"
 US_SOCIAL_SECURITY = ("0.062", None, "176100")
 US_MEDICARE_RATE = "0.0145"
 US_EXTRA_MEDICARE_RATE = "0.009"
 US_EXTRA_MEDICARE_ABOVE = "200000"
 
-AU_BRACKETS = [
+AU_BRACKETS = (
     ("0", "0"),
     ("18200", "0.16"),
     ("45000", "0.30"),
     ("135000", "0.37"),
     ("190000", "0.45"),
-]
+)
 AU_LEVY_RATE = "0.02"
 AU_LEVY_ABOVE = "27222"
 AU_SUPER_RATE = "0.115"
@@ -115,46 +165,6 @@ DE_ZONE_5 = ("0.45", "18936.88")
 # -----------------------------------------------------------------------------------------
 
 
-def _philippines(gross: Column) -> list[Line]:
-    sss = capped_contribution(gross, *PH_SSS)
-    health = capped_contribution(gross, *PH_PHILHEALTH)
-    housing = capped_contribution(gross, *PH_PAGIBIG)
-    # Contributions are deducted before tax.
-    taxable = F.greatest(gross - (sss + health + housing), exact(0))
-    return [
-        Line("sss", "SSS", SOCIAL, sss),
-        Line("philhealth", "PhilHealth", SOCIAL, health),
-        Line("pagibig", "Pag-IBIG", SOCIAL, housing),
-        Line("income_tax", "Income tax", TAX, progressive_tax(taxable, PH_BRACKETS)),
-    ]
-
-
-def _united_states(gross: Column) -> list[Line]:
-    taxable = F.greatest(gross - exact(US_STANDARD_DEDUCTION), exact(0))
-    extra = F.greatest(gross - exact(US_EXTRA_MEDICARE_ABOVE), exact(0))
-    medicare = gross * exact(US_MEDICARE_RATE) + extra * exact(US_EXTRA_MEDICARE_RATE)
-    return [
-        Line("federal_income_tax", "Federal income tax", TAX, progressive_tax(taxable, US_BRACKETS)),
-        Line(
-            "social_security",
-            "Social Security",
-            SOCIAL,
-            capped_contribution(gross, *US_SOCIAL_SECURITY),
-        ),
-        Line("medicare", "Medicare", SOCIAL, medicare),
-    ]
-
-
-def _australia(gross: Column) -> list[Line]:
-    # The levy is due on the whole gross once it passes the threshold.
-    levy = F.when(gross > exact(AU_LEVY_ABOVE), gross * exact(AU_LEVY_RATE)).otherwise(exact(0))
-    return [
-        Line("income_tax", "Income tax (PAYG)", TAX, progressive_tax(gross, AU_BRACKETS)),
-        Line("medicare_levy", "Medicare levy", SOCIAL, levy),
-        Line("super", "Superannuation (employer)", INFO, gross * exact(AU_SUPER_RATE)),
-    ]
-
-
 def german_tariff(income: Column) -> Column:
     """Five-zone tariff: nothing, two quadratic zones, two linear zones."""
     bounds = [exact(bound) for bound in DE_ZONE_BOUNDS]
@@ -179,31 +189,69 @@ def german_tariff(income: Column) -> Column:
     return F.greatest(tariff, exact(0))
 
 
-def _germany(gross: Column) -> list[Line]:
-    return [
-        Line("income_tax", "Income tax (Lohnsteuer)", TAX, german_tariff(gross)),
-        Line("pension", "Pension insurance", SOCIAL, capped_contribution(gross, *DE_PENSION)),
-        Line("health", "Health insurance", SOCIAL, capped_contribution(gross, *DE_HEALTH)),
-        Line(
-            "unemployment",
-            "Unemployment insurance",
-            SOCIAL,
-            capped_contribution(gross, *DE_UNEMPLOYMENT),
+PHILIPPINES = PayrollRule(
+    "PH",
+    "PHP",
+    "Philippines (national)",
+    (
+        Contribution("sss", "SSS", *PH_SSS),
+        Contribution("philhealth", "PhilHealth", *PH_PHILHEALTH),
+        Contribution("pagibig", "Pag-IBIG", *PH_PAGIBIG),
+    ),
+    PH_BRACKETS,
+    social_is_deductible=True,
+    tax_comes_first=False,
+)
+UNITED_STATES = PayrollRule(
+    "US",
+    "USD",
+    "United States (federal)",
+    (
+        Contribution("social_security", "Social Security", *US_SOCIAL_SECURITY),
+        Contribution(
+            "medicare",
+            "Medicare",
+            US_MEDICARE_RATE,
+            extra_rate=US_EXTRA_MEDICARE_RATE,
+            extra_above=US_EXTRA_MEDICARE_ABOVE,
         ),
-        Line("care", "Long-term care insurance", SOCIAL, capped_contribution(gross, *DE_CARE)),
-    ]
-
+    ),
+    US_BRACKETS,
+    deduction=US_STANDARD_DEDUCTION,
+    tax_key="federal_income_tax",
+    tax_label="Federal income tax",
+    gross_label="Gross wages",
+)
+AUSTRALIA = PayrollRule(
+    "AU",
+    "AUD",
+    "Australia (national)",
+    (
+        Contribution("medicare_levy", "Medicare levy", AU_LEVY_RATE, only_above=AU_LEVY_ABOVE),
+        # Paid by the employer on top of the salary: shown, not deducted.
+        Contribution("super", "Superannuation (employer)", AU_SUPER_RATE, kind=INFO),
+    ),
+    AU_BRACKETS,
+    tax_label="Income tax (PAYG)",
+)
+GERMANY = PayrollRule(
+    "EU",
+    "EUR",
+    "Germany (EU representative)",
+    (
+        Contribution("pension", "Pension insurance", *DE_PENSION),
+        Contribution("health", "Health insurance", *DE_HEALTH),
+        Contribution("unemployment", "Unemployment insurance", *DE_UNEMPLOYMENT),
+        Contribution("care", "Long-term care insurance", *DE_CARE),
+    ),
+    tariff=german_tariff,
+    tax_label="Income tax (Lohnsteuer)",
+)
 
 RuleSet = dict[str, PayrollRule]
 
 RULES: RuleSet = {
-    rule.region: rule
-    for rule in (
-        PayrollRule("PH", "PHP", "Philippines (national)", _philippines),
-        PayrollRule("US", "USD", "United States (federal)", _united_states, "Gross wages"),
-        PayrollRule("AU", "AUD", "Australia (national)", _australia),
-        PayrollRule("EU", "EUR", "Germany (EU representative)", _germany),
-    )
+    rule.region: rule for rule in (PHILIPPINES, UNITED_STATES, AUSTRALIA, GERMANY)
 }
 
 

@@ -300,7 +300,5 @@ def default_user_if_none(users: DataFrame) -> DataFrame:
     row = spark.range(1).select(
         *[value.get(n, F.lit(None)).cast(kinds[n]).alias(n) for n in users.columns]
     )
-    # The probe has at most one row, whatever the size of the table.
-    probe = users.limit(1).select(F.lit(1).alias("_one"))
-    only = row.withColumn("_one", F.lit(1)).join(probe, "_one", "left_anti").drop("_one")
-    return users.unionByName(only)
+    # The subquery stops at the first row, whatever the size of the table.
+    return users.unionByName(row.filter(~users.limit(1).exists()))

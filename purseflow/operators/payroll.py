@@ -15,9 +15,11 @@ from purseflow.functions.payroll_rules import (
     RULES,
     SOCIAL,
     TAX,
-    Line,
     PayrollRule,
     RuleSet,
+    bracket_tax,
+    choose,
+    exact,
 )
 from purseflow.schemas import TOTAL
 from purseflow.session import small_table
@@ -34,45 +36,95 @@ def per_period(annual: Column, pay_period: Column) -> Column:
     return F.when(pay_period == "monthly", money(annual / F.lit(Decimal(12)))).otherwise(annual)
 
 
-def _by_region(rules: RuleSet, value: Callable[[PayrollRule], Column]) -> Column:
-    """One branch per region, so a row only computes its own rule."""
-    branches = [(F.col("region") == rule.region, value(rule)) for rule in rules.values()]
-    first, *rest = branches
-    return reduce(lambda chain, branch: chain.when(*branch), rest, F.when(*first))
-
-
-def _slot(rules: RuleSet, lines: dict[str, list[Line]], i: int) -> Column:
-    """Exact amount of the i-th line of the row's rule."""
-
-    def amount(rule: PayrollRule) -> Column:
-        own = lines[rule.region]
-        return (own[i].amount if i < len(own) else F.lit(None)).cast(_EXACT)
-
-    return _by_region(rules, amount)
-
-
-def _sum_of(lines: list[Line], kind: str) -> Column:
-    slots = [F.col(f"_line{i}") for i, line in enumerate(lines) if line.kind == kind]
-    return reduce(lambda a, b: a + b, slots) if slots else F.lit(0).cast(_EXACT)
+def _pick(rules: RuleSet, value: Callable[[PayrollRule], str | None], kind: str) -> Column:
+    """A constant of the row's rule."""
+    return choose([value(rule) for rule in rules.values()], F.col("_rule"), kind)
+
+
+def _amount_kind(column: Column) -> Column:
+    return column.cast("decimal(24,6)")
+
+
+def _contribution(rules: RuleSet, i: int) -> Column:
+    """Exact amount of the i-th contribution of the row's rule; NULL if it has fewer."""
+    gross = F.col("_gross")
+    entries = [r.contributions[i] if i < len(r.contributions) else None for r in rules.values()]
+
+    def constant(field: str, kind: str = "decimal(14,2)") -> Column:
+        return choose([e and getattr(e, field) for e in entries], F.col("_rule"), kind)
+
+    def used(field: str) -> bool:
+        return any(e and getattr(e, field) for e in entries)
+
+    base = gross
+    # Least and greatest skip NULLs: a rule without a bound leaves the income as it is.
+    if used("floor"):
+        base = F.greatest(base, constant("floor"))
+    if used("ceiling"):
+        base = F.least(base, constant("ceiling"))
+    amount = base * constant("rate", "decimal(5,4)")
+    if used("extra_rate"):
+        above = F.greatest(gross - constant("extra_above"), exact(0))
+        extra = above * constant("extra_rate", "decimal(5,4)")
+        amount = amount + F.coalesce(extra, exact(0))
+    if used("only_above"):
+        amount = F.when(gross <= constant("only_above"), exact(0)).otherwise(amount)
+    return _amount_kind(amount)
+
+
+def _social(rules: RuleSet, width: int) -> Column:
+    """Sum of the deducted contributions; informative ones are left out."""
+    total = exact(0)
+    for i in range(width):
+        informs = [
+            region
+            for region, rule in rules.items()
+            if i < len(rule.contributions) and rule.contributions[i].kind == INFO
+        ]
+        slot = F.coalesce(F.col(f"_line{i}"), exact(0))
+        if informs:
+            slot = F.when(F.col("region").isin(informs), exact(0)).otherwise(slot)
+        total = total + slot
+    return _amount_kind(total)
+
+
+def _taxable(rules: RuleSet) -> Column:
+    off = _pick(rules, lambda rule: rule.deduction, "decimal(14,2)")
+    deducting = [region for region, rule in rules.items() if rule.social_is_deductible]
+    social = F.when(F.col("region").isin(deducting), F.col("_social")).otherwise(exact(0))
+    return _amount_kind(F.greatest(F.col("_gross") - off - social, exact(0)))
+
+
+def _tax(rules: RuleSet) -> Column:
+    tax = bracket_tax(
+        F.col("_taxable"), [rule.brackets for rule in rules.values()], F.col("_rule")
+    ).cast(_EXACT)
+    for region, rule in rules.items():
+        if rule.tariff is not None:
+            own = rule.tariff(F.col("_taxable").cast("decimal(16,2)")).cast(_EXACT)
+            tax = F.when(F.col("region") == region, own).otherwise(tax)
+    return tax
 
 
 def _item(key: str, label: str, amount: Column, kind: str) -> Column:
     return F.struct(
         F.lit(key).alias("key"),
         F.lit(label).alias("label"),
-        money(amount).alias("amount"),
+        amount.alias("amount"),
         F.lit(kind).alias("kind"),
     )
 
 
-def _items(rule: PayrollRule, lines: list[Line]) -> Column:
+def _items(rule: PayrollRule) -> Column:
     """Gross, deductions, net, then what is only informative."""
     deducted, informative = [], []
-    for i, line in enumerate(lines):
-        item = _item(line.key, line.label, F.col(f"_line{i}"), line.kind)
-        (informative if line.kind == INFO else deducted).append(item)
+    for i, entry in enumerate(rule.contributions):
+        item = _item(entry.key, entry.label, money(F.col(f"_line{i}")), entry.kind)
+        (informative if entry.kind == INFO else deducted).append(item)
+    tax = _item(rule.tax_key, rule.tax_label, F.col("_total_tax"), TAX)
+    deducted = [tax, *deducted] if rule.tax_comes_first else [*deducted, tax]
     return F.array(
-        _item("gross", rule.gross_label, F.col("_gross"), "gross"),
+        _item("gross", rule.gross_label, F.col("_gross").cast(TOTAL), "gross"),
         *deducted,
         _item("net", rule.net_label, F.col("_net"), "net"),
         *informative,
@@ -82,44 +134,51 @@ def _items(rule: PayrollRule, lines: list[Line]) -> Column:
 def with_breakdown(profiles: DataFrame, rules: RuleSet = RULES) -> DataFrame:
     """Profiles of a known region with their ``breakdown`` struct.
 
-    Line amounts are computed once per row in a projection of their own; sums and items refer
-    to them.
+    The steps are projections of their own, each used several times by the next: amounts are
+    computed once per row, and the generated code stays small enough to be compiled.
     """
-    lines = {region: rule.lines(F.col("_gross")) for region, rule in rules.items()}
-    width = max(len(entries) for entries in lines.values())
+    width = max(len(rule.contributions) for rule in rules.values())
     annual = annualize(F.col("gross_amount"), F.col("pay_period")).cast("decimal(16,2)")
-    known = profiles.filter(F.col("region").isin(list(rules))).withColumn("_gross", annual)
-    slots = {f"_line{i}": _slot(rules, lines, i) for i in range(width)}
-    priced = known.withColumns(slots)
-    summed = priced.withColumns(
+    number = F.array_position(F.array(*[F.lit(region) for region in rules]), F.col("region"))
+    known = profiles.filter(F.col("region").isin(list(rules))).withColumns(
+        {"_gross": annual, "_rule": number.cast("int")}
+    )
+    slots = {f"_line{i}": _contribution(rules, i) for i in range(width)}
+    contributed = known.withColumns(slots).withColumn("_social", _social(rules, width))
+    taxed = contributed.withColumn("_taxable", _taxable(rules)).withColumn("_tax", _tax(rules))
+    gross, tax, social = F.col("_gross").cast(TOTAL), F.col("_tax"), F.col("_social")
+    settled = taxed.withColumns(
         {
-            "_tax": _by_region(rules, lambda r: _sum_of(lines[r.region], TAX)).cast(_EXACT),
-            "_social": _by_region(rules, lambda r: _sum_of(lines[r.region], SOCIAL)).cast(_EXACT),
+            "_total_tax": money(tax),
+            "_net": money(gross - (tax + social)),
+            "_deducted": money(tax + social),
         }
     )
-    tax, social, gross = F.col("_tax"), F.col("_social"), F.col("_gross").cast(TOTAL)
-    settled = summed.withColumns(
-        {"_net": money(gross - (tax + social)), "_deducted": money(tax + social)}
-    )
     period, net, deducted = F.col("pay_period"), F.col("_net"), F.col("_deducted")
     rate = F.when(gross != 0, F.bround(deducted / gross, 4)).otherwise(F.lit(0))
+    currencies = F.array(*[F.lit(rule.currency) for rule in rules.values()])
+    items = reduce(
+        lambda rest, rule: F.when(F.col("region") == rule.region, _items(rule)).otherwise(rest),
+        rules.values(),
+        F.lit(None),
+    )
     breakdown = F.struct(
         F.col("region").alias("region"),
-        _by_region(rules, lambda r: F.lit(r.currency)).alias("currency"),
+        F.element_at(currencies, F.col("_rule")).alias("currency"),
         F.coalesce("tax_year", F.lit(DEFAULT_TAX_YEAR)).alias("tax_year"),
         period.alias("pay_period"),
         gross.alias("gross_annual"),
         net.alias("net_annual"),
         per_period(gross, period).alias("gross_period"),
         per_period(net, period).alias("net_period"),
-        money(tax).alias("total_tax"),
+        F.col("_total_tax").alias("total_tax"),
         money(social).alias("total_social"),
         deducted.alias("total_deductions"),
         rate.cast("decimal(20,4)").alias("effective_rate"),
-        _by_region(rules, lambda r: _items(r, lines[r.region])).alias("items"),
+        items.alias("items"),
     )
-    helpers = ("_gross", "_tax", "_social", "_net", "_deducted")
-    return settled.withColumn("breakdown", breakdown).drop(*helpers, *slots)
+    helpers = [name for name in settled.columns if name.startswith("_")]
+    return settled.withColumn("breakdown", breakdown).drop(*helpers)
 
 
 def payroll_rejects(profiles: DataFrame, rules: RuleSet = RULES) -> DataFrame:

@@ -11,21 +11,20 @@ from purseflow.session import checkpointed
 
 # Rows one window task may sort; a key with more rows is split into chunks of about this size.
 MAX_WINDOW_ROWS = 2_000_000
-# A list of keys longer than this is joined by shuffle instead of broadcast.
+# Narrow tables with more rows than this are joined by shuffle instead of broadcast.
 MAX_BROADCAST_KEYS = 200_000
 # Largest k that Spark's own window group limit prunes before the shuffle.
 GROUP_LIMIT_K = 1000
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """Cache a small dimension and count it, so the planner knows its true size.
+def pinned(df: DataFrame, max_rows: int = MAX_BROADCAST_KEYS) -> DataFrame:
+    """Cache a dimension, count it, and mark it for broadcast only if the count allows.
 
-    No broadcast is forced: joins broadcast it only under spark.sql.autoBroadcastJoinThreshold
-    and fall back to a shuffle join beyond.
+    A larger one is returned as it is: its cached size is exact, so the planner picks a join by
+    spark.sql.autoBroadcastJoinThreshold and adaptive execution splits skewed partitions.
     """
     cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    cached.count()
-    return cached
+    return F.broadcast(cached) if cached.count() <= max_rows else cached
 
 
 def salted_join(

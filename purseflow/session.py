@@ -16,6 +16,11 @@ RECOMMENDED = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    # HotSpot compiles methods up to 8000 bytes only. Payroll stages are larger fused into one
+    # method; beyond the limit Spark generates them as many small ones instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Column expressions are built in loops; recording a call site for each doubles that time.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -83,18 +83,14 @@ def seed_categories(existing: DataFrame) -> DataFrame:
         "position int, name string, direction string, statutory boolean, region string",
     )
     missing = seeds.join(existing, ["name", "direction"], "left_anti")
-    highest = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_highest"))
-    # One-row side: the highest id.
-    numbered = missing.withColumn("_one", F.lit(1)).join(
-        highest.withColumn("_one", F.lit(1)), "_one"
-    )
+    highest = existing.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     values = {
-        "id": (F.col("_highest") + F.col("position")).cast("int"),
+        "id": (highest + F.col("position")).cast("int"),
         "is_system": F.lit(True),
         "user_id": F.lit(None).cast("bigint"),
     }
     columns = [values.get(name, F.col(name)).alias(name) for name in existing.columns]
-    return existing.unionByName(numbered.select(*columns))
+    return existing.unionByName(missing.select(*columns))
 
 
 def seed_rates(existing: DataFrame, as_of: date | Column) -> DataFrame:

@@ -5,8 +5,6 @@ from pyspark.sql import functions as F
 
 from conftest import dec
 from purseflow.functions.payroll_rules import (
-    TAX,
-    Line,
     PayrollRule,
     exact,
     progressive_tax,
@@ -122,11 +120,13 @@ def test_unknown_region_and_gross_are_rejected(spark):
 
 
 def test_a_rule_can_be_added(spark):
-    flat = PayrollRule("XX", "USD", "flat", lambda g: [Line("t", "T", TAX, g * exact("0.1"))])
-    rules = with_rule(flat)
-    assert supported_regions(rules) == ["AU", "EU", "PH", "US", "XX"]
-    (row,) = pay.with_breakdown(profiles(spark, ("XX", 1000, "annual")), rules).collect()
-    assert row.breakdown.net_annual == 900
+    flat = PayrollRule("XX", "USD", "flat", brackets=(("0", "0.10"),))
+    own = PayrollRule("YY", "USD", "own", tariff=lambda x: x * exact("0.25"))
+    rules = with_rule(own, with_rule(flat))
+    assert supported_regions(rules) == ["AU", "EU", "PH", "US", "XX", "YY"]
+    two = profiles(spark, ("XX", 1000, "annual"), ("YY", 1000, "annual"))
+    nets = [r.breakdown.net_annual for r in pay.with_breakdown(two, rules).orderBy("id").collect()]
+    assert nets == [900, 750]
 
 
 def test_payslip_lines(spark):
