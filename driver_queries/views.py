@@ -176,12 +176,12 @@ class Views:
         )
 
 
-_open: dict[tuple[int, str], Views] = {}
+_open: dict[tuple[str, str], Views] = {}
 
 
 def views(spark: SparkSession, sf_dir: str) -> Views:
     """The views of a folder, shared by the queries of a session."""
-    key = (id(spark._jsparkSession), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _open:
         _open[key] = Views(spark, sf_dir)
     return _open[key]

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from purseflow.functions.money import money
-from purseflow.functions.periods import as_day, fx_range_bounds
+from purseflow.functions.periods import fx_range_bounds
 from purseflow.operators.skew import salted_join, top_k
 from purseflow.schemas import MATRIX_RATE, MONEY, PIVOT_CURRENCY, REGION_CURRENCY
 

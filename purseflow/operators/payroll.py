@@ -101,7 +101,7 @@ def _tax(rules: RuleSet) -> Column:
     ).cast(_EXACT)
     for region, rule in rules.items():
         if rule.tariff is not None:
-            own = rule.tariff(F.col("_taxable").cast("decimal(16,2)")).cast(_EXACT)
+            own = rule.tariff(F.col("_taxable")).cast(_EXACT)
             tax = F.when(F.col("region") == region, own).otherwise(tax)
     return tax
 
@@ -134,8 +134,8 @@ def _items(rule: PayrollRule) -> Column:
 def with_breakdown(profiles: DataFrame, rules: RuleSet = RULES) -> DataFrame:
     """Profiles of a known region with their ``breakdown`` struct.
 
-    The steps are projections of their own, each used several times by the next: amounts are
-    computed once per row, and the generated code stays small enough to be compiled.
+    The steps are projections of their own, each used several times by the next, so that every
+    amount is computed once per row.
     """
     width = max(len(rule.contributions) for rule in rules.values())
     annual = annualize(F.col("gross_amount"), F.col("pay_period")).cast("decimal(16,2)")

@@ -85,6 +85,22 @@ def test_long_listing_goes_through_the_salted_pass(busy):
     assert ranks[0] == ranks[1]
 
 
+def test_only_counted_small_tables_are_marked_for_broadcast(spark):
+    dimension = spark.range(50).withColumnRenamed("id", "category_id")
+    small, large = skew.pinned(dimension, max_rows=50), skew.pinned(dimension, max_rows=49)
+    assert "ResolvedHint" in small._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in large._jdf.queryExecution().analyzed().toString()
+
+
+def test_salted_join_matches_a_plain_join(spark, busy):
+    limits = spark.createDataFrame([(u, u * 10) for u in range(1, 20)], "user_id bigint, cap int")
+    for how in ("inner", "left"):
+        salted = skew.salted_join(busy, limits, ["user_id"], "id", how, salts=5)
+        plain = busy.join(limits, ["user_id"], how)
+        found, expected = ({r.id: r.cap for r in x.collect()} for x in (salted, plain))
+        assert found == expected and salted.count() == plain.count()
+
+
 def test_filters(spark, demo):
     assert l.filter_transactions(demo, "2026-06-01", "2026-06-06").count() == 4
     nowhere = demo.withColumn("region", F.lit(None).cast("string"))
