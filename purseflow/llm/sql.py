@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 OP1 = r"""
 with docs as materialized (
   select row_number() over () as k, doc_id,
@@ -20,11 +22,10 @@ covered as (
   select distinct h.k, unnest(range(h.i, h.i + 35)) as i
   from hashed h join repeated r on r.body = h.body
 ),
-gone as (select k, list(i) as at, count(*) as n from covered group by k),
+gone as (select k, count(*) as n from covered group by k),
 flags as (
   select d.doc_id, d.words, coalesce(g.n, 0) as n,
-         list_sort(list_filter(range(1, len(d.words) + 1), lambda j: false)) as none,
-         coalesce(g.at, []) as at, d.k
+         d.k
   from docs d left join gone g on g.k = d.k
 ),
 words as (
@@ -78,4 +79,7 @@ from embeddings e join least on least.a = e.vec_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op6_exact_dedup": OP6, "op8_embedding_dedup": OP8}
+    found = {"op1_substring_dedup": OP1, "op6_exact_dedup": OP6, "op8_embedding_dedup": OP8}
+    if corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
