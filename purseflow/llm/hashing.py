@@ -40,26 +40,32 @@ def _runs(is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def _piece_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _piece_hashes(data: np.ndarray, heads: tuple[int, ...]) -> tuple[np.ndarray, ...]:
     starts, ends = _runs((data != 32) & ((data < 9) | (data > 13)))
     power, inverse = _power_tables(_BYTE_BASE, len(data) + 1)
     prefix = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=prefix[1:])
-    return scramble((prefix[ends] - prefix[starts]) * inverse[starts]), starts, ends
+    first, back = prefix[starts], inverse[starts]
+    stops = [ends, *(np.minimum(starts + n, ends) for n in heads)]
+    hashes = [scramble((prefix[stop] - first) * back) for stop in stops]
+    return hashes[0], starts, ends, *hashes[1:]
 
 
-def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end (in bytes) of every word. Long texts are worked off in pieces."""
+def word_hashes(text: bytes, heads: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Hash, start and end (in bytes) of every word, and hashes of its first ``heads`` bytes.
+
+    Long texts are worked off in pieces.
+    """
     data = np.frombuffer(text, dtype=np.uint8)
     if len(data) <= _PIECE:
-        return _piece_hashes(data)
+        return _piece_hashes(data, heads)
     found, at = [], 0
     while at < len(data):
         stop = min(at + _PIECE, len(data))
         while stop < len(data) and text[stop] not in b" \t\n\v\f\r":
             stop += 1
-        hashes, starts, ends = _piece_hashes(data[at:stop])
-        found.append((hashes, starts + at, ends + at))
+        hashes, starts, ends, *more = _piece_hashes(data[at:stop], heads)
+        found.append((hashes, starts + at, ends + at, *more))
         at = stop
     return tuple(np.concatenate(parts) for parts in zip(*found))
 

@@ -251,7 +251,7 @@ def test_secret_base_on_documents(spark):
     docs = spark.read.parquet(str(SF / "sf0.01/documents.parquet"))
     found = scan_secrets(docs)
     expected = [(r["doc_id"], *base_by_hand(r["text"])) for r in docs.collect()]
-    assert sorted_rows(found, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == sorted(expected)
+    assert sorted_rows(found, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == sorted(expected, key=repr)
     assert any(e[1] for e in expected)
 
 
