@@ -129,11 +129,27 @@ def cut_pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacity:
 def plan_sequences(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
     """(lengths, times): how often to fill a sequence with which lengths, for ``counts`` pieces.
 
-    ``counts[n]`` is the number of pieces of n tokens. From the longest down, each length's gap is
-    filled exactly by one, two or three available lengths; as many sequences as their counts allow
-    are made at once. What is left is packed best-fit, longest first, again many at once. The
-    work depends on the capacity and not on the number of pieces.
+    ``counts[n]`` is the number of pieces of n tokens. Exact complements of up to three lengths
+    come first, then best fit. Taking many exact complements can leave pieces that fit together
+    badly, so plans with complements of up to 3, 2, 1 and no lengths are made, and the one with the
+    fewest sequences is taken. The work depends on the capacity, not on the number of pieces.
     """
+    least = -(-int((counts * np.arange(capacity + 1)).sum()) // capacity)
+    best, size = None, 0
+    for parts in (3, 2, 1, 0):
+        plan = _plan(counts, capacity, parts)
+        made = sum(times for _, times in plan)
+        if best is None or made < size:
+            best, size = plan, made
+        if size == least:
+            break
+    return best
+
+
+def _plan(counts: np.ndarray, capacity: int, parts: int) -> list[tuple[list[int], int]]:
+    """From the longest down, each length's gap is filled exactly by one, then by two, then by
+    three available lengths, as often at once as their counts allow; the rest is packed best-fit,
+    longest first, again many at once."""
     left = counts.astype(np.int64).copy()
     plan: list[tuple[list[int], int]] = []
 
@@ -144,40 +160,47 @@ def plan_sequences(counts: np.ndarray, capacity: int) -> list[tuple[list[int], i
             left[kinds] -= times * uses
             plan.append((lengths, times))
 
-    def pair_sums(total: int, low: int = 1) -> np.ndarray:
+    def pair_sums(total: int) -> list[int]:
         """Lengths a >= b with a + b = total, both available; the largest a first."""
-        a = np.arange(total - low, (total - 1) // 2, -1)
-        return a[(left[a] > 0) & (left[total - a] > 0)] if len(a) else a
+        a = np.arange(total - 1, (total - 1) // 2, -1)
+        return a[(left[a] > 0) & (left[total - a] > 0)].tolist()
+
+    def fill_by_pairs(longest: int, gap: int) -> None:
+        for a in pair_sums(gap):
+            take([longest, a, gap - a])
+            if not left[longest]:
+                return
+
+    def fill_by_triples(longest: int, gap: int) -> None:
+        for a in (np.flatnonzero(left[1:gap])[::-1] + 1).tolist():
+            for b in pair_sums(gap - a) if left[a] else ():
+                if b <= a:
+                    take([longest, a, b, gap - a - b])
+                if not left[longest]:
+                    return
+                if not left[a]:
+                    break
 
     if left[capacity]:
         take([capacity])
-    for longest in range(capacity - 1, 0, -1):
-        gap = capacity - longest
-        if left[longest] and left[gap]:
-            take([longest, gap])
-        if left[longest]:
-            for a in pair_sums(gap).tolist():
-                take([longest, a, gap - a])
-                if not left[longest]:
-                    break
-        if left[longest] and gap > 2:
-            for a in np.flatnonzero(left[1 : gap - 1])[::-1] + 1:
-                if not left[longest]:
-                    break
-                if not left[a]:
-                    continue
-                for b in pair_sums(gap - int(a)).tolist():
-                    if b <= a:
-                        take([longest, int(a), b, gap - int(a) - b])
-                        if not left[longest] or not left[a]:
-                            break
+    for number in range(1, parts + 1):
+        for longest in range(capacity - 1, 0, -1):
+            gap = capacity - longest
+            if not left[longest]:
+                continue
+            if number == 1 and left[gap]:
+                take([longest, gap])
+            elif number == 2:
+                fill_by_pairs(longest, gap)
+            elif number == 3:
+                fill_by_triples(longest, gap)
     # Best fit, longest first: open sequences by gap; those alike are handled together.
     gaps: list[int] = []
     alike: dict[int, list[tuple[list[int], int]]] = {}
 
     def put(lengths: list[int], times: int) -> None:
         gap = capacity - sum(lengths)
-        if gap == 0:
+        if times and not gap:
             plan.append((lengths, times))
         elif times:
             if gap not in alike:
