@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import re
 
-from purseflow.sources.seeds import seed_category_rows
-
 # ------------------------------------------------------------------------------------ views
 
 CUR = "case n.n_regionkey when 0 then 'PHP' when 2 then 'AUD' when 3 then 'EUR' else 'USD' end"
@@ -274,12 +272,31 @@ Q: dict[str, str] = {}
 Q["s1_read_ledger"] = """select id, user_id, direction, category_id, amount, currency, region,
   occurred_on, occurred_time from led_transactions"""
 
-_SEEDS = ", ".join(
-    "({}, '{}', '{}', {}, {})".format(
-        i, name.replace("'", "''"), side, str(statutory).lower(), f"'{region}'" if region else "null"
-    )
-    for i, (name, side, statutory, region) in enumerate(seed_category_rows(), start=1)
-)
+_SEEDS = """
+  (1, 'Base salary', 'inbound', false, null), (2, 'Overtime', 'inbound', false, null),
+  (3, 'Bonus', 'inbound', false, null), (4, 'Commission', 'inbound', false, null),
+  (5, 'Allowances', 'inbound', false, null), (6, 'Reimbursements', 'inbound', false, null),
+  (7, 'Dividends', 'inbound', false, null), (8, 'Interest', 'inbound', false, null),
+  (9, 'Freelance income', 'inbound', false, null), (10, 'Other income', 'inbound', false, null),
+  (11, 'Housing', 'outbound', false, null), (12, 'Utilities', 'outbound', false, null),
+  (13, 'Groceries', 'outbound', false, null), (14, 'Dining', 'outbound', false, null),
+  (15, 'Transport', 'outbound', false, null), (16, 'Healthcare', 'outbound', false, null),
+  (17, 'Insurance', 'outbound', false, null), (18, 'Education', 'outbound', false, null),
+  (19, 'Debt repayment', 'outbound', false, null),
+  (20, 'Savings & investment', 'outbound', false, null),
+  (21, 'Entertainment', 'outbound', false, null), (22, 'Shopping', 'outbound', false, null),
+  (23, 'Subscriptions', 'outbound', false, null), (24, 'Travel', 'outbound', false, null),
+  (25, 'Family & dependents', 'outbound', false, null), (26, 'Charity', 'outbound', false, null),
+  (27, 'Miscellaneous', 'outbound', false, null),
+  (28, 'Income tax (PH)', 'outbound', true, 'PH'), (29, 'SSS (PH)', 'outbound', true, 'PH'),
+  (30, 'PhilHealth (PH)', 'outbound', true, 'PH'), (31, 'Pag-IBIG (PH)', 'outbound', true, 'PH'),
+  (32, 'Federal income tax (US)', 'outbound', true, 'US'),
+  (33, 'Social Security (US)', 'outbound', true, 'US'), (34, 'Medicare (US)', 'outbound', true, 'US'),
+  (35, 'Income tax (AU)', 'outbound', true, 'AU'), (36, 'Medicare levy (AU)', 'outbound', true, 'AU'),
+  (37, 'Income tax (EU)', 'outbound', true, 'EU'), (38, 'Pension insurance (EU)', 'outbound', true, 'EU'),
+  (39, 'Health insurance (EU)', 'outbound', true, 'EU'),
+  (40, 'Unemployment insurance (EU)', 'outbound', true, 'EU'),
+  (41, 'Long-term care insurance (EU)', 'outbound', true, 'EU')"""
 Q["s2_seed_reference"] = f"""with existing as (
   select id, case id when 0 then 'Base salary' when 6 then 'Groceries' else name end as name,
     direction, statutory, cast(null as varchar) region, false is_system, cast(null as bigint) user_id
@@ -287,7 +304,7 @@ Q["s2_seed_reference"] = f"""with existing as (
 seeds as (select * from (values {_SEEDS}) t(pos, name, direction, statutory, region))
 select * from existing
 union all
-select cast((select max(id) from existing) + pos as int), name, direction, statutory, region, true, null
+select cast((select max(id) from existing) + row_number() over (order by pos) as int), name, direction, statutory, region, true, null
 from seeds s where not exists (
   select 1 from existing e where e.name = s.name and e.direction = s.direction)"""
 
@@ -295,7 +312,9 @@ Q["s3_ingest_fx_payload"] = "select base_currency, quote_currency, as_of, rate f
 
 Q["s4_export_expenses"] = f"""select cast(t.user_id as varchar) user_id, cast(t.occurred_on as varchar) "date",
   coalesce(c.name, 'Uncategorized') category, t.direction, cast(t.amount as varchar) amount,
-  t.currency, coalesce(t.region, '') region, '' description, cast(t.amt as varchar) "amount_USD"
+  t.currency, coalesce(t.region, '') region,
+  case t.id % 7 when 2 then '  padded  ' when 3 then 'say "hi", now' when 4 then 'two' || chr(10) || 'lines'
+    when 5 then 'a' || chr(92) when 6 then chr(92) || '"x"' else '' end description, cast(t.amt as varchar) "amount_USD"
 from conv t left join led_categories c on c.id = t.category_id where t.direction = 'outbound'"""
 
 Q["s5_export_fx_history"] = """select cast(as_of as varchar) "date", base_currency, quote_currency,
@@ -654,11 +673,13 @@ listed as (
 Q["a14_dashboard_summary"] = f"""with {_summary('convb', _Q2, 'u.base_currency')},
 {_INSIGHTS},
 keys as (select user_id, string_agg(key, ',' order by rule) insights from listed group by user_id),
-tops as (select user_id, string_agg(concat(category_id, ':', total), ',' order by total desc, category_id) top_categories
+tops as (select user_id, string_agg(concat(category_id, ':', total), ',' order by total desc, category_id) top_categories,
+    count(*) top_count
   from (select * from cats where direction = 'outbound'
     qualify row_number() over (partition by user_id order by total desc, category_id) <= 5)
   group by user_id)
-select {_SUMMARY_COLUMNS}, savings_rate, insights, coalesce(top_categories, '') top_categories
+select {_SUMMARY_COLUMNS}, savings_rate, insights, coalesce(top_categories, '') top_categories,
+  cast(coalesce(top_count, 0) as int) top_count
 from summary left join keys using (user_id) left join tops using (user_id)"""
 
 _PER_DAY = "cast(te as double) / 166.0::double"
@@ -845,14 +866,17 @@ _BUDGET_OPS = f"""asked as (
   from led_budgets where (user_id + month) % 11 = 0),
 ops as (select a.* from asked a where a.op = 'delete' or exists (
   select 1 from led_categories c where c.id = a.category_id and c.direction = 'outbound'))"""
+_BUDGET_ID = "user_id * 10000000 + category_id * 100000 + year * 20 + month"
 Q["u4_upsert_budgets"] = f"""with {_BUDGET_OPS},
 last as (select * from ops qualify row_number() over (
   partition by user_id, category_id, year, month order by seq desc) = 1)
-select b.* from led_budgets b where not exists (select 1 from last l where l.user_id = b.user_id
+select b.*, {_BUDGET_ID} id from led_budgets b where (user_id + category_id) % 4 <> 0
+  and not exists (select 1 from last l where l.user_id = b.user_id
   and l.category_id = b.category_id and l.year = b.year and l.month = b.month)
 union all
 select l.user_id, l.category_id, l.year, l.month, cast(l.limit_amount as decimal(14,2)),
-  upper(coalesce(l.given, u.base_currency))
+  upper(coalesce(l.given, u.base_currency)), {_BUDGET_ID} + case when (l.user_id + l.category_id) % 4 <> 0
+    then 0 else 1000000000000 + l.seq % 10 end
 from last l join led_users u on u.id = l.user_id where l.op = 'upsert'"""
 # Every deleted key is held by the table, so only a second delete in a row fails.
 Q["u4_budget_rejects"] = f"""with {_BUDGET_OPS},
@@ -864,9 +888,13 @@ where (user_id + month) % 13 = 0"""
 
 Q["u5_upsert_fund_overrides"] = """select o.user_id, o.scope, o.period_start,
   cast(case when o.user_id % 20 = 0 then o.amount + 5 else o.amount end as decimal(14,2)) amount,
-  case when o.user_id % 20 = 0 then u.base_currency else o.currency end currency
+  case when o.user_id % 20 = 0 then u.base_currency else o.currency end currency, o.user_id * 7 id,
+  cast(date '2020-01-01' + cast(o.user_id % 300 as int) as date) created_at,
+  case when o.user_id % 20 = 0 then date '2026-06-15'
+    else cast(date '2020-01-01' + cast(o.user_id % 300 as int) as date) end updated_at
 from led_fund_overrides o join led_users u on u.id = o.user_id where o.user_id % 60 <> 0
-union all select id, 'all', date '1970-01-01', cast(100 as decimal(14,2)), 'AUD'
+union all select id, 'all', date '1970-01-01', cast(100 as decimal(14,2)), 'AUD', id * 7 + 3,
+  date '2026-06-15', date '2026-06-15'
 from led_users where id % 10 = 3"""
 
 _AT = "timestamp '2002-01-01 00:00:00' + ({}) % 100000 * interval 1 second"
@@ -918,9 +946,13 @@ from led_users"""
 
 Q["u9_upsert_fx_history"] = """select base_currency, quote_currency, as_of,
   cast(case when day(as_of) > 15 then rate + 2 when day(as_of) % 2 = 1 then rate + 1 else rate end
-    as decimal(18,8)) rate from led_fx_history"""
-Q["u10_upsert_fx_current"] = """select base_currency, quote_currency, rate, as_of from led_fx_history
-where (quote_currency <> 'PHP' and day(as_of) = (select max(day(as_of)) from led_fx_history
+    as decimal(18,8)) rate,
+  datediff('day', date '2000-01-01', as_of) * 10 + length(quote_currency) + ascii(quote_currency) % 7
+    + case when day(as_of) < 20 then 0 when day(as_of) % 2 = 1 then 1000000 else 2000000 end id
+from led_fx_history"""
+Q["u10_upsert_fx_current"] = """select base_currency, quote_currency, rate, as_of,
+  cast(ascii(quote_currency) + case when quote_currency = 'EUR' then 1000 else 0 end as bigint) id
+from led_fx_history where (quote_currency <> 'PHP' and day(as_of) = (select max(day(as_of)) from led_fx_history
     where day(as_of) <= 20 and quote_currency <> 'PHP'))
   or (quote_currency = 'PHP' and day(as_of) = 10)"""
 Q["u11_fx_coverage"] = """with asked as (

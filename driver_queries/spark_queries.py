@@ -6,7 +6,7 @@ from collections.abc import Callable
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from driver_queries.views import Views, views
 from purseflow.functions import money as m, payroll_rules as rules, periods as p
@@ -45,7 +45,7 @@ def usd(v: Views, tx: DataFrame | None = None) -> DataFrame:
 
 
 def in_base(v: Views) -> DataFrame:
-    return fx.to_display(v.transactions, v.matrix, users=v.users)
+    return fx.in_every_base(v.transactions, v.matrix, v.users)
 
 
 def category_totals(v: Views, **filters) -> DataFrame:
@@ -152,8 +152,14 @@ def s3_ingest_fx_payload(v: Views) -> DataFrame:
 
 @query
 def s4_export_expenses(v: Views) -> DataFrame:
+    """Descriptions with quotes, blanks around, backslashes and line ends come back unchanged."""
     path = fresh_path(v.spark, "expenses")
-    csv_export.export_expenses(v.transactions, v.categories, path, v.matrix, "usd")
+    note = F.element_at(
+        F.array(*[F.lit(t) for t in (None, "", "  padded  ", 'say "hi", now', "two\nlines", "a\\", '\\"x"')]),
+        (F.col("id") % 7 + 1).cast("int"),
+    )
+    noted = v.transactions.withColumn("description", note)
+    csv_export.export_expenses(noted, v.categories, path, v.matrix, "usd")
     columns = ["user_id", *csv_export.EXPENSE_COLUMNS, "amount_USD"]
     return csv_export.read_export(v.spark, path, columns)
 
@@ -466,8 +472,8 @@ def a14_dashboard_summary(v: Views) -> DataFrame:
         lambda x: F.concat_ws(":", x["category_id"].cast("string"), x["total"].cast("string")),
     )
     return summary.withColumn(
-        "top_categories", F.coalesce(F.array_join(top, ","), F.lit(""))
-    ).withColumn("insights", F.array_join("insights.key", ",")).drop("top_expense_categories")
+        "top_categories", F.array_join(top, ",")
+    ).withColumn("top_count", F.size("top_expense_categories")).withColumn("insights", F.array_join("insights.key", ",")).drop("top_expense_categories")
 
 
 @query
@@ -579,8 +585,10 @@ def x3_add_months(v: Views) -> DataFrame:
 
 
 def _shares(v: Views) -> DataFrame:
-    totals = r.totals(usd(v)).select("user_id", "total_expense")
-    return r.top_expense_categories(category_totals(v), 50).join(totals, "user_id")
+    """Every expense category of each user next to the user's expenses, from one aggregation."""
+    whole = F.sum("total").over(Window.partitionBy("user_id"))
+    expenses = category_totals(v).filter("direction = 'outbound'")
+    return expenses.withColumn("total_expense", whole.cast("decimal(18,2)"))
 
 
 @query
@@ -884,7 +892,11 @@ def _budget_changes(v: Views) -> DataFrame:
 
 @query
 def u4_upsert_budgets(v: Views) -> DataFrame:
-    return c.apply_budgets(v.budgets, _budget_changes(v), v.categories, v.users)[0]
+    """Ids stay with their rows, also where limits change; new rows bring their own."""
+    key = F.expr("user_id * 10000000L + category_id * 100000L + year * 20 + month")
+    base = v.budgets.filter("(user_id + category_id) % 4 <> 0").withColumn("id", key)
+    changes = _budget_changes(v).withColumn("id", key + F.lit(10**12) + F.col("seq") % 10)
+    return c.apply_budgets(base, changes, v.categories, v.users)[0]
 
 
 @query
@@ -896,7 +908,9 @@ def u4_budget_rejects(v: Views) -> DataFrame:
 @query
 def u5_upsert_fund_overrides(v: Views) -> DataFrame:
     """Raised amounts, resets of some, and new overrides for users that had none."""
-    rows = v.fund_overrides
+    made = F.make_date(F.lit(2020), F.lit(1), F.lit(1)) + (F.col("user_id") % 300).cast("int")
+    rows = v.fund_overrides.withColumn("id", F.col("user_id") * 7)
+    rows = rows.withColumn("created_at", made).withColumn("updated_at", made)
     raised = rows.filter("user_id % 20 = 0").select(
         (F.col("user_id") * 10).alias("seq"),
         F.lit("upsert").alias("op"),
@@ -924,7 +938,14 @@ def u5_upsert_fund_overrides(v: Views) -> DataFrame:
         F.lit(100).cast("decimal(14,2)").alias("amount"),
         F.lit("aud").alias("currency"),
     )
-    return c.apply_fund_overrides(rows, union([raised, resets, fresh]), v.users)
+    now = F.lit(date(2026, 6, 15))
+    changes = (
+        union([raised, resets, fresh])
+        .withColumn("id", F.col("user_id") * 7 + 3)
+        .withColumn("created_at", now)
+        .withColumn("updated_at", now)
+    )
+    return c.apply_fund_overrides(rows, changes, v.users)
 
 
 @query
@@ -1001,12 +1022,13 @@ def u8_update_users(v: Views) -> DataFrame:
 
 @query
 def u9_upsert_fx_history(v: Views) -> DataFrame:
-    history = v.fx_history.filter("day(as_of) < 20")
+    day_id = F.expr("datediff(as_of, date'2000-01-01') * 10L + length(quote_currency) + ascii(quote_currency) % 7")
+    history = v.fx_history.filter("day(as_of) < 20").withColumn("id", day_id)
     first = v.fx_history.filter("day(as_of) % 2 = 1").withColumn("seq", F.lit(1))
     second = v.fx_history.filter("day(as_of) > 15").withColumn("seq", F.lit(2))
     fetched = first.unionByName(second).withColumn(
         "rate", (F.col("rate") + F.col("seq")).cast("decimal(18,8)")
-    )
+    ).withColumn("id", day_id + 1_000_000 * F.col("seq"))
     return fx.upsert_fx_history(history, fetched)
 
 
@@ -1017,7 +1039,9 @@ def u10_upsert_fx_current(v: Views) -> DataFrame:
     late = v.fx_history.filter("day(as_of) <= 20 and quote_currency <> 'PHP'").withColumn(
         "seq", F.lit(2)
     )
-    return fx.upsert_fx_current(current, early.unionByName(late))
+    number = F.ascii("quote_currency").cast("bigint")
+    fetched = early.unionByName(late).withColumn("id", number + 1000 * F.col("seq"))
+    return fx.upsert_fx_current(current.withColumn("id", number), fetched)
 
 
 @query

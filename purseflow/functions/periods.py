@@ -108,10 +108,12 @@ def fund_period_start(scope: Column | str, anchor: Column | date) -> Column:
     )
 
 
-def fx_range_bounds(start: Column | date | None, end: Column | date) -> tuple[Column, Column]:
-    """Last 7 days when no start is given; at most 365 days back otherwise."""
+def fx_range_bounds(
+    start: Column | date | None, end: Column | date, max_days: int | None = FX_MAX_DAYS
+) -> tuple[Column, Column]:
+    """Last 7 days when no start is given; otherwise at most ``max_days`` back, if given."""
     first, last = as_day(start), as_day(end)
-    clamped = F.greatest(first, F.date_sub(last, FX_MAX_DAYS))
+    clamped = first if max_days is None else F.greatest(first, F.date_sub(last, max_days))
     return F.when(first.isNull(), F.date_sub(last, FX_DEFAULT_DAYS - 1)).otherwise(clamped), last
 
 

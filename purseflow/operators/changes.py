@@ -11,13 +11,14 @@ broadcast threshold never shuffles the table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from purseflow.operators.ledger import (
     with_budget_reason,
     with_direction_reason,
     write_currency,
 )
+from purseflow.operators.merging import last_of_batch, merged_by_key
 from purseflow.operators.skew import previous_value
 from purseflow.schemas import MONTH_COLUMN
 from purseflow.session import staged
@@ -78,13 +79,26 @@ def _done(owned: DataFrame) -> DataFrame:
 
 
 def transaction_inserts(
-    changes: DataFrame, categories: DataFrame, users: DataFrame
+    base: DataFrame, changes: DataFrame, categories: DataFrame, users: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """(accepted inserts with their currency resolved, rejected inserts)."""
+    """(accepted inserts with their currency resolved, rejected inserts).
+
+    An id that the table holds, or that an earlier insert of the batch took, is rejected, and so
+    is a row whose currency neither the row nor its region nor its user tells.
+    """
     asked = changes.filter(F.col("op") == "insert")
     code = write_currency(F.col("currency"), F.col("region"), F.col("_base"))
     resolved = asked.join(_bases(users, asked), "user_id", "left").withColumn("currency", code)
-    checked = staged(with_direction_reason(resolved.drop("_base"), categories), "inserts")
+    judged = with_direction_reason(resolved.drop("_base"), categories)
+    unknown = F.when(F.col("currency").isNull(), "no currency")
+    judged = judged.withColumn("reason", F.coalesce("reason", unknown))
+    taken = _matching(base.select("id"), asked, ["id"]).distinct().withColumn("_taken", F.lit(True))
+    good = F.when(F.col("reason").isNull(), F.col("seq"))
+    first = F.min(good).over(Window.partitionBy("id"))
+    used = F.when(F.col("_taken") | (F.col("seq") > F.col("_first")), "id already used")
+    numbered = judged.withColumn("_first", first).join(taken, "id", "left")
+    fit = numbered.withColumn("reason", F.coalesce("reason", used)).drop("_first", "_taken")
+    checked = staged(fit, "inserts")
     return (
         checked.filter(F.col("reason").isNull()).drop("reason"),
         checked.filter(F.col("reason").isNotNull()),
@@ -101,7 +115,7 @@ def apply_transactions(
     """
     base = base.drop(MONTH_COLUMN)
     columns = base.columns
-    inserts, bad_inserts = transaction_inserts(changes, categories, users)
+    inserts, bad_inserts = transaction_inserts(base, changes, categories, users)
     rows = base.withColumn("_born", F.lit(-1).cast("bigint")).unionByName(
         inserts.select(*columns, F.col("seq").cast("bigint").alias("_born"))
     )
@@ -153,32 +167,17 @@ def apply_budgets(
     missing = placed.filter((F.col("op") == "delete") & ~stands).select(
         "seq", "op", *BUDGET_KEY, F.lit("budget not found").alias("reason")
     )
-    final = valid.groupBy(*BUDGET_KEY).agg(
-        F.max_by(F.struct("op", *values), "seq").alias("_last")
-    )
-    kept = base.join(final.select(*BUDGET_KEY), BUDGET_KEY, "left_anti")
-    fresh = final.filter(F.col("_last.op") == "upsert").select(
-        *BUDGET_KEY, *[F.col(f"_last.{name}").alias(name) for name in values]
-    )
-    return kept.select(*BUDGET_KEY, *values).unionByName(fresh), bad.unionByName(missing)
+    final = last_of_batch(base, valid, BUDGET_KEY, values)
+    return merged_by_key(base, final), bad.unionByName(missing)
 
 
 def apply_fund_overrides(base: DataFrame, changes: DataFrame, users: DataFrame) -> DataFrame:
     """Upsert and reset opening-fund overrides; resetting a missing one does nothing."""
     values = ["amount", "currency"]
     code = F.upper(F.coalesce(F.nullif("currency", F.lit("")), F.col("_base")))
-    last = (
-        changes.join(_bases(users, changes), "user_id", "left")
-        .withColumn("currency", code)
-        .groupBy(*FUND_KEY)
-        .agg(F.max_by(F.struct("op", *values), "seq").alias("_last"))
-    )
-    final = staged(last, "fund-changes")
-    kept = base.join(final.select(*FUND_KEY), FUND_KEY, "left_anti")
-    fresh = final.filter(F.col("_last.op") == "upsert").select(
-        *FUND_KEY, *[F.col(f"_last.{name}").alias(name) for name in values]
-    )
-    return kept.select(*FUND_KEY, *values).unionByName(fresh)
+    asked = changes.join(_bases(users, changes), "user_id", "left").withColumn("currency", code)
+    final = staged(last_of_batch(base, asked, FUND_KEY, values), "fund-changes")
+    return merged_by_key(base, final)
 
 
 # ---------------------------------------------------------------------------------- profiles

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from datetime import date
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from purseflow.functions.money import money
 from purseflow.functions.periods import fx_range_bounds
+from purseflow.operators.merging import last_of_batch, merged_by_key
 from purseflow.operators.skew import salted_join, top_k
 from purseflow.schemas import MATRIX_RATE, MONEY, PIVOT_CURRENCY, REGION_CURRENCY
 
@@ -153,6 +152,57 @@ def to_display(
     return convert(placed, matrix, "amount", "currency", F.col("display_currency"))
 
 
+UNPRICED = "_unpriced"
+
+
+def in_currencies(tx: DataFrame, matrix: DataFrame, codes: DataFrame) -> DataFrame:
+    """Every row once per distinct code of ``codes`` (one column), with ``amt`` in that currency.
+
+    ``display_currency`` is the code, ``_unpriced`` tells that there is no rate for it. Rounding
+    stays per row, and sums by (key, display_currency) form before any shuffle; which of them is
+    wanted is looked up afterwards, on the few sums. So rows are never shuffled to learn their
+    target, and codes are as few as there are currencies.
+    """
+    wanted = codes.toDF("_code").agg(F.collect_set("_code")).scalar()
+    rows = tx.withColumn("display_currency", F.explode(wanted))
+    source, target = F.col("currency"), F.col("display_currency")
+    quoted, _ = _quoted(rows, matrix, source, target)
+    missing = F.col("_rate").isNull() & (source != target) & F.col("amount").isNotNull()
+    value = _amount_at_rate(F.col("amount"), source, target)
+    return quoted.withColumn("amt", value).withColumn(UNPRICED, missing).drop("_rate")
+
+
+def priced(sums: DataFrame) -> DataFrame:
+    """Sums of rows in several currencies, once the wanted ones are picked; an error if one of
+    them holds a row without a rate."""
+    fail = F.raise_error(F.concat(F.lit("no exchange rate to "), F.col("display_currency")))
+    return sums.filter(F.when(F.col(UNPRICED), fail.cast("boolean")).otherwise(True)).drop(UNPRICED)
+
+
+def in_every_base(tx: DataFrame, matrix: DataFrame, users: DataFrame) -> DataFrame:
+    """Transactions in each base currency that occurs, to be added up by ``sums_per_user``."""
+    return in_currencies(tx, matrix, users.select(F.upper("base_currency")))
+
+
+def sums_per_user(
+    converted: DataFrame, users: DataFrame, keys: list[str], *sums: Column
+) -> DataFrame:
+    """Aggregates of converted rows per user and keys.
+
+    ``converted`` is in one display currency per user, or in every base currency; of the latter
+    each user's own is taken.
+    """
+    if UNPRICED not in converted.columns:
+        return converted.groupBy("user_id", *keys).agg(*sums)
+    every = converted.groupBy("user_id", *keys, "display_currency").agg(
+        *sums, F.bool_or(UNPRICED).alias(UNPRICED)
+    )
+    own = users.select(
+        F.col("id").alias("user_id"), F.upper("base_currency").alias("display_currency")
+    )
+    return priced(every.join(own, ["user_id", "display_currency"])).drop("display_currency")
+
+
 # ----------------------------------------------------------------------------- rate history
 
 
@@ -161,10 +211,17 @@ def region_quotes(base: str) -> list[str]:
 
 
 def fx_points(
-    history: DataFrame, base: str, start: Column | date | None, end: Column | date
+    history: DataFrame,
+    base: str,
+    start: Column | date | None,
+    end: Column | date,
+    max_days: int | None = None,
 ) -> DataFrame:
-    """Cached rates of the region currencies in the (clamped) range, one row per quote and day."""
-    first, last = fx_range_bounds(start, end)
+    """Stored rates of the region currencies in the range, one row per quote and day.
+
+    The range is clamped only if ``max_days`` is given, as it is for loading from a rate service.
+    """
+    first, last = fx_range_bounds(start, end, max_days)
     return history.filter(
         (F.col("base_currency") == base.upper())
         & F.col("quote_currency").isin(region_quotes(base))
@@ -173,12 +230,16 @@ def fx_points(
 
 
 def fx_series(
-    history: DataFrame, base: str, start: Column | date | None, end: Column | date
+    history: DataFrame,
+    base: str,
+    start: Column | date | None,
+    end: Column | date,
+    max_days: int | None = None,
 ) -> DataFrame:
     """One row per day with a quote-to-rate map, oldest first."""
     entry = F.struct("quote_currency", "rate")
     return (
-        fx_points(history, base, start, end)
+        fx_points(history, base, start, end, max_days)
         .groupBy("as_of")
         .agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("rates"))
         .orderBy("as_of")
@@ -221,32 +282,24 @@ def fx_latest_move(history: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------------------- rate updates
 
 
-def _latest(df: DataFrame, keys: list[str], by: list[str], values: list[str]) -> DataFrame:
-    newest = df.groupBy(*keys).agg(
-        F.max_by(F.struct(*values), F.struct(*by)).alias("_newest")
-    )
-    return newest.select(*keys, *[F.col(f"_newest.{name}").alias(name) for name in values])
-
-
 def upsert_fx_history(history: DataFrame, fetched: DataFrame) -> DataFrame:
     """History with fetched points (base, quote, as_of, rate, seq) merged in; the last one wins."""
-    key = [*PAIR, "as_of"]
-    incoming = _latest(fetched, key, ["seq"], ["rate"])
-    kept = history.select(*key, "rate").join(incoming.select(*key), key, "left_anti")
-    return kept.unionByName(incoming)
+    asked = fetched.withColumn("op", F.lit("upsert"))
+    return merged_by_key(history, last_of_batch(history, asked, [*PAIR, "as_of"], ["rate"]))
 
 
 def upsert_fx_current(current: DataFrame, fetched: DataFrame) -> DataFrame:
     """Current rates refreshed from each fetch's latest date only; an older fetch changes nothing."""
     last_day = fetched.groupBy("seq", "base_currency").agg(F.max("as_of").alias("as_of"))
     candidates = fetched.join(last_day, ["seq", "base_currency", "as_of"])
-    stored = current.select(*PAIR, "rate", "as_of", F.lit(None).cast("bigint").alias("seq"))
-    # A stored rate loses a tie on the date: its sequence number sorts first.
-    both = stored.unionByName(
-        candidates.select(*PAIR, "rate", "as_of", F.col("seq").cast("bigint"))
+    # A stored rate loses a tie on the date. Of the fetched ones the latest date counts, then the
+    # last fetch; so the order of a batch is by both.
+    held = current.select(*PAIR, F.col("as_of").alias("_held"))
+    asked = (
+        candidates.join(held, PAIR, "left")
+        .filter(F.col("_held").isNull() | (F.col("as_of") >= F.col("_held")))
+        .withColumn("seq", F.unix_date("as_of") * F.lit(1 << 32) + F.col("seq"))
+        .withColumn("op", F.lit("upsert"))
+        .drop("_held")
     )
-    return _latest(both, PAIR, ["as_of", "seq"], ["rate", "as_of"])
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+    return merged_by_key(current, last_of_batch(current, asked, PAIR, ["rate", "as_of"]))

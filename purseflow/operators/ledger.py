@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from purseflow.functions.money import signed
 from purseflow.functions.periods import as_day
-from purseflow.operators.skew import MAX_WINDOW_ROWS, running_sum, top_k
+from purseflow.operators.skew import running_sum, top_k
 from purseflow.schemas import INBOUND, MONTH_COLUMN, OUTBOUND, REGION_CURRENCY
 
 UNCATEGORIZED = "Uncategorized"
-LIST_LIMIT, LIST_MAX = 500, 2000
+LIST_LIMIT = 500
 RECENT_EXPENSES = 20
 
 
@@ -55,8 +55,8 @@ def oldest_first(midnight: str = "00:00:00") -> list[Column]:
 
 def list_transactions(tx: DataFrame, limit: int = LIST_LIMIT, **filters) -> DataFrame:
     """The newest rows of every user, numbered from 1 in ``position``."""
-    if not 0 < limit <= LIST_MAX:
-        raise ValueError(f"limit must be between 1 and {LIST_MAX}")
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
     rows = filter_transactions(tx, **filters)
     return top_k(rows, ["user_id"], newest_first(), limit, spread_by="id", rank="position")
 
@@ -97,13 +97,11 @@ def read_currency(given: Column, base: Column) -> Column:
     return F.upper(F.coalesce(F.nullif(given, F.lit("")), base))
 
 
-def running_balance_by_transaction(
-    converted: DataFrame, region: str | None = None, max_rows: int = MAX_WINDOW_ROWS
-) -> DataFrame:
+def running_balance_by_transaction(converted: DataFrame, region: str | None = None) -> DataFrame:
     """Balance after each transaction over the user's full history."""
     rows = filter_transactions(converted, region=region)
     return running_sum(
-        rows, "user_id", oldest_first(), signed(F.col("amt")), "balance", max_rows=max_rows
+        rows, "user_id", "occurred_on", oldest_first(), signed(F.col("amt")), "balance"
     )
 
 
@@ -112,15 +110,13 @@ def ledger_view(
     categories: DataFrame,
     limit: int = LIST_LIMIT,
     region: str | None = None,
-    max_rows: int = MAX_WINDOW_ROWS,
     **filters,
 ) -> DataFrame:
     """Newest rows with category name and running balance.
 
-    The balance is taken over the full history first, then the listing filters apply; both
-    windows share one partitioning by user.
+    The balance is taken over the full history first, then the listing filters apply.
     """
-    with_balance = running_balance_by_transaction(converted, region, max_rows)
+    with_balance = running_balance_by_transaction(converted, region)
     return with_category_name(list_transactions(with_balance, limit, **filters), categories)
 
 

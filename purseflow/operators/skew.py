@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from purseflow.session import checkpointed
-
-# Rows one window task may sort; a key with more rows is split into chunks of about this size.
-MAX_WINDOW_ROWS = 2_000_000
 # Narrow tables with more rows than this are joined by shuffle instead of broadcast.
 MAX_BROADCAST_KEYS = 200_000
 # Largest k that Spark's own window group limit prunes before the shuffle.
@@ -67,104 +63,33 @@ def top_k(
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
 
-def chunked_window(
-    df: DataFrame,
-    key: str,
-    order: Sequence[Column],
-    out: str,
-    within: Callable[[Window], Column],
-    chunk_value: Column,
-    carried: Callable[[Window], Column],
-    combine: Callable[[Column, Column], Column],
-    max_rows: int = MAX_WINDOW_ROWS,
-) -> DataFrame:
-    """A running window per key whose large keys are computed in ordered chunks.
-
-    Keys of up to ``max_rows`` rows use one plain window. Larger keys are range-partitioned by
-    (key, order) and written to the checkpoint folder; ``within`` runs inside each chunk, and
-    ``carried`` over the chunk values brings in what the earlier chunks of the key hold.
-    """
-    plain = Window.partitionBy(key).orderBy(*order)
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > max_rows)
-    size = counts.agg(F.count(F.lit(1)), F.sum("_rows")).first()
-    if size[0] == 0:
-        return df.withColumn(out, combine(within(plain), F.lit(None)))
-    names = checkpointed(counts.select(key))
-    if size[0] <= MAX_BROADCAST_KEYS:
-        names = F.broadcast(names)
-    small_rows = df.join(names, key, "left_anti")
-    large_rows = df.join(names, key, "left_semi")
-
-    chunks = max(2, -(-size[1] // max_rows))
-    placed = checkpointed(
-        large_rows.repartitionByRange(chunks, F.col(key), *order).withColumn(
-            "_chunk", F.spark_partition_id()
-        )
-    )
-    ahead = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    # Only keys that cross a chunk border carry anything: fewer rows than there are chunks.
-    opening = (
-        placed.groupBy(key, "_chunk")
-        .agg(chunk_value.alias("_value"))
-        .withColumn("_carried", carried(ahead))
-        .filter(F.col("_carried").isNotNull())
-        .drop("_value")
-    )
-    if chunks <= MAX_BROADCAST_KEYS:
-        opening = F.broadcast(opening)
-    inside = Window.partitionBy(key, "_chunk").orderBy(*order)
-    large_out = (
-        placed.join(opening, [key, "_chunk"], "left")
-        .withColumn(out, combine(within(inside), F.col("_carried")))
-        .drop("_chunk", "_carried")
-    )
-    small_out = small_rows.withColumn(out, combine(within(plain), F.lit(None)))
-    return small_out.unionByName(large_out)
-
-
 def running_sum(
     df: DataFrame,
     key: str,
+    step: str,
     order: Sequence[Column],
     value: Column,
     out: str,
     kind: str = "decimal(18,2)",
-    max_rows: int = MAX_WINDOW_ROWS,
 ) -> DataFrame:
-    """Cumulative sum of ``value`` per key."""
-    upto = (Window.unboundedPreceding, Window.currentRow)
-    return chunked_window(
-        df.withColumn("_step", value),
-        key,
-        order,
-        out,
-        within=lambda w: F.sum("_step").over(w.rowsBetween(*upto)),
-        chunk_value=F.sum("_step"),
-        carried=lambda w: F.sum("_value").over(w),
-        combine=lambda here, before: (
-            here + F.coalesce(before, F.lit(0)).cast("decimal(28,2)")
-        ).cast(kind),
-        max_rows=max_rows,
-    ).drop("_step")
+    """Cumulative sum of ``value`` per key, in two levels.
+
+    ``order`` begins with ``step``, such as the day. Sums per (key, step) are partial aggregates
+    and few per key; a window over them gives what each step opens with. Rows are shuffled once,
+    by key and step, so that a key with very many rows spreads over its steps.
+    """
+    rows = df.withColumn("_value", value)
+    before = Window.partitionBy(key).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    steps = rows.groupBy(key, step).agg(F.sum("_value").alias("_sum"))
+    opening = steps.withColumn("_open", F.sum("_sum").over(before)).drop("_sum")
+    inside = Window.partitionBy(key, step).orderBy(*order)
+    here = F.sum("_value").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    total = here + F.coalesce("_open", F.lit(0)).cast("decimal(28,2)")
+    return rows.join(opening, [key, step]).withColumn(out, total.cast(kind)).drop("_value", "_open")
 
 
 def previous_value(
-    df: DataFrame,
-    key: str,
-    order: Sequence[Column],
-    value: str,
-    out: str,
-    max_rows: int = MAX_WINDOW_ROWS,
+    df: DataFrame, key: str, order: Sequence[Column], value: str, out: str
 ) -> DataFrame:
-    """The non-null ``value`` of the preceding row of the key; NULL on the first row."""
-    return chunked_window(
-        df,
-        key,
-        order,
-        out,
-        within=lambda w: F.lag(value).over(w),
-        chunk_value=F.max_by(value, F.struct(*order)),
-        carried=lambda w: F.last("_value").over(w),
-        combine=lambda here, before: F.coalesce(here, before),
-        max_rows=max_rows,
-    )
+    """The ``value`` of the preceding row of the key; NULL on the first row."""
+    return df.withColumn(out, F.lag(value).over(Window.partitionBy(key).orderBy(*order)))

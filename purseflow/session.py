@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -24,11 +23,25 @@ RECOMMENDED = {
 }
 
 
-def build_session(app: str = "purseflow", master: str | None = None, **extra: str) -> SparkSession:
+# Input per shuffle partition that adaptive execution starts from; it merges partitions that turn
+# out small, but adds none.
+PARTITION_BYTES = 128 << 20
+
+
+def shuffle_settings(input_bytes: int) -> dict[str, str]:
+    """Initial shuffle partitions for a job over so many bytes, at least Spark's usual number."""
+    number = max(200, -(-input_bytes // PARTITION_BYTES))
+    return {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(number)}
+
+
+def build_session(
+    app: str = "purseflow", master: str | None = None, input_bytes: int | None = None, **extra: str
+) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RECOMMENDED, **extra}.items():
+    sized = shuffle_settings(input_bytes) if input_bytes else {}
+    for key, value in {**RECOMMENDED, **sized, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
@@ -41,13 +54,12 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only for a local master."""
+    """The cluster's checkpoint folder; where none is set, a folder in the warehouse, which all
+    executors reach as well."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        folder = tempfile.mkdtemp(prefix="purseflow-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
@@ -66,9 +78,3 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later branches read the same rows even after executors are lost."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)

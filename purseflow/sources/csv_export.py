@@ -13,6 +13,14 @@ from purseflow.schemas import OUTBOUND
 EXPENSE_COLUMNS = ("date", "category", "direction", "amount", "currency", "region", "description")
 FX_COLUMNS = ("date", "base_currency", "quote_currency", "rate")
 
+# Quotes are doubled and blanks kept, so that other readers of CSV get every text as it was.
+CSV_OPTIONS = {
+    "header": "true",
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
+
 
 def expense_rows(
     tx: DataFrame,
@@ -52,7 +60,7 @@ def write_expenses(rows: DataFrame, path: str, per_user_folders: bool = False) -
     """
     order = ["user_id", "date", "id"]
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    writer = placed.drop("id").write.mode("errorifexists").option("header", True)
+    writer = placed.drop("id").write.mode("errorifexists").options(**CSV_OPTIONS)
     writer = writer.option("emptyValue", "")
     if per_user_folders:
         writer = writer.partitionBy("user_id")
@@ -87,10 +95,11 @@ def fx_history_rows(history: DataFrame, base: str) -> DataFrame:
 
 
 def export_fx_history(history: DataFrame, base: str, path: str) -> None:
-    fx_history_rows(history, base).write.mode("errorifexists").option("header", True).csv(path)
+    fx_history_rows(history, base).write.mode("errorifexists").options(**CSV_OPTIONS).csv(path)
 
 
 def read_export(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """An export read back as text; absent values are empty text."""
+    """An export read back as text, also over several lines; absent values are empty text."""
     schema = ", ".join(f"`{name}` string" for name in columns)
-    return spark.read.schema(schema).option("header", True).csv(path).fillna("")
+    reader = spark.read.schema(schema).options(**CSV_OPTIONS).option("multiLine", True)
+    return reader.csv(path).fillna("")

@@ -19,10 +19,11 @@ RATE = "decimal(18,8)"
 
 
 def _usable(days: Column) -> Column:
-    """A payload counts as a whole: one bad day or rate discards all of it."""
+    """A payload counts as a whole: one bad day (not yyyy-mm-dd) or rate discards all of it."""
     return F.forall(
         F.map_entries(days),
-        lambda day: day["key"].try_cast("date").isNotNull()
+        lambda day: day["key"].rlike(r"^\d{4}-\d{2}-\d{2}$")
+        & day["key"].try_cast("date").isNotNull()
         & day["value"].isNotNull()
         & F.forall(
             F.map_entries(day["value"]), lambda quote: quote["value"].try_cast(RATE).isNotNull()
@@ -30,12 +31,23 @@ def _usable(days: Column) -> Column:
     )
 
 
+def _last_entries(entries: Column) -> Column:
+    """A map without earlier entries of a key that it repeats; JSON objects may repeat keys."""
+    keys = F.map_keys(entries)
+    pairs = F.filter(
+        F.map_entries(entries),
+        lambda entry, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), entry["key"]),
+    )
+    return F.map_from_entries(pairs)
+
+
 def parse_fx_payloads(
     payloads: DataFrame, text: str = "value", default_base: str = PIVOT_CURRENCY
 ) -> DataFrame:
     """Rows (base, quote, as_of, rate) of a column of JSON payloads; other columns are kept.
 
-    Malformed payloads give no rows and do not fail the job.
+    Malformed payloads give no rows and do not fail the job. Of a day or quote that a payload has
+    more than once, the last entry counts.
     """
     parsed = F.from_json(text, PAYLOAD)
     others = [name for name in payloads.columns if name != text]
@@ -45,11 +57,14 @@ def parse_fx_payloads(
         .select(
             *others,
             F.upper(F.coalesce("_p.base", F.lit(default_base))).alias("base_currency"),
-            F.explode("_p.rates").alias("_day", "_quotes"),
+            F.explode(_last_entries(F.col("_p.rates"))).alias("_day", "_quotes"),
         )
     )
     return days.select(
-        *others, "base_currency", "_day", F.explode("_quotes").alias("quote_currency", "_rate")
+        *others,
+        "base_currency",
+        "_day",
+        F.explode(_last_entries(F.col("_quotes"))).alias("quote_currency", "_rate"),
     ).select(
         *others,
         "base_currency",

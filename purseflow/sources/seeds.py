@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import date
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from purseflow.functions.periods import as_day
 from purseflow.schemas import INBOUND, OUTBOUND, PIVOT_CURRENCY, REGION_CURRENCY
@@ -83,13 +83,24 @@ def seed_categories(existing: DataFrame) -> DataFrame:
         "position int, name string, direction string, statutory boolean, region string",
     )
     missing = seeds.join(existing, ["name", "direction"], "left_anti")
-    highest = existing.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    values = {
-        "id": (highest + F.col("position")).cast("int"),
-        "is_system": F.lit(True),
-        "user_id": F.lit(None).cast("bigint"),
-    }
-    columns = [values.get(name, F.col(name)).alias(name) for name in existing.columns]
+    return _added(existing, missing.withColumn("is_system", F.lit(True)), "position")
+
+
+def _added(existing: DataFrame, missing: DataFrame, order: str) -> DataFrame:
+    """The missing reference rows below the existing ones, whose columns they take.
+
+    Ids go on from the highest one without gaps; other columns that a reference row has no value
+    for are NULL. Reference rows are a few constants, so one task numbers them.
+    """
+    kinds = dict(existing.dtypes)
+    if "id" in kinds:
+        highest = existing.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+        number = F.row_number().over(Window.orderBy(order))
+        missing = missing.withColumn("_n", number).withColumn("id", highest + F.col("_n"))
+    columns = [
+        (F.col(name) if name in missing.columns else F.lit(None)).cast(kind).alias(name)
+        for name, kind in kinds.items()
+    ]
     return existing.unionByName(missing.select(*columns))
 
 
@@ -97,19 +108,17 @@ def seed_rates(existing: DataFrame, as_of: date | Column) -> DataFrame:
     """Existing current rates plus the missing USD ones."""
     seeds = reference_rates(existing.sparkSession).withColumn("as_of", as_day(as_of))
     pair = ["base_currency", "quote_currency"]
-    columns = [*pair, "rate", "as_of"]
-    return existing.select(*columns).unionByName(seeds.join(existing, pair, "left_anti"))
+    return _added(existing, seeds.join(existing, pair, "left_anti"), "quote_currency")
 
 
 def seed_jurisdictions(existing: DataFrame) -> DataFrame:
     rows = [(r, name, REGION_CURRENCY[r], label, True) for r, name, label in JURISDICTIONS]
-    columns = ["region", "name", "currency", "modelled_as", "supported"]
     seeds = small_table(
         existing.sparkSession,
         rows,
         "region string, name string, currency string, modelled_as string, supported boolean",
     )
-    return existing.select(*columns).unionByName(seeds.join(existing, "region", "left_anti"))
+    return _added(existing, seeds.join(existing, "region", "left_anti"), "region")
 
 
 def reference_rates(spark: SparkSession) -> DataFrame:

@@ -6,11 +6,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from purseflow.schemas import BREAKDOWN, ENUM_VALUES, MONTH_COLUMN, TABLES
+from purseflow.schemas import ENUM_VALUES, MONTH_COLUMN, TABLES
+from purseflow.sources.csv_export import CSV_OPTIONS
 
 # Fact tables are stored by month, so that a dated report reads only its months.
 PARTITIONED = {"transactions": "occurred_on"}
-JDBC_FETCH_SIZE = 10_000
 
 
 def _enum_value(name: str) -> Column:
@@ -31,34 +31,11 @@ def read_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet")
         schema = T.StructType([*schema.fields, T.StructField(MONTH_COLUMN, T.DateType())])
     reader = spark.read.schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        reader = reader.options(**CSV_OPTIONS).option("multiLine", True)
     df = reader.format(fmt).load(f"{root.rstrip('/')}/{name}")
     return normalised(df)
 
 
-def read_jdbc(
-    spark: SparkSession,
-    url: str,
-    name: str,
-    key: str = "id",
-    bounds: tuple[int, int] | None = None,
-    partitions: int = 64,
-    **options: str,
-) -> DataFrame:
-    """One table of a database, read in parallel over ranges of ``key`` when bounds are given."""
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", name)
-    reader = reader.option("fetchsize", JDBC_FETCH_SIZE).options(**options)
-    if bounds is not None:
-        reader = (
-            reader.option("partitionColumn", key)
-            .option("lowerBound", bounds[0])
-            .option("upperBound", bounds[1])
-            .option("numPartitions", partitions)
-        )
-    columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name].fields]
-    return normalised(reader.load().select(*columns))
-
-
 def read_ledger(spark: SparkSession, root: str, fmt: str = "parquet") -> dict[str, DataFrame]:
     return {name: read_table(spark, root, name, fmt) for name in TABLES}
 
@@ -88,17 +65,12 @@ def write_table(
         rows = rows.withColumn(MONTH_COLUMN, month).hint("rebalance", F.col(MONTH_COLUMN))
     writer = rows.write.mode(mode).format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.options(**CSV_OPTIONS)
     if name in PARTITIONED:
         writer = writer.partitionBy(MONTH_COLUMN)
     writer.save(f"{root.rstrip('/')}/{name}")
 
 
-def parsed_breakdown(profiles: DataFrame) -> DataFrame:
-    """The stored JSON breakdown as a struct."""
-    return profiles.withColumn("breakdown", F.from_json("breakdown", BREAKDOWN))
-
-
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows per table."""
     counts = [

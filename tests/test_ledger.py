@@ -39,26 +39,47 @@ def by_hand(rows):
     return balances
 
 
-@pytest.mark.parametrize("max_rows", [10_000, 100, 7])
-def test_running_balance_with_and_without_chunks(busy, matrix, max_rows):
-    out = l.running_balance_by_transaction(in_usd(busy, matrix), max_rows=max_rows)
+def test_running_balance(busy, matrix):
+    out = l.running_balance_by_transaction(in_usd(busy, matrix))
     found = {r.id: r.balance for r in out.select("id", "balance").collect()}
     assert found == by_hand(busy.collect())
 
 
-def test_no_chunk_holds_a_whole_hot_user(busy, matrix):
-    out = l.running_balance_by_transaction(in_usd(busy, matrix), max_rows=100)
-    plan = out._jdf.queryExecution().optimizedPlan().toString()
-    assert "_chunk" in plan
-    rows_of_user = busy.filter("user_id = 1").count()
-    placed = busy.filter("user_id = 1").repartitionByRange(rows_of_user // 100 + 1, *oldest_first())
-    sizes = placed.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
-    assert sizes < rows_of_user / 3
-
-
-@pytest.mark.parametrize("max_rows", [10_000, 50])
-def test_previous_value(busy, max_rows):
-    out = skew.previous_value(busy, "user_id", oldest_first(), "category_id", "before", max_rows)
+def test_hot_user_spreads_over_days(spark, matrix):
+    """Nine rows in ten belong to one user; no partition holds more than a share of them."""
+    rng = Random(4)
+    rows = [
+        (k, 1 if rng.random() < 0.9 else 2 + k % 40, 4, Decimal(rng.randint(1, 999)),
+         date(2026, 1, 1) + timedelta(days=rng.randrange(120)), None)
+        for k in range(4000)
+    ]
+    tx = transactions(spark, rows)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = l.running_balance_by_transaction(in_usd(tx, matrix))
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        found = {r.id: r.balance for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+    assert found == by_hand(tx.collect())
+    assert len(sizes) == 16 and max(sizes) < 3 * 4000 / 16
+
+
+def test_no_job_runs_while_planning(busy, matrix):
+    converted = in_usd(busy, matrix)
+    tracker = busy.sparkSession.sparkContext.statusTracker()
+    busy.sparkSession.sparkContext.setJobGroup("planning", "")
+    l.ledger_view(converted, busy.selectExpr("category_id id", "'c' name").limit(0))
+    assert not tracker.getJobIdsForGroup("planning")
+
+
+def test_previous_value(busy):
+    out = skew.previous_value(busy, "user_id", oldest_first(), "category_id", "before")
     found = {r.id: r.before for r in out.collect()}
     last, expected = {}, {}
     for r in sorted(busy.collect(), key=lambda r: (r.occurred_on, r.occurred_time or "00:00:00", r.id)):
@@ -74,7 +95,7 @@ def test_listing_is_newest_first_with_unknown_times_last(spark):
     listed = l.list_transactions(transactions(spark, rows), limit=3).orderBy("user_id", "position")
     assert [(r.user_id, r.id) for r in listed.collect()] == [(1, 3), (1, 2), (1, 1), (2, 5)]
     with pytest.raises(ValueError):
-        l.list_transactions(transactions(spark, rows), limit=2001)
+        l.list_transactions(transactions(spark, rows), limit=0)
 
 
 def test_long_listing_goes_through_the_salted_pass(busy):

@@ -34,7 +34,7 @@ def test_monthly_by_category(usd, categories):
     assert "Base salary" not in found
     assert series.first().months == ["2026-05", "2026-06"]
     with pytest.raises(ValueError):
-        r.monthly_expense_by_category(usd, categories, 37)
+        r.monthly_expense_by_category(usd, categories, 0)
 
 
 def test_months_without_data_are_not_counted(spark, matrix, categories):
