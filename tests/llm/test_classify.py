@@ -8,7 +8,7 @@ import re
 
 import numpy as np
 import pytest
-from corpora import SF, corpus, sorted_rows
+from corpora import SF, corpus, empty, messy, sorted_rows  # noqa: F401
 from pyspark.sql import functions as F
 
 from purseflow.llm import language_id, toxicity

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
-from corpora import DOCS, corpus, sorted_rows
+from corpora import DOCS, corpus, empty, messy, sorted_rows  # noqa: F401
 from pyspark.sql import functions as F
 
 from purseflow.llm.components import connected_components
@@ -283,6 +283,6 @@ def test_embedding_edge_cases(spark):
 
 def test_table_layout_reaches_recall():
     for count in (100, 10_000, 10**8):
-        tables, bits = table_layout(count, 0.93, 0.999)
+        tables, bits = table_layout(count, 0.93, 0.995)
         same = (1 - np.arccos(0.93) / np.pi) ** bits
-        assert 1 - (1 - same) ** tables >= 0.999
+        assert 1 - (1 - same) ** tables >= 0.995
