@@ -269,8 +269,26 @@ def with_views(sql: str) -> str:
 
 Q: dict[str, str] = {}
 
-Q["s1_read_ledger"] = """select id, user_id, direction, category_id, amount, currency, region,
-  occurred_on, occurred_time from led_transactions"""
+# Every column of a table in order; those that the views do not have are NULL.
+_TABLES = {
+    "ledger": ("led_transactions", "id, user_id, direction, category_id, amount, currency, region, occurred_on, "
+               "occurred_time, description:varchar, created_at:timestamp"),
+    "users": ("led_users", "id, name, email:varchar, base_currency, default_region, created_at:timestamp"),
+    "categories": ("led_categories", "id, name, direction, statutory, region:varchar, is_system:boolean, user_id:bigint"),
+    "budgets": ("led_budgets", "id:bigint, user_id, category_id, year, month, limit_amount, currency"),
+    "fund_overrides": ("led_fund_overrides", "id:bigint, user_id, scope, period_start, amount, currency, "
+                       "created_at:timestamp, updated_at:timestamp"),
+    "salary_profiles": ("led_profiles", "id, user_id, label:varchar, region, currency, gross_amount, pay_period, tax_year, "
+                        "net_amount:decimal(14,2), total_deductions:decimal(14,2), breakdown:varchar, is_active, "
+                        "created_at:timestamp, updated_at"),
+    "exchange_rates": ("(select * from led_fx_history where day(as_of) = 10) x",
+                       "id:bigint, base_currency, quote_currency, rate, as_of"),
+    "exchange_rate_history": ("led_fx_history", "id:bigint, base_currency, quote_currency, rate, as_of"),
+}
+for _name, (_view, _columns) in _TABLES.items():
+    _listed = [c.strip().split(":") for c in re.split(r",\s*(?![^(]*\))", _columns)]
+    _texts = [f'cast(null as {c[1]}) as "{c[0]}"' if len(c) > 1 else f'"{c[0]}"' for c in _listed]
+    Q[f"s1_read_{_name}"] = f"select {', '.join(_texts)} from {_view}"
 
 _SEEDS = """
   (1, 'Base salary', 'inbound', false, null), (2, 'Overtime', 'inbound', false, null),
@@ -308,7 +326,25 @@ select cast((select max(id) from existing) + row_number() over (order by pos) as
 from seeds s where not exists (
   select 1 from existing e where e.name = s.name and e.direction = s.direction)"""
 
-Q["s3_ingest_fx_payload"] = "select base_currency, quote_currency, as_of, rate from led_fx_history"
+Q["s2_seed_jurisdictions"] = Q["s1_read_jurisdictions"] = """select 5::bigint id, default_region region, 'Own' as name, 'USD' currency, 'own' modelled_as,
+  false supported from (select default_region from led_users where default_region = 'US' limit 1) x
+union all select 6, 'AU', 'Australia', 'AUD', 'Australia (national)', true
+union all select 7, 'EU', 'European Union', 'EUR', 'Germany (EU representative)', true
+union all select 8, 'PH', 'Philippines', 'PHP', 'Philippines (national)', true"""
+Q["s2_seed_rates"] = """with held as (
+  select base_currency, quote_currency, max_by(rate, as_of) rate, max(as_of) as_of,
+    cast(ascii(quote_currency) as bigint) id
+  from led_fx_history where quote_currency <> 'AUD' group by 1, 2),
+seeds as (select * from (values ('USD', 'AUD', 1.52), ('USD', 'EUR', 0.92), ('USD', 'PHP', 58.00)) t(b, q, r))
+select * from held
+union all
+select b, q, cast(r as decimal(18,8)), date '1998-06-15',
+  (select max(id) from held) + row_number() over (order by q)
+from seeds where not exists (select 1 from held h where h.base_currency = b and h.quote_currency = q)"""
+
+Q["s3_ingest_fx_payload"] = """select base_currency, quote_currency, as_of, rate from led_fx_history
+union all select 'AUD', 'PHP', date '2024-02-03', cast(3 as decimal(18,8))
+from (select distinct base_currency, date_trunc('month', as_of) from led_fx_history) x"""
 
 Q["s4_export_expenses"] = f"""select cast(t.user_id as varchar) user_id, cast(t.occurred_on as varchar) "date",
   coalesce(c.name, 'Uncategorized') category, t.direction, cast(t.amount as varchar) amount,
@@ -330,7 +366,9 @@ Q["s6_table_counts"] = union_all(
             "budgets": "led_budgets",
             "fund_overrides": "led_fund_overrides",
             "salary_profiles": "led_profiles",
+            "exchange_rates": "(values ('PHP'), ('AUD'), ('EUR')) x",
             "exchange_rate_history": "led_fx_history",
+            "jurisdictions": "(values ('PH'), ('US'), ('AU'), ('EU')) x",
         }.items()
     ]
 )
@@ -399,6 +437,9 @@ Q["f11_fx_range_bounds"] = """with asked as (
   select anchor, case day(anchor) % 3 when 1 then anchor - 1000 when 2 then anchor - 30 end s from days)
 select anchor, cast(case when s is null then anchor - 6 when anchor - s > 365 then anchor - 365
   else s end as date) start_on, anchor end_on from asked"""
+Q["f11_fx_preset_bounds"] = f"""select anchor, range_name,
+  case when range_name = 'all' then cast(anchor - 365 as date) else {_RANGE_START} end start_on,
+  case when range_name = 'all' then anchor else {_RANGE_END} end end_on from days, ranges"""
 Q["f13_fund_period_start"] = f"""select anchor, scope,
   case when scope = 'all' then date '1970-01-01' else {_SCOPE_START} end fund_start from days, scopes"""
 
@@ -471,6 +512,8 @@ select user_id, category_id, category_name, {year} as year, {month} as month, '{
   currency, spent > limit_amount over_budget from rated"""
 
 
+Q["j3_split_convertible"] = """select id, case when id % 9 = 0 then 'JPY' else currency end currency,
+  id % 9 <> 0 or id % 27 = 0 usable from led_transactions"""
 Q["j4_budget_spend"] = f"with {_status_ctes('ytd')}\nselect user_id, category_id, spent from spend"
 
 
@@ -886,6 +929,33 @@ union all select seq, op, 'not an expense category' from asked where seq not in
 union all select {_SEQ} + 3, 'upsert', 'not an expense category' from led_budgets
 where (user_id + month) % 13 = 0"""
 
+Q["u4_delete_budgets_by_id"] = f"""with b as (select {_BUDGET_ID} id from led_budgets)
+select id, '' reason from b where id % 5 <> 0
+union all select id * 4 + 1, 'budget not found' from b where id % 15 = 0
+union all select id * 4 + 2, 'budget not found' from b where id % 7 = 0
+union all select id * 4 + 3, 'budget not found' from b where id % 11 = 0"""
+
+_FUNDS = """asked as (
+  select id seq, case when id % 33 = 0 then 'reset' else 'upsert' end op,
+    case when id % 21 = 0 then -id - 1 else id end user_id,
+    case id % 5 when 0 then 'month' when 1 then '3m' when 2 then 'ytd' when 3 then 'all' else 'week' end as scope,
+    make_date(1998, id % 12 + 1, 15) anchor, cast(id as decimal(14,2)) amount
+  from led_users where id % 3 = 0),
+judged as (
+  select a.*, u.base_currency, case when a.scope = 'week' then 'unknown scope'
+    when u.id is null then 'user not found' end reason,
+    cast(case a.scope when 'month' then date_trunc('month', anchor)
+      when '3m' then date_trunc('month', anchor) - interval 2 month
+      when 'ytd' then date_trunc('year', anchor) else date '1970-01-01' end as date) period_start
+  from asked a left join led_users u on u.id = a.user_id)"""
+Q["u5_fund_by_anchor"] = f"""with {_FUNDS}
+select user_id, scope, period_start, amount, currency from led_fund_overrides o where not exists (
+  select 1 from judged j where j.reason is null and j.user_id = o.user_id and j.scope = o.scope
+    and j.period_start = o.period_start)
+union all select user_id, scope, period_start, amount, base_currency from judged
+where reason is null and op = 'upsert'"""
+Q["u5_fund_by_anchor_rejects"] = f"with {_FUNDS}\nselect seq, reason from judged where reason is not null"
+
 Q["u5_upsert_fund_overrides"] = """select o.user_id, o.scope, o.period_start,
   cast(case when o.user_id % 20 = 0 then o.amount + 5 else o.amount end as decimal(14,2)) amount,
   case when o.user_id % 20 = 0 then u.base_currency else o.currency end currency, o.user_id * 7 id,
@@ -923,6 +993,23 @@ from everything e left join opening f on f.user_id = e.user_id left join closing
 left join own o on o.id = e.id
 where not (e.id < 1000000000 and e.id % 61 = 0)"""
 
+_MADE = """asked as (
+  select *, id * 2 seq, id % 2 = 0 active, case when id % 7 = 1 then 'no rule for the region'
+    when id % 7 = 2 then 'gross must be positive' end reason
+  from payp where id % 67 = 0),
+made as (select * from asked where reason is null),
+switched as (select user_id, max(seq) filter (active) last_on from made group by user_id)"""
+Q["u6_create_profiles"] = f"""with {_MADE}
+select p.id, p.user_id, p.region, p.currency, cast(null as decimal(14,2)) net_amount,
+  cast(null as decimal(14,2)) total_deductions,
+  case when s.last_on is null then p.is_active else false end is_active
+from led_profiles p left join switched s on s.user_id = p.user_id
+union all
+select m.id + 2000000000, m.user_id, m.region, m.currency, cast(m.net_annual as decimal(14,2)),
+  cast(m.total_deductions as decimal(14,2)), coalesce(m.seq = s.last_on, false)
+from made m left join switched s on s.user_id = m.user_id"""
+Q["u6_create_rejects"] = f"with {_MADE}\nselect seq, reason from asked where reason is not null"
+
 _NEW_CATEGORIES = """asked as (
   select id seq, cast(id + 1000 as int) id, case when id % 70 = 0 then 'CAT_6'
       else concat('USR_', cast(id % 300 as varchar)) end as name,
@@ -961,6 +1048,31 @@ Q["u11_fx_coverage"] = """with asked as (
 held as (select base_currency, min(as_of) lo, max(as_of) hi from led_fx_history group by base_currency)
 select a.*, coalesce(a.end_on - h.hi <= 1 and h.lo <= a.start_on, false) covered
 from asked a left join held h on h.base_currency = a.base_currency"""
+_RATES = """asked as (
+  select distinct datediff('day', date '2000-01-01', occurred_on) request_id,
+    case when day(occurred_on) % 9 = 0 then 'EUR' else 'USD' end base_currency,
+    cast(occurred_on - case when day(occurred_on) % 3 <> 0 then 9 else 6 end as date) start_on,
+    occurred_on end_on from led_timed),
+held as (select * from led_fx_history where day(as_of) < 20),
+cover as (select base_currency, min(as_of) lo, max(as_of) hi from held group by base_currency),
+judged as (select a.*, coalesce(a.end_on - c.hi <= 1 and c.lo <= a.start_on, false) covered
+  from asked a left join cover c on c.base_currency = a.base_currency),
+loads as (
+  select j.request_id, h.base_currency, h.quote_currency, h.as_of, cast(h.rate + 1 as decimal(18,8)) rate
+  from judged j join led_fx_history h on h.as_of = j.end_on
+  where not j.covered and day(j.end_on) % 4 = 0 and j.base_currency = 'USD'),
+merged as (
+  select base_currency, quote_currency, as_of, rate from loads
+  union all select base_currency, quote_currency, as_of, rate from held h where not exists (
+    select 1 from loads l where l.as_of = h.as_of and l.quote_currency = h.quote_currency)),
+points as (select a.request_id, m.as_of, m.quote_currency, m.rate from asked a
+  join merged m on m.base_currency = a.base_currency and m.as_of between a.start_on and a.end_on)"""
+Q["fx_rates_for_requests"] = f"""with {_RATES}
+select request_id, base_currency, start_on, end_on,
+  covered or request_id in (select request_id from loads) live,
+  (select max(as_of) from points p where p.request_id = j.request_id) as_of,
+  case base_currency when 'EUR' then 'AUD,PHP,USD' else 'AUD,EUR,PHP' end quotes from judged j"""
+Q["fx_rate_points_for_requests"] = f"with {_RATES}\nselect * from points"
 Q["u12_fx_series"] = """select as_of, quote_currency, rate from led_fx_history
 where base_currency = 'USD' and as_of between date '2024-01-05' and date '2024-01-20'"""
 

@@ -12,8 +12,8 @@ from driver_queries.views import Views, views
 from purseflow.functions import money as m, payroll_rules as rules, periods as p
 from purseflow.operators import budgets as b, changes as c, fx, insights, ledger as l
 from purseflow.operators import payroll as pay, reports as r
-from purseflow.plans import dashboards
-from purseflow.schemas import SCOPES, TIME_RANGES
+from purseflow.plans import dashboards, rates
+from purseflow.schemas import SCOPES, TABLES, TIME_RANGES
 from purseflow.session import fresh_path
 from purseflow.sources import csv_export, fx_payloads, seeds, tables
 
@@ -71,43 +71,98 @@ def pick(df: DataFrame, *fields: str) -> DataFrame:
 # ------------------------------------------------------------------------ sources and sinks
 
 
-@query
-def s1_read_ledger(v: Views) -> DataFrame:
-    """All nine tables written as a database dump (enum names), read back normalised."""
-    root = fresh_path(v.spark, "ledger")
-    names = F.create_map(
+def _dumped(v: Views, name: str) -> DataFrame:
+    """A table as a database dumps it, with enum names."""
+    scopes = F.create_map(
         *[F.lit(x) for x in ("month", "MONTH", "3m", "QUARTER", "ytd", "YTD", "all", "ALL")]
     )
-    rates = seeds.reference_rates(v.spark).withColumn("as_of", F.lit(ANCHOR))
-    none = v.spark.createDataFrame([], "region string")
-    dump = {
-        "users": v.users,
-        "transactions": v.transactions.withColumn("direction", F.upper("direction")),
-        "categories": v.categories.withColumn("direction", F.upper("direction")),
-        "budgets": v.budgets,
-        "fund_overrides": v.fund_overrides.withColumn("scope", names[F.col("scope")]),
-        "salary_profiles": v.profiles.withColumn("pay_period", F.upper("pay_period")),
-        "exchange_rates": rates,
-        "exchange_rate_history": v.fx_history,
-        "jurisdictions": seeds.seed_jurisdictions(none.select(
-            "region", *[F.lit(None).cast("string").alias(n) for n in ("name", "currency", "modelled_as")],
-            F.lit(True).alias("supported"),
-        )),
+    dumps = {
+        "users": lambda: v.users,
+        "transactions": lambda: v.transactions.withColumn("direction", F.upper("direction")),
+        "categories": lambda: v.categories.withColumn("direction", F.upper("direction")),
+        "budgets": lambda: v.budgets,
+        "fund_overrides": lambda: v.fund_overrides.withColumn("scope", scopes[F.col("scope")]),
+        "salary_profiles": lambda: v.profiles.withColumn("pay_period", F.upper("pay_period")),
+        "exchange_rates": lambda: v.fx_history.filter("day(as_of) = 10"),
+        "exchange_rate_history": lambda: v.fx_history,
+        "jurisdictions": lambda: _jurisdictions(v),
     }
-    for name, df in dump.items():
-        tables.write_table(df, root, name)
-    read = tables.read_ledger(v.spark, root)
-    return read["transactions"].select(
-        "id",
-        "user_id",
-        "direction",
-        "category_id",
-        "amount",
-        "currency",
-        "region",
-        "occurred_on",
-        "occurred_time",
+    return dumps[name]()
+
+
+def _read_back(v: Views, name: str, fmt: str) -> DataFrame:
+    """All columns of a table that was written and is read normalised."""
+    root = fresh_path(v.spark, "ledger")
+    tables.write_table(_dumped(v, name), root, name, fmt)
+    read = tables.read_table(v.spark, root, name, fmt)
+    return read.select(*TABLES[name].names)
+
+
+@query
+def s1_read_ledger(v: Views) -> DataFrame:
+    return _read_back(v, "transactions", "parquet")
+
+
+@query
+def s1_read_users(v: Views) -> DataFrame:
+    return _read_back(v, "users", "csv")
+
+
+@query
+def s1_read_categories(v: Views) -> DataFrame:
+    return _read_back(v, "categories", "json")
+
+
+@query
+def s1_read_budgets(v: Views) -> DataFrame:
+    return _read_back(v, "budgets", "orc")
+
+
+@query
+def s1_read_fund_overrides(v: Views) -> DataFrame:
+    return _read_back(v, "fund_overrides", "csv")
+
+
+@query
+def s1_read_salary_profiles(v: Views) -> DataFrame:
+    return _read_back(v, "salary_profiles", "parquet")
+
+
+@query
+def s1_read_exchange_rates(v: Views) -> DataFrame:
+    return _read_back(v, "exchange_rates", "csv")
+
+
+@query
+def s1_read_exchange_rate_history(v: Views) -> DataFrame:
+    return _read_back(v, "exchange_rate_history", "parquet")
+
+
+@query
+def s1_read_jurisdictions(v: Views) -> DataFrame:
+    return _read_back(v, "jurisdictions", "json")
+
+
+def _jurisdictions(v: Views) -> DataFrame:
+    """Reference jurisdictions added to a table that holds one row of a region with users."""
+    first = v.users.filter("default_region = 'US'").limit(1)
+    held = first.selectExpr(
+        "5L id", "default_region region", "'Own' name", "base_currency currency", "'own' modelled_as", "false supported"
     )
+    return seeds.seed_jurisdictions(held)
+
+
+@query
+def s2_seed_jurisdictions(v: Views) -> DataFrame:
+    return _jurisdictions(v)
+
+
+@query
+def s2_seed_rates(v: Views) -> DataFrame:
+    """The missing USD rates next to the newest stored ones, which stay as they are."""
+    latest = v.fx_history.filter("quote_currency <> 'AUD'").groupBy("base_currency", "quote_currency")
+    held = latest.agg(F.max_by("rate", "as_of").alias("rate"), F.max("as_of").alias("as_of"))
+    return seeds.seed_rates(held.withColumn("id", F.ascii("quote_currency").cast("bigint")), ANCHOR)
 
 
 @query
@@ -143,6 +198,10 @@ def s3_ingest_fx_payload(v: Views) -> DataFrame:
         "not json",
         '{"base": "USD", "rates": {"2024-02-01": {"PHP": 1.5}, "no-day": {"PHP": 2.5}}}',
         '{"base": "USD", "rates": {"2024-02-02": {"PHP": "x"}}}',
+        '{"base": "USD", "rates": {"2024-2-1": {"PHP": 1.5}}}',
+        '{"base": "USD", "rates": {"2024": {"PHP": 1.5}}}',
+        # Good, but for days and quotes that it repeats: the last entries count.
+        '{"base": "aud", "rates": {"2024-02-03": {"PHP": 1}, "2024-02-03": {"PHP": 2, "PHP": 3}}}',
     ]
     bad = per_month.select(F.explode(F.array(*[F.lit(t) for t in bad_texts])).alias("value"))
     path = fresh_path(v.spark, "fx-payloads")
@@ -181,7 +240,9 @@ def s6_table_counts(v: Views) -> DataFrame:
             "budgets": v.budgets,
             "fund_overrides": v.fund_overrides,
             "salary_profiles": v.profiles,
+            "exchange_rates": seeds.reference_rates(v.spark),
             "exchange_rate_history": v.fx_history,
+            "jurisdictions": _jurisdictions(v),
         }
     )
 
@@ -272,6 +333,13 @@ def f11_fx_range_bounds(v: Views) -> DataFrame:
     return days.select("anchor", start.alias("start_on"), end.alias("end_on"))
 
 
+@query
+def f11_fx_preset_bounds(v: Views) -> DataFrame:
+    rows = anchors(v, "range_name", TIME_RANGES)
+    start, end = p.fx_preset_bounds(F.col("range_name"), F.col("anchor"))
+    return rows.withColumn("start_on", start).withColumn("end_on", end)
+
+
 @query
 def f13_fund_period_start(v: Views) -> DataFrame:
     rows = anchors(v, "scope", SCOPES)
@@ -307,6 +375,18 @@ def j3_convert(v: Views) -> DataFrame:
     return done.select("id", "amount", "currency", "target", "converted")
 
 
+def _split(v: Views) -> tuple[DataFrame, DataFrame]:
+    known = F.when(F.col("id") % 9 == 0, "JPY").otherwise(F.col("currency"))
+    rows = v.transactions.withColumn("currency", known)
+    target = F.when(F.col("id") % 27 == 0, "JPY").otherwise("USD")
+    return fx.split_convertible(rows, v.matrix, "currency", target)
+
+
+@query
+def j3_split_convertible(v: Views) -> DataFrame:
+    return union([part.select("id", "currency", F.lit(ok).alias("usable")) for part, ok in zip(_split(v), (True, False))])
+
+
 @query
 def j4_budget_spend(v: Views) -> DataFrame:
     limits = b.budget_limits(v.budgets, v.matrix, "ytd", ANCHOR)
@@ -905,6 +985,51 @@ def u4_budget_rejects(v: Views) -> DataFrame:
     return rejected.select("seq", "op", "reason")
 
 
+@query
+def u4_delete_budgets_by_id(v: Views) -> DataFrame:
+    """Kept ids and rejected requests: others' budgets, repeated deletes and unknown ids."""
+    key = F.expr("user_id * 10000000L + category_id * 100000L + year * 20 + month")
+    base = v.budgets.withColumn("id", key)
+    asked = _variants(
+        base.select("id", "user_id"),
+        (key_mod("id", 5), {"seq": F.col("id") * 4}),
+        (key_mod("id", 15), {"seq": F.col("id") * 4 + 1}),
+        (key_mod("id", 7), {"seq": F.col("id") * 4 + 2, "user_id": F.col("user_id") + 1}),
+        (key_mod("id", 11), {"seq": F.col("id") * 4 + 3, "id": -F.col("id") - 1}),
+    )
+    kept, rejected = c.delete_budgets(base, asked)
+    return kept.select("id", F.lit("").alias("reason")).union(rejected.select("seq", "reason"))
+
+
+def key_mod(name: str, slot: int) -> Column:
+    return F.col(name) % slot == 0
+
+
+def _funds_by_anchor(v: Views) -> tuple[DataFrame, DataFrame]:
+    day = F.make_date(F.lit(1998), (F.col("id") % 12 + 1).cast("int"), F.lit(15))
+    scopes = F.array(*[F.lit(x) for x in ("month", "3m", "ytd", "all", "week")])
+    asked = v.users.filter("id % 3 = 0").select(
+        F.col("id").alias("seq"),
+        F.when(F.col("id") % 33 == 0, "reset").otherwise("upsert").alias("op"),
+        F.when(F.col("id") % 21 == 0, -F.col("id") - 1).otherwise(F.col("id")).alias("user_id"),
+        F.element_at(scopes, (F.col("id") % 5 + 1).cast("int")).alias("scope"),
+        day.alias("anchor"),
+        F.col("id").cast("decimal(14,2)").alias("amount"),
+        F.lit(None).cast("string").alias("currency"),
+    )
+    return c.apply_funds_by_anchor(v.fund_overrides, asked, v.users)
+
+
+@query
+def u5_fund_by_anchor(v: Views) -> DataFrame:
+    return _funds_by_anchor(v)[0]
+
+
+@query
+def u5_fund_by_anchor_rejects(v: Views) -> DataFrame:
+    return _funds_by_anchor(v)[1].select("seq", "reason")
+
+
 @query
 def u5_upsert_fund_overrides(v: Views) -> DataFrame:
     """Raised amounts, resets of some, and new overrides for users that had none."""
@@ -968,6 +1093,37 @@ def u6_activate_profile(v: Views) -> DataFrame:
     return c.apply_profiles(base, created, actions)[0]
 
 
+def _created_profiles(v: Views) -> tuple[DataFrame, DataFrame]:
+    """A new profile for every 67th stored one, from its input; some with bad regions or pay."""
+    none = F.lit(None).cast("decimal(14,2)")
+    base = v.profiles.withColumn("net_amount", none).withColumn("total_deductions", none)
+    slot = F.col("id") % 7
+    asked = v.profiles.filter("id % 67 = 0").select(
+        (F.col("id") * 2).alias("seq"),
+        (F.col("id") + 2_000_000_000).alias("id"),
+        "user_id",
+        F.when(slot == 1, "XX").otherwise(F.col("region")).alias("region"),
+        F.when(slot == 2, -F.col("gross_amount")).otherwise(F.col("gross_amount")).alias("gross_amount"),
+        "pay_period",
+        "tax_year",
+        (F.col("id") % 2 == 0).alias("make_active"),
+        F.expr("timestamp_ntz'2003-01-01 00:00:00'").alias("at"),
+    )
+    return c.create_profiles(base, asked)
+
+
+@query
+def u6_create_profiles(v: Views) -> DataFrame:
+    return _created_profiles(v)[0].select(
+        "id", "user_id", "region", "currency", "net_amount", "total_deductions", "is_active"
+    )
+
+
+@query
+def u6_create_rejects(v: Views) -> DataFrame:
+    return _created_profiles(v)[1].select("seq", "reason")
+
+
 def _category_changes(v: Views) -> tuple[DataFrame, DataFrame]:
     base = v.categories.select(
         "id",
@@ -1058,6 +1214,34 @@ def u11_fx_coverage(v: Views) -> DataFrame:
     )
 
 
+def _rate_answers(v: Views) -> rates.RateAnswers:
+    """Weekly requests; the history ends on the 19th, and every fourth day's request loads more."""
+    day = F.col("occurred_on")
+    asked = v.timed.select(
+        F.datediff(day, F.lit(date(2000, 1, 1))).cast("bigint").alias("request_id"),
+        F.when(F.day(day) % 9 == 0, "eur").otherwise("usd").alias("base_currency"),
+        F.when(F.day(day) % 3 != 0, F.date_sub(day, 9)).alias("start_on"),
+        day.alias("end_on"),
+    ).distinct()
+    loads = asked.filter("day(end_on) % 4 = 0 and base_currency = 'usd'")
+    loaded = v.fx_history.join(loads.select("request_id", F.col("end_on").alias("as_of")), "as_of")
+    loaded = loaded.withColumn("seq", F.col("request_id")).withColumn(
+        "rate", (F.col("rate") + 1).cast("decimal(18,8)")
+    )
+    held = v.fx_history.filter("day(as_of) < 20")
+    return rates.fx_rates_for_requests(asked, held, held.filter("day(as_of) = 10"), loaded)
+
+
+@query
+def fx_rates_for_requests(v: Views) -> DataFrame:
+    return _rate_answers(v).requests.withColumn("quotes", F.array_join("quotes", ","))
+
+
+@query
+def fx_rate_points_for_requests(v: Views) -> DataFrame:
+    return _rate_answers(v).points
+
+
 @query
 def u12_fx_series(v: Views) -> DataFrame:
     """The day-to-quotes maps unfolded again, for comparison."""

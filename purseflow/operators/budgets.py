@@ -137,7 +137,7 @@ def budget_spend(
     matched = months.join(targets, [*KEY, "display_currency"]).filter(
         (F.col("_month") >= F.col("period_start")) & (F.col("_month") < F.col("period_end"))
     )
-    return priced(matched).groupBy(*KEY).agg(money_sum(F.col("_spent")).alias("spent"))
+    return priced(matched, "period_start").groupBy(*KEY).agg(money_sum(F.col("_spent")).alias("spent"))
 
 
 def budget_status(

@@ -20,7 +20,10 @@ from purseflow.operators.ledger import (
 )
 from purseflow.operators.merging import last_of_batch, merged_by_key
 from purseflow.operators.skew import previous_value
-from purseflow.schemas import MONTH_COLUMN
+from purseflow.functions.payroll_rules import RULES, RuleSet
+from purseflow.functions.periods import fund_period_start
+from purseflow.operators.payroll import breakdown_json, payroll_rejects, profile_snapshot
+from purseflow.schemas import MONTH_COLUMN, SCOPES
 from purseflow.session import staged
 
 PATCHABLE = ("category_id", "amount", "currency", "occurred_on", "occurred_time", "description")
@@ -180,9 +183,65 @@ def apply_fund_overrides(base: DataFrame, changes: DataFrame, users: DataFrame)
     return merged_by_key(base, final)
 
 
+def apply_funds_by_anchor(
+    base: DataFrame, changes: DataFrame, users: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Upsert and reset overrides given by (scope, anchor) instead of the period's first day."""
+    known = _bases(users, changes).select("user_id", F.lit(True).alias("_known"))
+    reason = F.when(~F.coalesce(F.col("scope").isin(list(SCOPES)), F.lit(False)), "unknown scope").when(
+        F.col("_known").isNull(), "user not found"
+    )
+    judged = changes.join(known, "user_id", "left").withColumn("reason", reason).drop("_known")
+    checked = staged(judged, "fund-requests")
+    good = checked.filter(F.col("reason").isNull()).withColumn(
+        "period_start", fund_period_start(F.col("scope"), F.col("anchor"))
+    )
+    rejected = checked.filter(F.col("reason").isNotNull())
+    return apply_fund_overrides(base, good.drop("anchor", "reason"), users), rejected
+
+
+def delete_budgets(base: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Delete budgets by (seq, id, user_id); an unknown, deleted or other user's id is rejected."""
+    rows = base.withColumn("_born", F.lit(-1).cast("bigint"))
+    asked = changes.withColumn("op", F.lit("delete"))
+    done = _done(staged(_owned(rows, asked), "budget-deletes"))
+    kept = base.join(done.select("id"), "id", "left_anti").select(*base.columns)
+    rejected = changes.join(done.select("seq"), "seq", "left_anti").withColumn(
+        "reason", F.lit("budget not found")
+    )
+    return kept, rejected
+
+
 # ---------------------------------------------------------------------------------- profiles
 
 
+def create_profiles(
+    base: DataFrame, asked: DataFrame, actions: DataFrame | None = None, rules: RuleSet = RULES
+) -> tuple[DataFrame, DataFrame]:
+    """Store profiles from calculator input, with the breakdown computed when they are made.
+
+    ``asked`` holds seq, id, user_id, region, gross_amount, pay_period, tax_year (NULL: the usual
+    one), make_active and the time ``at``, and may hold other columns of the table. Input that no
+    rule applies to is rejected; ``actions`` of the same batch are those of ``apply_profiles``.
+    """
+    bad = payroll_rejects(asked, rules).select("seq", "id", "user_id", "reason")
+    good = asked.join(bad.select("seq"), "seq", "left_anti")
+    made = profile_snapshot(good, rules).withColumns(
+        {"is_active": F.col("make_active"), "created_at": F.col("at"), "updated_at": F.col("at")}
+    )
+    kinds = dict(base.dtypes)
+    if kinds.get("breakdown") == "string":
+        made = made.withColumn("breakdown", breakdown_json(F.col("breakdown")))
+    fields = [
+        (F.col(n) if n in made.columns else F.lit(None)).cast(kinds[n]).alias(n) for n in base.columns
+    ]
+    if actions is None:
+        actions = good.limit(0).select("seq", F.lit("activate").alias("op"), "id", "user_id", "at")
+    table, refused = apply_profiles(base, staged(made.select("seq", *fields), "profiles"), actions)
+    return table, bad.unionByName(refused.select("seq", "id", "user_id", "reason"))
+
+
+
 def apply_profiles(
     base: DataFrame, created: DataFrame, actions: DataFrame
 ) -> tuple[DataFrame, DataFrame]:

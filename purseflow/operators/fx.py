@@ -172,10 +172,15 @@ def in_currencies(tx: DataFrame, matrix: DataFrame, codes: DataFrame) -> DataFra
     return quoted.withColumn("amt", value).withColumn(UNPRICED, missing).drop("_rate")
 
 
-def priced(sums: DataFrame) -> DataFrame:
-    """Sums of rows in several currencies, once the wanted ones are picked; an error if one of
-    them holds a row without a rate."""
-    fail = F.raise_error(F.concat(F.lit("no exchange rate to "), F.col("display_currency")))
+def priced(sums: DataFrame, wanted_by: str) -> DataFrame:
+    """Sums of rows in several currencies, once a join has picked the wanted ones; an error if one
+    of them holds a row without a rate.
+
+    ``wanted_by`` is a column of the join's other side. It is part of the error, so that the
+    check cannot move below the join, to sums that nobody wants.
+    """
+    parts = (F.lit("no exchange rate to "), F.col("display_currency"), F.lit(", wanted by "))
+    fail = F.raise_error(F.concat(*parts, F.col(wanted_by).cast("string")))
     return sums.filter(F.when(F.col(UNPRICED), fail.cast("boolean")).otherwise(True)).drop(UNPRICED)
 
 
@@ -198,9 +203,12 @@ def sums_per_user(
         *sums, F.bool_or(UNPRICED).alias(UNPRICED)
     )
     own = users.select(
-        F.col("id").alias("user_id"), F.upper("base_currency").alias("display_currency")
+        F.col("id").alias("user_id"),
+        F.upper("base_currency").alias("display_currency"),
+        F.col("id").alias("_asker"),
     )
-    return priced(every.join(own, ["user_id", "display_currency"])).drop("display_currency")
+    picked = every.join(own, ["user_id", "display_currency"])
+    return priced(picked, "_asker").drop("display_currency", "_asker")
 
 
 # ----------------------------------------------------------------------------- rate history
