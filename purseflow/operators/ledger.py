@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -44,6 +45,25 @@ def filter_transactions(
     return tx
 
 
+def listed(
+    start: Column | date | str | None = None,
+    end: Column | date | str | None = None,
+    region: str | None = None,
+    direction: str | None = None,
+) -> Column:
+    """The condition of ``filter_transactions``, without the month partitions."""
+    tests = [F.lit(True)]
+    if start is not None:
+        tests.append(F.col("occurred_on") >= as_day(start))
+    if end is not None:
+        tests.append(F.col("occurred_on") <= as_day(end))
+    if region is not None:
+        tests.append(F.col("region") == region)
+    if direction is not None:
+        tests.append(F.col("direction") == direction)
+    return reduce(lambda a, b: a & b, tests)
+
+
 def newest_first() -> list[Column]:
     return [F.desc("occurred_on"), F.desc_nulls_last("occurred_time"), F.desc("id")]
 
@@ -97,11 +117,22 @@ def read_currency(given: Column, base: Column) -> Column:
     return F.upper(F.coalesce(F.nullif(given, F.lit("")), base))
 
 
-def running_balance_by_transaction(converted: DataFrame, region: str | None = None) -> DataFrame:
-    """Balance after each transaction over the user's full history."""
+def running_balance_by_transaction(
+    converted: DataFrame, region: str | None = None, newest: tuple[Column, int] | None = None
+) -> DataFrame:
+    """Balance after each transaction over the user's full history.
+
+    With ``newest``, only rows of the days that hold each user's newest rows of interest.
+    """
     rows = filter_transactions(converted, region=region)
     return running_sum(
-        rows, "user_id", "occurred_on", oldest_first(), signed(F.col("amt")), "balance"
+        rows,
+        "user_id",
+        "occurred_on",
+        oldest_first(),
+        signed(F.col("amt")),
+        "balance",
+        newest=newest,
     )
 
 
@@ -114,9 +145,10 @@ def ledger_view(
 ) -> DataFrame:
     """Newest rows with category name and running balance.
 
-    The balance is taken over the full history first, then the listing filters apply.
+    The balance is over the full history; days before the ones that the listing reaches are
+    added up and not sorted.
     """
-    with_balance = running_balance_by_transaction(converted, region)
+    with_balance = running_balance_by_transaction(converted, region, (listed(**filters), limit))
     return with_category_name(list_transactions(with_balance, limit, **filters), categories)
 
 

@@ -71,17 +71,30 @@ def running_sum(
     value: Column,
     out: str,
     kind: str = "decimal(18,2)",
+    newest: tuple[Column, int] | None = None,
 ) -> DataFrame:
     """Cumulative sum of ``value`` per key, in two levels.
 
     ``order`` begins with ``step``, such as the day. Sums per (key, step) are partial aggregates
     and few per key; a window over them gives what each step opens with. Rows are shuffled once,
     by key and step, so that a key with very many rows spreads over its steps.
+
+    ``newest``, a condition and a number k, keeps only the steps that each key's k newest rows
+    with the condition lie in; older steps are in the opening sums, and their rows are dropped by
+    the join.
     """
     rows = df.withColumn("_value", value)
-    before = Window.partitionBy(key).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    steps = rows.groupBy(key, step).agg(F.sum("_value").alias("_sum"))
-    opening = steps.withColumn("_open", F.sum("_sum").over(before)).drop("_sum")
+    past = (Window.unboundedPreceding, -1)
+    before = Window.partitionBy(key).orderBy(step).rowsBetween(*past)
+    wanted = F.count_if(newest[0]) if newest else F.lit(0)
+    steps = rows.groupBy(key, step).agg(F.sum("_value").alias("_sum"), wanted.alias("_wanted"))
+    opening = steps.withColumn("_open", F.sum("_sum").over(before))
+    if newest:
+        after = Window.partitionBy(key).orderBy(F.desc(step)).rowsBetween(*past)
+        newer = F.coalesce(F.sum("_wanted").over(after), F.lit(0))
+        opening = opening.withColumn("_newer", newer)
+        opening = opening.filter((F.col("_newer") < newest[1]) & (F.col("_wanted") > 0))
+    opening = opening.select(key, step, "_open")
     inside = Window.partitionBy(key, step).orderBy(*order)
     here = F.sum("_value").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     total = here + F.coalesce("_open", F.lit(0)).cast("decimal(28,2)")

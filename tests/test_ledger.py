@@ -166,3 +166,19 @@ def test_rejects(spark, categories):
         3: "category not found",
         4: "amount must be positive",
     }
+
+
+@pytest.mark.parametrize("filters", [{}, {"direction": "outbound"}, {"end": date(2026, 1, 9)}])
+def test_ledger_view_reaches_back_as_far_as_it_lists(busy, matrix, filters):
+    """The newest rows and their balances, as taken from the whole history."""
+    names = busy.selectExpr("category_id id", "'c' name").limit(0)
+    view = l.ledger_view(in_usd(busy, matrix), names, limit=4, **filters)
+    balances = by_hand(busy.collect())
+    rows = l.filter_transactions(busy, **filters).collect()
+    newest = sorted(rows, key=lambda r: (r.occurred_on, r.occurred_time or "", r.id), reverse=True)
+    expected, taken = {}, {}
+    for r in newest:
+        taken[r.user_id] = taken.get(r.user_id, 0) + 1
+        if taken[r.user_id] <= 4:
+            expected[r.id] = (taken[r.user_id], balances[r.id])
+    assert {r.id: (r.position, r.balance) for r in view.collect()} == expected
