@@ -611,6 +611,10 @@ grid as (
 
 Q["a5_monthly_expense_by_category"] = f"with {_grid(6)}\nselect * from grid"
 
+Q["a5_monthly_series"] = f"""with {_grid(6)}
+select user_id, category_id, category_name, string_agg(month, ',' order by month) "months",
+  string_agg(cast(value as varchar), ',' order by month) "values" from grid group by 1, 2, 3"""
+
 Q["a6_top5_plus_other"] = f"""with {_grid(36)},
 ranked as (select user_id, category_id, row_number() over (
     partition by user_id order by sum(value) desc, category_id) rk from grid group by user_id, category_id)
@@ -632,12 +636,18 @@ select user_id, currency, count(*) filter (spent <= limit_amount and utilization
   {money_sum('case when spent > limit_amount then spent - limit_amount end')} over_amount
 from rated group by user_id, currency"""
 
-Q["a11_budget_projection"] = f"""with {_status_ctes('3m')},
+# Days passed and days of each period on 15 June 1998.
+for _name, _scope, _passed, _days in (
+    ("a11_budget_projection", "3m", 76, 91),
+    ("a11_budget_projection_month", "month", 15, 30),
+    ("a11_budget_projection_ytd", "ytd", 166, 181),
+):
+    _pace = f"cast(spent as double) / {_passed}.0::double * {_days}.0::double"
+    Q[_name] = f"""with {_status_ctes(_scope)},
 sums as (select user_id, currency, {money_sum('spent')} spent, {money_sum('limit_amount')} limit_amount
   from rated group by user_id, currency)
-select *, cast(76 as int) elapsed_days, cast(91 as int) total_days,
-  cast(spent as double) / 76.0::double * 91.0::double projected,
-  cast(spent as double) / 76.0::double * 91.0::double > cast(limit_amount as double) flagged
+select *, cast({_passed} as int) elapsed_days, cast({_days} as int) total_days, {_pace} projected,
+  {_pace} > cast(limit_amount as double) flagged
 from sums"""
 
 _TOTALS = f"select user_id, {INCOME} ti, {EXPENSE} te from conv group by user_id"
@@ -818,8 +828,11 @@ select user_id, category_id, {ratio('total', 'te', 4)} share4, {ratio('total', '
 Q["x5_percent_text"] = f"""{_SHARES}
 select user_id, category_id, concat(cast(cast({ratio('total', 'te', 2)} * 100 as bigint) as varchar), '%') share
 from s"""
-Q["x9_amount_text"] = """select id, cast(amount as varchar) amount,
-  cast(cast(amount * 0.0001 as decimal(24,6)) as varchar) rate from led_transactions"""
+# Half a cent's worth per cent: odd cents are ties, which go to the even neighbour.
+_CENTS = "cast(amount * 100 as bigint)"
+Q["x9_amount_text"] = f"""select id, cast(amount as varchar) amount,
+  cast(cast(({_CENTS} // 2 + case when {_CENTS} % 4 = 3 then 1 else 0 end) * cast(0.000001 as decimal(7,6))
+    as decimal(24,6)) as varchar) rate from led_transactions"""
 Q["x10_currency_code"] = "select id, upper(lower(currency)) currency from led_timed"
 
 Q["p1_progressive_tax"] = f"""with p as (select id, gross_amount x from led_profiles)
@@ -1010,6 +1023,10 @@ select m.id + 2000000000, m.user_id, m.region, m.currency, cast(m.net_annual as
 from made m left join switched s on s.user_id = m.user_id"""
 Q["u6_create_rejects"] = f"with {_MADE}\nselect seq, reason from asked where reason is not null"
 
+Q["u6_profile_rejects"] = """select id * 4 seq, 'activate' op, 'profile not found' reason from led_profiles where id % 59 = 0
+union all select id * 4 + 2, 'delete', 'profile not found' from led_profiles where id % 61 = 0
+union all select id * 4 + 3, 'activate', 'profile not found' from led_profiles where id % 67 = 0 and id % 61 = 0"""
+
 _NEW_CATEGORIES = """asked as (
   select id seq, cast(id + 1000 as int) id, case when id % 70 = 0 then 'CAT_6'
       else concat('USR_', cast(id % 300 as varchar)) end as name,
@@ -1031,6 +1048,10 @@ Q["u8_update_users"] = """select id, case when id % 18 = 0 then 'renamed' else n
   case when id % 18 = 0 then null else concat('u', cast(id as varchar)) end email
 from led_users"""
 
+Q["u8_user_rejects"] = """select id + 1 seq, -id - 1 id, 'user not found' reason from led_users where id % 60 = 0"""
+Q["u8_default_user"] = """select id, name, base_currency, default_region from led_users where default_region = 'PH'
+union all select 1, 'Breadwinner', 'USD', 'US'"""
+
 Q["u9_upsert_fx_history"] = """select base_currency, quote_currency, as_of,
   cast(case when day(as_of) > 15 then rate + 2 when day(as_of) % 2 = 1 then rate + 1 else rate end
     as decimal(18,8)) rate,

@@ -461,6 +461,14 @@ def a5_monthly_expense_by_category(v: Views) -> DataFrame:
     return r.monthly_expense_by_category(usd(v), v.categories, 6)
 
 
+@query
+def a5_monthly_series(v: Views) -> DataFrame:
+    """Aligned arrays per category, as text."""
+    series = r.monthly_series(r.monthly_expense_by_category(usd(v), v.categories, 6))
+    values = F.array_join(F.col("values").cast("array<string>"), ",")
+    return series.withColumn("months", F.array_join("months", ",")).withColumn("values", values)
+
+
 @query
 def a6_top5_plus_other(v: Views) -> DataFrame:
     return r.top_plus_other(r.monthly_expense_by_category(usd(v), v.categories, 36))
@@ -504,7 +512,21 @@ def a10_budget_kpis(v: Views) -> DataFrame:
 
 @query
 def a11_budget_projection(v: Views) -> DataFrame:
-    return b.budget_projection(_status(v, "3m"), ANCHOR).select(
+    return _projection(v, "3m")
+
+
+@query
+def a11_budget_projection_month(v: Views) -> DataFrame:
+    return _projection(v, "month")
+
+
+@query
+def a11_budget_projection_ytd(v: Views) -> DataFrame:
+    return _projection(v, "ytd")
+
+
+def _projection(v: Views, scope: str) -> DataFrame:
+    return b.budget_projection(_status(v, scope), ANCHOR).select(
         "user_id", "currency", "spent", "limit_amount", "elapsed_days", "total_days", "projected", "flagged"
     )
 
@@ -687,7 +709,8 @@ def x5_percent_text(v: Views) -> DataFrame:
 
 @query
 def x9_amount_text(v: Views) -> DataFrame:
-    small = F.col("amount") * F.lit("0.0001").cast("decimal(5,4)")
+    """Every amount of odd cents lies halfway between two rates."""
+    small = F.col("amount") * F.lit("0.00005").cast("decimal(6,5)")
     return v.transactions.select(
         "id", m.amount_text(F.col("amount")).alias("amount"), m.amount_text(small, 6).alias("rate")
     )
@@ -1124,6 +1147,22 @@ def u6_create_rejects(v: Views) -> DataFrame:
     return _created_profiles(v)[1].select("seq", "reason")
 
 
+@query
+def u6_profile_rejects(v: Views) -> DataFrame:
+    """Activations of others' profiles and repeated deletes."""
+    base = v.profiles.select("id", "user_id", "is_active", "updated_at")
+    at = F.expr("timestamp_ntz'2002-01-01 00:00:00'")
+    actions = _variants(
+        base.select("id", "user_id"),
+        (key_mod("id", 59), {"seq": F.col("id") * 4, "op": F.lit("activate"), "user_id": F.col("user_id") + 1}),
+        (key_mod("id", 61), {"seq": F.col("id") * 4 + 1, "op": F.lit("delete")}),
+        (key_mod("id", 61), {"seq": F.col("id") * 4 + 2, "op": F.lit("delete")}),
+        (key_mod("id", 67), {"seq": F.col("id") * 4 + 3, "op": F.lit("activate")}),
+    ).withColumn("at", at)
+    none = base.limit(0).withColumn("seq", F.lit(0).cast("bigint"))
+    return c.apply_profiles(base, none, actions)[1].select("seq", "op", "reason")
+
+
 def _category_changes(v: Views) -> tuple[DataFrame, DataFrame]:
     base = v.categories.select(
         "id",
@@ -1176,6 +1215,28 @@ def u8_update_users(v: Views) -> DataFrame:
     return c.update_users(base, changes)[0]
 
 
+@query
+def u8_user_rejects(v: Views) -> DataFrame:
+    asked = v.users.filter("id % 30 = 0").select(
+        F.when(F.col("id") % 60 == 0, -F.col("id") - 1).otherwise(F.col("id")).alias("id"),
+        "name",
+        F.lit(None).cast("string").alias("email"),
+        "base_currency",
+        "default_region",
+    )
+    changes = _change(asked, "patch", F.abs("id"), ["name"])
+    return c.update_users(v.users.withColumn("email", F.lit(None).cast("string")), changes)[1].select(
+        "seq", "id", "reason"
+    )
+
+
+@query
+def u8_default_user(v: Views) -> DataFrame:
+    """The users of a region without any, and those of one with some."""
+    empty = c.default_user_if_none(v.users.filter("default_region = 'XX'"))
+    return empty.union(c.default_user_if_none(v.users.filter("default_region = 'PH'")))
+
+
 @query
 def u9_upsert_fx_history(v: Views) -> DataFrame:
     day_id = F.expr("datediff(as_of, date'2000-01-01') * 10L + length(quote_currency) + ascii(quote_currency) % 7")

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from purseflow.functions.money import percent_text, ratio
-from purseflow.operators.reports import top_expense_categories
-from purseflow.schemas import INBOUND
 
 # Thresholds and texts of the findings.
 SAVINGS_TARGET = "0.20"
@@ -140,20 +138,6 @@ def _findings() -> list[Column]:
     ]
 
 
-def insight_inputs(category_totals: DataFrame) -> DataFrame:
-    """Per user: the largest expense category and the number of income categories above 0."""
-    top = top_expense_categories(category_totals, 1).select(
-        "user_id",
-        F.col("category_name").alias("top_name"),
-        F.col("total").alias("top_total"),
-    )
-    earning = (F.col("direction") == INBOUND) & (F.col("total") > 0)
-    streams = category_totals.groupBy("user_id").agg(
-        F.count_if(earning).alias("income_streams")
-    )
-    return streams.join(top, "user_id", "left")
-
-
 def insight_list(summary: DataFrame) -> DataFrame:
     """Add ``insights`` to one row per user that holds currency, totals, salary_net, top_name,
     top_total and income_streams."""

@@ -230,12 +230,3 @@ def statutory_split(category_totals: DataFrame, categories: DataFrame) -> DataFr
         .groupBy("user_id", F.coalesce("statutory", F.lit(False)).alias("statutory"))
         .agg(money_sum(F.col("total")).alias("total"))
     )
-
-
-def category_list(category_totals: DataFrame) -> DataFrame:
-    """Per-category rows nested per user, for reports that return one row per user."""
-    entry = F.struct("category_id", "category_name", "direction", "total")
-    return category_totals.groupBy("user_id").agg(
-        F.array_sort(F.collect_list(entry)).alias("categories")
-    )
-
