@@ -218,5 +218,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     found = near_duplicates(docs, id_col, text_col)
     mine = F.col(id_col).eqNullSafe(F.col("component_id"))
-    stay = staged(found.filter(mine).select(F.col(id_col).alias("__stay")).distinct(), "stay")
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["__stay"]), "left_semi")
+    by_id = found.groupBy(F.col(id_col).alias("__id")).agg(F.bool_or(mine).alias("__stays"))
+    # Those that go are fewer than those that stay, so that the join may need no shuffle of texts.
+    gone = staged(by_id.filter(~F.col("__stays")).select("__id"), "gone")
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left_anti")
