@@ -14,7 +14,7 @@ from purseflow.session import staged
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 # Documents that one leaf of the reduction tree rounds, and residuals that meet in a node.
-LEAF_DOCUMENTS = 4096
+LEAF_DOCUMENTS = 512
 FAN_IN = 32
 _SEED = 7_177
 
@@ -181,11 +181,25 @@ def mix_sources(
     )
 
 
-def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` as the mix takes them: each row as often as it is copied, whole, or not at all."""
-    columns = tuple(docs.columns)
-    every = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("__doc")
-    packed = docs.select(id_col, text_col, source_col, every) if columns else docs
-    mixed = mix_sources(packed, id_col, text_col, source_col, carry=("__doc",))
-    times = mixed.filter("copies > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
-    return times.select("__doc.*")
+def repeat_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+) -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as it is copied, whole, or not at all.
+
+    The mix works on ids, sizes and a 128-bit hash of the whole row; texts are shuffled once, to
+    meet their numbers of copies. Rows alike in all columns are one there, with copies added up.
+    """
+    columns = docs.columns
+    key = ["__row", "__row_again"]
+    every = [F.col(f"`{c}`") for c in columns]
+    whole = docs.withColumns({key[0]: F.xxhash64(*every), key[1]: F.xxhash64(F.lit(1), *every)})
+    sized = whole.select(id_col, text_col, source_col, *key)
+    mixed = mix_sources(sized, id_col, text_col, source_col, carry=tuple(key))
+    copies = mixed.groupBy(*key).agg(F.sum("copies").cast("int").alias("__copies"))
+    copies = staged(copies.filter("__copies > 0"), "copies")
+    first = Window.partitionBy(*key).orderBy(F.lit(0))
+    once = whole.join(copies, key).withColumn("__rank", F.row_number().over(first))
+    times = once.filter("__rank = 1").withColumn(
+        "__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))
+    )
+    return times.select(*every)
