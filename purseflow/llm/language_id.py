@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,6 +58,31 @@ def _has_letter(body: bytes) -> bool:
     return any(c.isalpha() for c in body.decode("utf-8", "replace"))
 
 
+def first_by_hash(rows: DataFrame, kind: str, bound: Callable[[object], int]) -> DataFrame:
+    """At most ``bound`` (id, kind) rows of each kind, those that come first by hash of their id.
+
+    A first look at the number of rows per kind gives a limit for the hash that leaves a little
+    more than the bound, so that the ranking sees no more rows of a frequent kind than of a rare
+    one. There are as few kinds as a model can tell apart.
+    """
+    scale = 1 << 30
+    counts = {r[kind]: r["count"] for r in rows.groupBy(kind).count().collect()}
+    limits = {
+        k: scale if n <= bound(k) else int(scale * (1.2 * bound(k) + 50) / n) for k, n in counts.items()
+    }
+    if not limits:
+        return rows.limit(0)
+    limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col(kind)]
+    most = F.create_map(*[F.lit(x) for k in counts for x in (k, bound(k))])[F.col(kind)]
+    first = Window.partitionBy(kind).orderBy(F.xxhash64("id"), "id")
+    return (
+        rows.filter(F.pmod(F.xxhash64("id"), F.lit(scale)) < limit)
+        .withColumn("rank", F.row_number().over(first))
+        .filter(F.col("rank") <= most)
+        .drop("rank")
+    )
+
+
 def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
     """A model from (id, text, lang) rows without nulls in text and lang.
 
@@ -65,14 +90,7 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Languag
     it is chosen by ids alone. Its trigrams are counted in Spark; the driver gets one number per
     language and trigram.
     """
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = (
-        labelled.select("id", "lang")
-        .withColumn("rank", F.row_number().over(first))
-        .filter(F.col("rank") <= per_language)
-        .select("id", "lang")
-        .distinct()
-    )
+    chosen = first_by_hash(labelled.select("id", "lang"), "lang", lambda lang: per_language).distinct()
     # At most per_language rows for each language.
     sample = labelled.join(F.broadcast(chosen), ["id", "lang"], "left_semi")
 
