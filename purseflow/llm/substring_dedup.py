@@ -44,6 +44,29 @@ def anchor_positions(base: np.ndarray, ends: np.ndarray, window: int, length: in
     return (sliding(padded, span, np.maximum)[: len(base)] == base) & (base != _FAR)
 
 
+def thin_ties(at: np.ndarray, key: np.ndarray, doc: np.ndarray, span: int) -> np.ndarray:
+    """Which of the anchors to keep so that every window keeps one with its smallest hash.
+
+    Of equal hashes close together, as in text that repeats itself, an anchor is left out if the
+    next one still lies within ``span`` of the last one kept.
+    """
+    order = np.lexsort((at, key, doc))
+    p, k, d = at[order], key[order], doc[order]
+    chained = (k[1:] == k[:-1]) & (d[1:] == d[:-1]) & (p[1:] - p[:-1] <= span)
+    dropped, last, before, place = [], 0, -2, p.tolist()
+    for i in (np.flatnonzero(chained[1:] & chained[:-1]) + 1).tolist():  # inside a chain
+        if i != before + 1:
+            last = i - 1
+        if place[i + 1] - place[last] <= span:
+            dropped.append(i)
+        else:
+            last = i
+        before = i
+    keep = np.ones(len(at), dtype=bool)
+    keep[order[dropped]] = False
+    return keep
+
+
 def _documents(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All words of a chunk, the position of each document's first word, and the end per word."""
     sizes = np.array([len(w) for w in words], dtype=np.int64)
@@ -79,8 +102,10 @@ def find_anchors(docs: DataFrame, window: int) -> DataFrame:
             at = np.flatnonzero(anchor_positions(base, ends, window, lengths[0]))
             if not len(at):
                 continue
+            owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+            at = at[thin_ties(at, base[at], owner[at], window - lengths[0] + 1)]
             keys = [base[at]] + [_level_hashes(rolled, ends, at, n) for n in lengths[1:]]
-            doc = np.repeat(np.arange(len(words)), [len(w) for w in words])[at]
+            doc = owner[at]
             uid = part.column("uid").to_numpy(zero_copy_only=False)[doc]
             local = np.zeros(len(at), dtype=np.int32)
             kind, extra = [np.full(len(at), -1, dtype=np.int32)], []
@@ -265,7 +290,7 @@ def _open_windows(
     text: bytes, pos: np.ndarray, open_: np.ndarray, goes_on: np.ndarray, window: int
 ) -> tuple[np.ndarray, Windows | None]:
     """Starts of the windows to be compared one by one: those whose smallest hash is at an open
-    anchor, unless the anchor's next level, which they would hold, is known not to repeat."""
+    anchor, unless they would hold the anchor's next level and that is known not to repeat."""
     if not open_.any():
         return np.zeros(0, np.int64), None
     lengths = levels(window)
@@ -278,7 +303,12 @@ def _open_windows(
     steps = np.arange(window - base + 1)
     starts = pos[open_][:, None] - steps[None, :]
     fine = (starts >= 0) & (starts < len(smallest))
-    fine &= goes_on[open_][:, None] | (steps[None, :] + longer > window)
+    # Where the smallest hash occurs again nearby, its copies elsewhere may have other anchors.
+    near = pos[open_][:, None] + np.arange(1 - len(steps), len(steps))[None, :]
+    inside = (near >= 0) & (near < len(hashes))
+    alike = inside & (hashes[np.where(inside, near, 0)] == hashes[pos[open_]][:, None])
+    sure = goes_on[open_] | (alike.sum(axis=1) > 1)
+    fine &= sure[:, None] | (steps[None, :] + longer > window)
     fine &= smallest[np.where(fine, starts, 0)] == hashes[pos[open_]][:, None]
     return np.unique(starts[fine]), rolled
 
