@@ -8,6 +8,7 @@ from math import acos, ceil, log, log2, pi
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from purseflow.llm.arrow import grouped, numbers, unite
 from purseflow.llm.components import connected_components
@@ -15,7 +16,7 @@ from purseflow.session import staged
 
 THRESHOLD = 0.93
 # Wanted probability that a pair just at the threshold shares a bucket of some table.
-RECALL = 0.999
+RECALL = 0.995
 # Vectors of a bucket aimed at, and the most that meet in one task from either side.
 BUCKET_ROWS = 64
 TILE_ROWS = 2048
@@ -34,13 +35,15 @@ def table_layout(count: int, threshold: float, recall: float) -> tuple[int, int]
     return max(1, ceil(log(1 - recall) / log(1 - same))), bits
 
 
-def _vectors(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+def _vectors(table: pa.Table | pa.RecordBatch, kind: str) -> np.ndarray:
     """Rows of float64; all vectors of the input have the same packed length."""
     values = table.column("packed").to_pylist()
-    return np.frombuffer(b"".join(values), dtype="<f8").reshape(len(values), -1)
+    return np.frombuffer(b"".join(values), dtype=kind).reshape(len(values), -1).astype(np.float64)
 
 
-def packed_vectors(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
+def packed_vectors(
+    vectors: DataFrame, id_col: str, vector_col: str, label_col: str, kind: str
+) -> DataFrame:
     """(id, label, packed) of every row; packed is null for vectors that cannot be linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,7 +53,7 @@ def packed_vectors(vectors: DataFrame, id_col: str, vector_col: str, label_col:
                 if not vec or any(x is None for x in vec):
                     rows.append(None)
                     continue
-                v = np.asarray(vec, dtype="<f8") + 0.0  # negative zero becomes zero
+                v = np.asarray(vec, dtype=kind) + 0.0  # negative zero becomes zero
                 rows.append(v.tobytes() if np.isfinite(v).all() and v.any() else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("label"), pa.array(rows, pa.binary())],
@@ -70,9 +73,9 @@ def _first_shared(keys_a: np.ndarray, keys_b: np.ndarray, place: int) -> np.ndar
     return ~(keys_a[:, :place] == keys_b[:, :place]).any(axis=1)
 
 
-def _link_group(table: pa.Table, place: int, cross: bool, threshold: float):
+def _link_group(table: pa.Table, kind: str, place: int, cross: bool, threshold: float):
     """Links of one group: parent positions, and per row the copies it is newly linked with."""
-    raw = _vectors(table)
+    raw = _vectors(table, kind)
     unit = raw / np.abs(raw).max(axis=1, keepdims=True)  # no overflow in the squares
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     copies = numbers(table.column("copies"))
@@ -121,7 +124,10 @@ def near_duplicate_vectors(
 
     A bucket of more than ``tile_rows`` vectors is cut into tiles, pairs of which meet in a task.
     """
-    rows = staged(packed_vectors(vectors, id_col, vector_col, label_col), "vectors")
+    # Vectors travel in the precision that they are stored in; cosines are of doubles.
+    single = vectors.schema[vector_col].dataType == ArrayType(FloatType())
+    kind, width = ("<f4", 4) if single else ("<f8", 8)
+    rows = staged(packed_vectors(vectors, id_col, vector_col, label_col, kind), "vectors")
     usable = rows.filter("label is not null and packed is not null")
     points = usable.groupBy("label", "packed").agg(
         F.count(F.lit(1)).alias("copies"), F.min("id").alias("least")
@@ -133,12 +139,12 @@ def near_duplicate_vectors(
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            dims = np.array([len(x) // 8 for x in batch.column("packed").to_pylist()], dtype=np.int64)
+            dims = np.array([len(x) // width for x in batch.column("packed").to_pylist()], dtype=np.int64)
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
                 if dim not in planes:
                     planes[dim] = np.random.default_rng(_SEED).standard_normal((int(dim), tables * bits))
-                signs = (_vectors(part) @ planes[dim] > 0).reshape(-1, tables, bits)
+                signs = (_vectors(part, kind) @ planes[dim] > 0).reshape(-1, tables, bits)
                 keys = (signs * (1 << np.arange(bits))).sum(axis=2).astype("<i4")
                 n = part.num_rows
                 packed_keys = [k.tobytes() for k in keys]
@@ -187,7 +193,7 @@ def near_duplicate_vectors(
         for (place, _, low, high), table in grouped(batches, keys):
             if table.num_rows < 2:
                 continue
-            parent, links = _link_group(table, place, low != high, threshold)
+            parent, links = _link_group(table, kind, place, low != high, threshold)
             linked = np.flatnonzero(links)
             if len(linked):
                 vid = numbers(table.column("vid"))
