@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from purseflow.llm import (
+    conversation_trie,
     embedding_dedup,
+    embedding_whitening,
     exact_dedup,
     language_id,
     license_scan,
     mixing,
     packing,
     secret_scan,
+    sharding,
     simhash_dedup,
     substring_dedup,
     toxicity,
@@ -66,6 +69,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_read(spark, sf_dir, "documents"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(_read(spark, sf_dir, "conversations"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_whitening.whiten_embeddings(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_substring_dedup,
@@ -78,5 +93,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_embedding_dedup,
         op9_toxicity,
         op10_best_fit_packing,
+        op11_sharding,
+        op12_conversation_trie,
+        op13_embedding_whitening,
     )
     return {query.__name__: query for query in found} | {"pipeline": corpus_pipeline.run}
