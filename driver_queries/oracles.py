@@ -912,6 +912,21 @@ Q["u3_delete_rejects"] = """select id * 10 + 1 seq, 'patch' op, id, 'transaction
 from led_transactions where id % 150 = 0
 union all select id * 10 + 4, 'delete', id, 'transaction not found' from led_transactions where id % 194 = 0"""
 
+# The same batch, of rows in two months only.
+_TWO = "date_trunc('month', occurred_on) in (date '1997-03-01', date '1997-05-01')"
+Q["u1_versioned_ledger"] = f"""with two as (select * from led_transactions where {_TWO}),
+{_INSERTS.replace("from led_transactions", "from two").replace("select id * 10 seq", "select id * 10 seq, occurred_on")},
+{_PATCHED.replace("from led_transactions", "from two")}
+select {_TX}, occurred_time, false rewritten from led_transactions where not {_TWO}
+union all select {_TX}, occurred_time, true from patched where id % 97 <> 0
+union all select {_TX}, null, true from accepted"""
+Q["u1_version_before"] = f"select {_TX}, occurred_time from led_transactions"
+Q["u1_version_rejects"] = f"""with two as (select * from led_transactions where {_TWO}),
+{_INSERTS.replace("from led_transactions", "from two")}
+select seq, 'insert' op, id, reason from judged where reason is not null
+union all select id * 10 + 1, 'patch', id, 'transaction not found' from two where id % 150 = 0
+union all select id * 10 + 4, 'delete', id, 'transaction not found' from two where id % 194 = 0"""
+
 _SEQ = "((user_id * 100 + category_id) * 10000 + year) * 1000 + month * 10"
 _BUDGET_OPS = f"""asked as (
   select {_SEQ} seq, 'upsert' op, user_id, category_id, year, month, limit_amount + 10 limit_amount,

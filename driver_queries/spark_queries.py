@@ -15,7 +15,7 @@ from purseflow.operators import payroll as pay, reports as r
 from purseflow.plans import dashboards, rates
 from purseflow.schemas import SCOPES, TABLES, TIME_RANGES
 from purseflow.session import fresh_path
-from purseflow.sources import csv_export, fx_payloads, seeds, tables
+from purseflow.sources import csv_export, fx_payloads, seeds, tables, versions
 
 ANCHOR = date(1998, 6, 15)
 MONEY = "decimal(18,2)"
@@ -970,6 +970,37 @@ def u3_delete_rejects(v: Views) -> DataFrame:
     return rejected.select("seq", "op", "id", "reason")
 
 
+def _versioned(v: Views) -> tuple[str, versions.Version, versions.Version, DataFrame]:
+    """The transactions as a table of versions, and a batch that touches two months of it."""
+    root = fresh_path(v.spark, "versions")
+    versions.create_versions(_tx_base(v), root)
+    batch = _tx_inserts(v).unionByName(_tx_edits(v, "patch", "delete"))
+    batch = batch.filter(F.trunc("occurred_on", "month").isin(date(1997, 3, 1), date(1997, 5, 1)))
+    return root, *versions.apply_batch(v.spark, root, batch, v.categories, v.users)
+
+
+@query
+def u1_versioned_ledger(v: Views) -> DataFrame:
+    """The version after a batch; months that the batch left alone keep their files."""
+    root, before, after, _ = _versioned(v)
+    month = versions.month_name(F.col("occurred_on"))
+    rewritten = month.isin(versions.changed_months(before, after))
+    rows = versions.rows_of(v.spark, root, after)
+    return rows.select(*TX_COLUMNS, "occurred_time", rewritten.alias("rewritten"))
+
+
+@query
+def u1_version_before(v: Views) -> DataFrame:
+    """The version that readers of the old number still see."""
+    root, before, _, _ = _versioned(v)
+    return versions.read_version(v.spark, root, before.number).select(*TX_COLUMNS, "occurred_time")
+
+
+@query
+def u1_version_rejects(v: Views) -> DataFrame:
+    return _versioned(v)[3].select("seq", "op", "id", "reason")
+
+
 def _budget_changes(v: Views) -> DataFrame:
     first = F.expr("((user_id * 100 + category_id) * 10000L + year) * 1000 + month * 10")
     slot, month = F.col("user_id") + F.col("month"), F.col("month")

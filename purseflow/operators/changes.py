@@ -11,6 +11,8 @@ broadcast threshold never shuffles the table.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from purseflow.operators.ledger import (
@@ -60,9 +62,10 @@ def _bases(users: DataFrame, changes: DataFrame) -> DataFrame:
     return _matching(people, changes, ["user_id"])
 
 
-def _owned(rows: DataFrame, edits: DataFrame) -> DataFrame:
-    """Edits whose row exists by then and belongs to the same user."""
-    owners = rows.select("id", F.col("user_id").alias("_owner"), "_born")
+def _owned(rows: DataFrame, edits: DataFrame, *held: str) -> DataFrame:
+    """Edits whose row exists by then and belongs to the same user, with columns of that row."""
+    kept = [F.col(c).alias(f"_held_{c}") for c in held]
+    owners = rows.select("id", F.col("user_id").alias("_owner"), "_born", *kept)
     known = owners.join(edits, "id")
     return known.filter(
         (F.col("_owner") == F.col("user_id")) & (F.col("seq") > F.col("_born"))
@@ -108,30 +111,68 @@ def transaction_inserts(
     )
 
 
-def apply_transactions(
-    base: DataFrame, changes: DataFrame, categories: DataFrame, users: DataFrame
-) -> tuple[DataFrame, DataFrame]:
-    """Insert, patch and delete transactions.
+@dataclass(frozen=True)
+class TransactionEffects:
+    """What a batch does: rows to add, edits of rows by id, and the rows refused with a reason."""
 
-    Patches list the fields they set in ``fields`` and never change the direction. A patch or
-    delete of an unknown, already deleted or other user's row is rejected.
-    """
-    base = base.drop(MONTH_COLUMN)
-    columns = base.columns
+    inserts: DataFrame
+    owned: DataFrame
+    rejected: DataFrame
+
+    def by_id(self) -> DataFrame:
+        """Per edited row whether it goes, and each field's last value.
+
+        A deleted row is gone whatever its patches.
+        """
+        return self.owned.groupBy("id").agg(
+            F.bool_or(F.col("op") == "delete").alias("_deleted"),
+            *[_last_set(field) for field in PATCHABLE],
+        )
+
+    def touched_days(self) -> DataFrame:
+        """Days (day) that rows are added to, edited on, or moved to."""
+        moved = F.array_contains("fields", "occurred_on") & (F.col("op") == "patch")
+        return (
+            self.inserts.select(F.col("occurred_on").alias("day"))
+            .union(self.owned.select("_held_occurred_on"))
+            .union(self.owned.filter(moved).select("occurred_on"))
+        )
+
+    def touched_ids(self) -> DataFrame:
+        return self.inserts.select("id").union(self.owned.select("id")).distinct()
+
+
+def transaction_effects(
+    base: DataFrame, changes: DataFrame, categories: DataFrame, users: DataFrame
+) -> TransactionEffects:
+    """The effects of a batch; of ``base`` only the rows with ids of the batch matter."""
     inserts, bad_inserts = transaction_inserts(base, changes, categories, users)
-    rows = base.withColumn("_born", F.lit(-1).cast("bigint")).unionByName(
-        inserts.select(*columns, F.col("seq").cast("bigint").alias("_born"))
+    keys = ["id", "user_id", "occurred_on"]
+    rows = base.select(*keys, F.lit(-1).cast("bigint").alias("_born")).unionByName(
+        inserts.select(*keys, F.col("seq").cast("bigint").alias("_born"))
     )
     edits = changes.filter(F.col("op").isin("patch", "delete"))
-    owned = staged(_owned(rows, edits), "edits")
-    # A deleted row is gone whatever its patches, so only the rejects need their order.
-    effects = owned.groupBy("id").agg(
-        F.bool_or(F.col("op") == "delete").alias("_deleted"),
-        *[_last_set(field) for field in PATCHABLE],
+    owned = staged(_owned(rows, edits, "occurred_on"), "edits")
+    bad_edits = edits.join(_done(owned).select("seq"), "seq", "left_anti").select(
+        "seq", "op", "id", "user_id", F.lit("transaction not found").alias("reason")
+    )
+    rejected = bad_inserts.select("seq", "op", "id", "user_id", "reason").unionByName(bad_edits)
+    return TransactionEffects(inserts, owned, rejected)
+
+
+def merge_effects(base: DataFrame, effects: TransactionEffects) -> DataFrame:
+    """Rows after the effects: edited, without deleted ones, and with the inserts.
+
+    Columns that the batch lacks are NULL in its inserts.
+    """
+    columns = base.columns
+    given = [name for name in columns if name in effects.inserts.columns]
+    rows = base.unionByName(effects.inserts.select(*given), allowMissingColumns=True)
+    merged = rows.join(effects.by_id(), "id", "left").filter(
+        ~F.coalesce("_deleted", F.lit(False))
     )
-    merged = rows.join(effects, "id", "left").filter(~F.coalesce("_deleted", F.lit(False)))
     upper = F.upper(F.col("_currency.currency"))
-    result = merged.select(
+    return merged.select(
         *[
             _patched(name, upper if name == "currency" else None)
             if name in PATCHABLE
@@ -139,10 +180,19 @@ def apply_transactions(
             for name in columns
         ]
     )
-    bad_edits = edits.join(_done(owned).select("seq"), "seq", "left_anti").select(
-        "seq", "op", "id", "user_id", F.lit("transaction not found").alias("reason")
-    )
-    return result, bad_inserts.select("seq", "op", "id", "user_id", "reason").unionByName(bad_edits)
+
+
+def apply_transactions(
+    base: DataFrame, changes: DataFrame, categories: DataFrame, users: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Insert, patch and delete transactions.
+
+    Patches list the fields they set in ``fields`` and never change the direction. A patch or
+    delete of an unknown, already deleted or other user's row is rejected.
+    """
+    base = base.drop(MONTH_COLUMN)
+    effects = transaction_effects(base, changes, categories, users)
+    return merge_effects(base, effects), effects.rejected
 
 
 # ---------------------------------------------------------------------------------- budgets
