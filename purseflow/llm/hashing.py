@@ -2,16 +2,22 @@
 
 A word is a maximal run of bytes other than space and \\t \\n \\v \\f \\r. Its hash is a polynomial
 in its bytes modulo 2^64, read off prefix sums and scrambled; a window's hash is a polynomial in
-the scrambled word hashes.
+the scrambled word hashes. Such polynomials collide for some long words whatever the base, so
+what must be right is decided by keyed hashes of another kind as well.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
+import xxhash
 
 _BYTE_BASE = 0xD1342543DE82EF95
 _WORD_BASE = 0x9E3779B97F4A7C15
 _PIECE = 1 << 20
+_SPACE = re.compile(rb"[ \t\n\v\f\r]")
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -40,6 +46,16 @@ def _runs(is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
+def _pieces(text: bytes) -> Iterator[tuple[int, int]]:
+    """Bounds of parts of a text of about 1 MB, cut after words."""
+    at = 0
+    while at < len(text):
+        space = _SPACE.search(text, min(at + _PIECE, len(text)))
+        stop = space.start() if space else len(text)
+        yield at, stop
+        at = stop
+
+
 def _piece_hashes(data: np.ndarray, heads: tuple[int, ...]) -> tuple[np.ndarray, ...]:
     starts, ends = _runs((data != 32) & ((data < 9) | (data > 13)))
     power, inverse = _power_tables(_BYTE_BASE, len(data) + 1)
@@ -59,17 +75,23 @@ def word_hashes(text: bytes, heads: tuple[int, ...] = ()) -> tuple[np.ndarray, .
     data = np.frombuffer(text, dtype=np.uint8)
     if len(data) <= _PIECE:
         return _piece_hashes(data, heads)
-    found, at = [], 0
-    while at < len(data):
-        stop = min(at + _PIECE, len(data))
-        while stop < len(data) and text[stop] not in b" \t\n\v\f\r":
-            stop += 1
+    found = []
+    for at, stop in _pieces(text):
         hashes, starts, ends, *more = _piece_hashes(data[at:stop], heads)
         found.append((hashes, starts + at, ends + at, *more))
-        at = stop
     return tuple(np.concatenate(parts) for parts in zip(*found))
 
 
+def keyed_word_hashes(text: bytes, key: int) -> np.ndarray:
+    """XXH3 of every word under a key; no polynomial, and independent of ``word_hashes``."""
+    hash_of = xxhash.xxh3_64_intdigest
+    parts = [
+        np.fromiter((hash_of(word, key) for word in text[at:stop].split()), dtype=np.uint64)
+        for at, stop in _pieces(text)
+    ]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
 class Windows:
     """Hashes of windows of any length over one array of word hashes."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from purseflow.llm.arrow import chunks, packed, texts
-from purseflow.llm.hashing import Windows, sliding, word_hashes
+from purseflow.llm.hashing import Windows, keyed_word_hashes, sliding, word_hashes
 from purseflow.session import staged
 
 WINDOW_WORDS = 35
@@ -80,10 +81,16 @@ def _level_hashes(flat: Windows, ends: np.ndarray, at: np.ndarray, length: int)
     return np.where(inside, flat.at(np.where(inside, at, 0), min(length, flat.count)), _FAR)
 
 
-def find_anchors(docs: DataFrame, window: int) -> DataFrame:
-    """(kind, h0, h1, .., uid, pos, n, local): windows of all levels at every anchor.
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Two hashes as one 16-byte value each."""
+    return np.stack([a, b], axis=1).copy().view("V16").ravel()
 
-    kind -1 is an anchor; pos its first word, n its document's words. Bit k of ``local`` tells that
+
+def find_anchors(docs: DataFrame, window: int, key: int) -> DataFrame:
+    """(kind, h0, h1, .., v, uid, uid2, pos, n, local): windows of all levels at every anchor.
+
+    kind -1 is an anchor; pos its first word, n its document's words; v is a second hash of the
+    full window, of keyed word hashes. Bit k of ``local`` tells that
     its level-k window occurs twice within one chunk of documents. For each such repeated window
     one more row of kind k stands for all of them, so that a window which a third of all
     documents hold reaches the shuffle once per chunk.
@@ -97,6 +104,7 @@ def find_anchors(docs: DataFrame, window: int) -> DataFrame:
             flat, firsts, ends = _documents(words)
             if len(flat) < window:
                 continue
+            second = Windows(np.concatenate([keyed_word_hashes(t, key) for t in texts(part, "text")]))
             rolled, every = Windows(flat), np.arange(len(flat))
             base = _level_hashes(rolled, ends, every, lengths[0])
             at = np.flatnonzero(anchor_positions(base, ends, window, lengths[0]))
@@ -105,37 +113,41 @@ def find_anchors(docs: DataFrame, window: int) -> DataFrame:
             owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
             at = at[thin_ties(at, base[at], owner[at], window - lengths[0] + 1)]
             keys = [base[at]] + [_level_hashes(rolled, ends, at, n) for n in lengths[1:]]
+            verify = _level_hashes(second, ends, at, window)
             doc = owner[at]
-            uid = part.column("uid").to_numpy(zero_copy_only=False)[doc]
+            uid, uid2 = (part.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("uid", "uid2"))
             local = np.zeros(len(at), dtype=np.int32)
             kind, extra = [np.full(len(at), -1, dtype=np.int32)], []
-            for k, key in enumerate(keys):
+            for k, hashes_at in enumerate(keys):
+                # Earlier levels choose candidates; the last one decides, by both hashes.
+                same = _pairs(hashes_at, verify) if k == len(keys) - 1 else hashes_at
                 _, first, inverse, count = np.unique(
-                    key, return_index=True, return_inverse=True, return_counts=True
+                    same, return_index=True, return_inverse=True, return_counts=True
                 )
-                twice = (count > 1) & (key[first] != _FAR)
+                twice = (count > 1) & (hashes_at[first] != _FAR)
                 local |= twice[inverse].astype(np.int32) << k
                 extra.append(first[twice])
                 kind.append(np.full(len(extra[-1]), k, dtype=np.int32))
             rows = np.concatenate([np.arange(len(at)), *extra])
             n = (ends[at] - firsts[doc]).astype(np.int32)
             columns = [np.concatenate(kind), *(k[rows].view(np.int64) for k in keys)]
-            columns += [uid[rows], (at - firsts[doc]).astype(np.int32)[rows], n[rows], local[rows]]
+            columns += [verify[rows].view(np.int64), uid[rows], uid2[rows], (at - firsts[doc]).astype(np.int32)[rows], n[rows], local[rows]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    names = ["kind", *hashes, "uid", "pos", "n", "local"]
-    schema = "kind int, " + "".join(f"{h} long, " for h in hashes) + "uid long, pos int, n int, local int"
-    return docs.select("uid", "text").mapInArrow(run, schema)
+    names = ["kind", *hashes, "v", "uid", "uid2", "pos", "n", "local"]
+    schema = "kind int, " + "".join(f"{h} long, " for h in hashes)
+    schema += "v long, uid long, uid2 int, pos int, n int, local int"
+    return docs.select("uid", "uid2", "text").mapInArrow(run, schema)
 
 
 def _spread() -> Column:
     return F.xxhash64("uid", "pos", "kind")
 
 
-def mark_level(rows: DataFrame, level: int, check: Column, repeated: str) -> DataFrame:
+def mark_level(rows: DataFrame, level: int, check: str | None, repeated: str) -> DataFrame:
     """Add ``repeated``: whether the anchor's window of this level occurs anywhere else.
 
-    One shuffle by the window's hash; ``check`` tells equal hashes apart. Rows whose answer is
+    One shuffle by the window's hash; column ``check`` tells equal hashes apart. Rows whose answer is
     known (repeated within their chunk, or no candidates) are dealt out evenly instead.
     """
     known = (F.col("kind") > level) | (
@@ -144,17 +156,21 @@ def mark_level(rows: DataFrame, level: int, check: Column, repeated: str) -> Dat
     candidate = F.col("candidate") & (F.col(f"h{level}") != -1)
     decided = known | ((F.col("kind") == -1) & ~candidate)
     key = F.when(decided, _spread()).otherwise(F.col(f"h{level}"))
-    extra = F.when(decided, F.lit(None)).otherwise(check)
+    second = F.lit(0).cast("long") if check is None else F.col(check)
+    extra = F.when(decided, F.lit(None)).otherwise(second)
     weight = F.when(F.col("kind") == level, 2).otherwise(1)
     same = Window.partitionBy("key", "extra")
     return (
         rows.withColumn("key", key)
         .withColumn("extra", extra)
         .withColumn("decided", decided)
+        .withColumn("known", known)
+        # What later levels don't need stays behind.
+        .drop(*([f"h{level}"] if level else []), *([check] if check else []))
         .withColumn("seen", F.sum(weight).over(same))
         .filter(F.col("kind") != level)
-        .withColumn(repeated, F.when(F.col("decided"), known).otherwise(F.col("seen") > 1))
-        .drop("key", "extra", "seen", "decided")
+        .withColumn(repeated, F.when(F.col("decided"), F.col("known")).otherwise(F.col("seen") > 1))
+        .drop("key", "extra", "seen", "decided", "known")
     )
 
 
@@ -184,9 +200,10 @@ def undecided_anchors(found: DataFrame, window: int, last: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], names=["h0"])
 
-    per_doc = found.groupBy("uid").agg(
+    # As a set: of equal rows all have the same anchors.
+    per_doc = found.groupBy("uid", "uid2").agg(
         F.first("n").alias("n"),
-        F.collect_list(F.struct("pos", "h0", F.col(f"r{last}").alias("done"))).alias("rows"),
+        F.collect_set(F.struct("pos", "h0", F.col(f"r{last}").alias("done"))).alias("rows"),
     )
     return per_doc.select("n", "rows").mapInArrow(run, "h0 long").distinct()
 
@@ -202,18 +219,17 @@ _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 _FIRST = (
-    "uid long, doc_id long, n_words long, n_removed long, kept_sha256 string, text binary, "
+    "uid long, uid2 int, doc_id long, n_words long, n_removed long, kept_sha256 string, text binary, "
     "starts binary, open array<struct<at: int, a: bigint, b: bigint>>"
 )
 
 
-def _first_pass(window: int):
+def _first_pass(window: int, key: int):
     """Decide the documents without open windows; list the open windows of the others.
 
     Windows that repeat within one chunk of documents are decided here. One more row per chunk,
     without document, lists each of them once, at position -1.
     """
-    lengths = levels(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text", 8 << 20):
@@ -232,14 +248,13 @@ def _first_pass(window: int):
                 near, rolled = _open_windows(text, pos, open_, next_, window)
                 if len(near):
                     at.append(near)
-                    a.append(rolled.at(near, lengths[-1]))
-                    b.append(rolled.at(near, lengths[max(len(lengths) - 2, 0)]))
+                    a.append(rolled.at(near, window))
+                    b.append(Windows(keyed_word_hashes(text, key)).at(near, window))
                     doc.append(np.full(len(near), k))
             at, a, b, doc = (np.concatenate([np.zeros(0, t), *x]).astype(t) for x, t in
                              ((at, np.int64), (a, np.uint64), (b, np.uint64), (doc, np.int64)))
-            pairs = np.stack([a, b], axis=1).copy().view("V16").ravel()
             _, first, inverse, count = np.unique(
-                pairs, return_index=True, return_inverse=True, return_counts=True
+                _pairs(a, b), return_index=True, return_inverse=True, return_counts=True
             )
             twice = count[inverse] > 1
             witness = first[count > 1]
@@ -272,6 +287,7 @@ def _first_pass(window: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(part.column("uid").to_pylist() + none, pa.int64()),
+                    pa.array(part.column("uid2").to_pylist() + none, pa.int32()),
                     pa.array(part.column("doc_id").to_pylist() + none, pa.int64()),
                     pa.array(sizes + none, pa.int64()),
                     pa.array(removed + none, pa.int64()),
@@ -280,7 +296,7 @@ def _first_pass(window: int):
                     pa.array([None if s is None else packed(s, "<i4") for s in starts] + none, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets), values),
                 ],
-                names=["uid", "doc_id", "n_words", "n_removed", "kept_sha256", "text", "starts", "open"],
+                names=["uid", "uid2", "doc_id", "n_words", "n_removed", "kept_sha256", "text", "starts", "open"],
             )
 
     return run
@@ -354,48 +370,51 @@ def remove_repeated_windows(
     2. Edges. Where an anchor is within reach of a word not covered so, all anchors with its hash
        name the windows they are the anchor of, and these are counted like a level.
 
-    A document is identified by a 64-bit hash of its id and text; windows are equal if the hashes
-    of the full window and of its first half are (128 bits).
+    A document is identified by 96 bits of hashes of its id and text, so equal rows are one document
+    whose windows occur as often as the row. Windows are equal if two hashes are, one of them of
+    word hashes under a key drawn for the run (128 bits).
     """
     lengths = levels(window)
     last = len(lengths) - 1
+    key = secrets.randbits(63)
     source = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.xxhash64(F.col(id_col), F.col(text_col)).alias("uid"),
+        F.hash(F.col(id_col), F.col(text_col)).alias("uid2"),
         F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"),
     )
-    rows = find_anchors(source, window).withColumn("candidate", F.lit(True))
+    rows = find_anchors(source, window, key).withColumn("candidate", F.lit(True))
     for level in range(last + 1):
         # The last level is decided by two hashes, earlier ones only choose candidates.
-        check = F.col(f"h{level - 1}") if level == last and level else F.lit(0).cast("long")
-        rows = mark_level(rows, level, check, f"r{level}")
+        rows = mark_level(rows, level, "v" if level == last else None, f"r{level}")
         rows = rows.filter(F.col(f"r{level}")) if level == 0 else rows
         rows = rows.withColumn("candidate", F.col(f"r{level}"))
+    document = ["uid", "uid2"]
     found = staged(
-        rows.select("uid", "pos", "n", "h0", F.col(f"r{min(1, last)}").alias("next"), f"r{last}"),
+        rows.select(*document, "pos", "n", "h0", F.col(f"r{min(1, last)}").alias("next"), f"r{last}"),
         "repeated_anchors",
     )
     undecided = staged(undecided_anchors(found, window, last), "undecided")
     marked = found.join(undecided.withColumn("open", F.lit(True)), "h0", "left")
-    per_doc = marked.groupBy("uid").agg(
-        F.collect_list(
+    per_doc = marked.groupBy(*document).agg(
+        F.collect_set(
             F.struct("pos", F.col(f"r{last}").alias("done"), F.coalesce("open", F.lit(False)).alias("open"), "next")
         ).alias("rows")
     )
     first = staged(
-        source.join(per_doc, "uid", "left")
-        .select("uid", "doc_id", "text", "rows")
-        .mapInArrow(_first_pass(window), _FIRST),
+        source.join(per_doc, document, "left")
+        .select(*document, "doc_id", "text", "rows")
+        .mapInArrow(_first_pass(window, key), _FIRST),
         "first_pass",
     )
-    fine = first.select("uid", F.explode("open").alias("w")).select("uid", "w.at", "w.a", "w.b")
+    fine = first.select(*document, F.explode("open").alias("w")).select(*document, "w.at", "w.a", "w.b")
     weight = F.when(F.col("at") < 0, 2).otherwise(1)
     again = fine.withColumn("seen", F.sum(weight).over(Window.partitionBy("a", "b")))
-    more = again.filter("seen > 1 and at >= 0").groupBy("uid").agg(F.collect_list("at").alias("more"))
+    more = again.filter("seen > 1 and at >= 0").groupBy(*document).agg(F.collect_set("at").alias("more"))
     waiting = first.filter("text is not null")
     rest = (
-        waiting.select("uid", "doc_id", "n_words", "text", "starts")
-        .join(more, "uid", "left")
+        waiting.select(*document, "doc_id", "n_words", "text", "starts")
+        .join(more, document, "left")
         .select("doc_id", "n_words", "text", "starts", "more")
         .mapInArrow(_last_pass(window), _RESULT)
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from purseflow.llm.components import connected_components
 from purseflow.llm.embedding_dedup import near_duplicate_vectors, table_layout
 from purseflow.llm.exact_dedup import drop_copies, heavy_candidates, mark_copies, text_digest
-from purseflow.llm.hashing import Windows, sliding, word_hashes
+from purseflow.llm.hashing import Windows, keyed_word_hashes, sliding, word_hashes
 from purseflow.llm.simhash_dedup import block_layout, fingerprint, keep_one, near_duplicates
 from purseflow.llm.substring_dedup import levels, remove_repeated_windows
 
@@ -154,6 +154,37 @@ def test_substring_edge_cases(messy, empty):
     assert by_id[7]["n_words"] == 1 and by_id[2]["n_words"] == 0
 
 
+def thue_morse(length, a, b):
+    """A word that polynomial hashes modulo 2^64 cannot tell from the one with a and b swapped."""
+    return "".join(b if k.bit_count() % 2 else a for k in range(length))
+
+
+@pytest.mark.parametrize("length", [1024, 2048, 4096])
+def test_substring_tells_long_words_apart(spark, length):
+    shared = [f"s{k}" for k in range(34)]
+    one, two = thue_morse(length, "a", "b"), thue_morse(length, "b", "a")
+    assert len(set(np.concatenate([word_hashes(w.encode())[0] for w in (one, two)]).tolist())) == 1
+    rows = [(1, " ".join([*shared, one])), (2, " ".join([*shared, two]))]
+    # In one chunk, and in chunks of their own.
+    for parts in (1, 2):
+        found = remove_repeated_windows(spark.createDataFrame(
+            [(*r, "en", "web", 0) for r in rows], DOCS).repartition(parts, "doc_id"))
+        assert [r["n_removed"] for r in found.collect()] == [0, 0]
+
+
+def test_substring_of_many_equal_rows(spark):
+    """Equal rows are one document that occurs often: 600 of them take no longer than others."""
+    rng = random.Random(1)
+    text = " ".join(f"w{rng.randrange(900)}" for _ in range(3000))
+    rows = [(1, text)] * 600 + [(2, "a " + text[:4000]), (3, None)]
+    found = remove_repeated_windows(corpus(spark, rows)).collect()
+    assert len(found) == 602
+    assert all(r["n_removed"] == 3000 for r in found if r["doc_id"] == 1)
+    expected = removed_by_brute_force([t for _, t in rows[-3:]], 35)
+    two = next(r for r in found if r["doc_id"] == 2)
+    assert (two["n_words"], two["n_removed"], two["kept_sha256"]) == expected[1]
+
+
 def test_levels_double():
     assert levels(35) == [9, 18, 35] and levels(1) == [1] and levels(2) == [1, 2]
 
@@ -163,6 +194,9 @@ def test_hashes_follow_content():
     words, starts, ends = word_hashes(text)
     assert len(words) == 1_400_001 and len(set(words.tolist())) == 3
     assert text[starts[-1] : ends[-1]] == b"end"
+    keyed = keyed_word_hashes(text, 5)
+    assert len(keyed) == len(words) and len(set(keyed.tolist())) == 3
+    assert keyed_word_hashes(b" \t", 5).tolist() == [] and keyed[0] != keyed_word_hashes(b"ab", 6)[0]
     flat = Windows(words[:1000])
     at = np.arange(0, 900)
     assert len(set(flat.at(at, 10).tolist())) == 2
