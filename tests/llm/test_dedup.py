@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ import xxhash
 from corpora import DOCS, corpus, empty, messy, sorted_rows  # noqa: F401
 from pyspark.sql import functions as F
 
+from purseflow.llm import exact_dedup
 from purseflow.llm.components import connected_components
 from purseflow.llm.embedding_dedup import near_duplicate_vectors, table_layout
 from purseflow.llm.exact_dedup import drop_copies, heavy_candidates, mark_copies, text_digest
@@ -79,7 +81,7 @@ def test_exact_against_brute_force(spark):
 
 def test_frequent_digests_are_candidates(spark):
     rows = [(i, "hot" if i % 3 == 0 else f"t{i}") for i in range(3000)]
-    digests = corpus(spark, rows).select(text_digest("text").alias("__digest"))
+    digests = corpus(spark, rows).select(text_digest("text").alias("digest"))
     found = {bytes(r[0]) for r in heavy_candidates(digests, 0.1).collect()}
     assert hashlib.sha256(b"hot").digest() in found and len(found) <= 10
 
@@ -99,6 +101,30 @@ def test_exact_edge_cases(messy, empty):
     assert kept.count() == messy.select(F.coalesce("text", F.lit(""))).distinct().count()
 
 
+def test_exact_keeps_columns_of_any_name(spark, messy):
+    """Names that look like the operator's own, or hold a dot, come back with their values."""
+    odd = messy
+    for k, name in enumerate(("__digest", "__rank", "__best", "digest", "row", "best", "doc", "stays", "n", "a.b")):
+        odd = odd.withColumn(name, F.lit(k))
+    kept = drop_copies(odd.withColumnRenamed("text", "x.y"), text_col="x.y")
+    plain = sorted_rows(drop_copies(messy), "doc_id", "text")
+    rows = kept.collect()
+    assert sorted(((r["doc_id"], r["x.y"]) for r in rows), key=repr) == plain
+    assert {tuple(r)[-10:] for r in rows} == {tuple(range(10))}
+    assert mark_copies(odd.withColumnRenamed("doc_id", "i.d"), id_col="i.d").count() == messy.count()
+
+
+def test_exact_of_one_repeated_row(spark, monkeypatch):
+    """A third of all rows are one row; also with more rows to drop than are broadcast."""
+    rows = [(7, "same")] * 200 + [(i, f"t{i}") for i in range(400)] + [(900, "t5"), (None, "t6"), (None, "u")] * 2
+    for most in (200_000, 0):
+        monkeypatch.setattr(exact_dedup, "MAX_BROADCAST_KEYS", most)
+        kept = Counter((r["doc_id"], r["text"]) for r in drop_copies(corpus(spark, rows)).collect())
+        gone = {(5, "t5")}
+        expected = {(i, f"t{i}") for i in range(400)} - gone | {(7, "same"), (900, "t5"), (None, "u")}
+        assert kept == Counter(expected)
+
+
 def test_exact_plan_is_native(spark, messy):
     plan = mark_copies(messy)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
