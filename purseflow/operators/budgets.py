@@ -16,10 +16,12 @@ from purseflow.functions.periods import (
     period_start,
     previous_period_end,
 )
-from purseflow.operators.fx import UNPRICED, convert, in_currencies, priced, sums_per_user
+from purseflow.operators.fx import convert
 from purseflow.operators.ledger import filter_transactions, with_category_name
 from purseflow.operators.reports import running_balance
+from purseflow.operators.skew import lookup_join
 from purseflow.schemas import OUTBOUND, SCOPES
+from purseflow.session import staged
 
 KEY = ["user_id", "category_id"]
 UNKNOWN = "Unknown"
@@ -91,17 +93,21 @@ def _in_scope(budgets: DataFrame, scope: str, anchor: Column | date) -> DataFram
 def budget_limits(
     budgets: DataFrame, matrix: DataFrame, scope: str, anchor: Column | date
 ) -> DataFrame:
-    """Limit per (user, category): monthly limits in the currency of the latest month."""
+    """Limit per (user, category): monthly limits in the currency of the latest month.
+
+    Staged: spend and status both read it, and its size decides how spend joins it.
+    """
     months = Window.partitionBy(*KEY)
     newest = F.max_by("currency", F.struct("year", "month")).over(months)
     rows = _in_scope(budgets, scope, anchor).withColumn("target_currency", newest)
     limits = convert(rows, matrix, "limit_amount", "currency", F.col("target_currency"), "_limit")
-    return limits.groupBy(*KEY).agg(
+    per_pair = limits.groupBy(*KEY).agg(
         money_sum(F.col("_limit")).alias("limit_amount"),
         F.first("target_currency").alias("currency"),
         F.first("period_start").alias("period_start"),
         F.first("period_end").alias("period_end"),
     )
+    return staged(per_pair, "limits")
 
 
 def budget_spend(
@@ -113,8 +119,8 @@ def budget_spend(
 ) -> DataFrame:
     """Spend per budgeted (user, category) in the budget's currency over the period.
 
-    Amounts are converted and rounded per row, in each currency that a budget has; sums per month
-    form before the shuffle, and the budgets pick their currency's. Periods are whole months.
+    Expenses meet the limit of their user and category, and are converted and rounded once, per
+    row. Periods are whole months.
     """
     dated = scope != "all"
     expenses = filter_transactions(
@@ -124,20 +130,14 @@ def budget_spend(
         direction=OUTBOUND,
     )
     targets = limits.select(
-        *KEY, F.col("currency").alias("display_currency"), "period_start", "period_end"
-    )
-    facts = expenses.select(
-        *KEY, "amount", "currency", F.trunc("occurred_on", "month").alias("_month")
-    )
-    months = (
-        in_currencies(facts, matrix, limits.select("currency"))
-        .groupBy(*KEY, "display_currency", "_month")
-        .agg(money_sum(F.col("amt")).alias("_spent"), F.bool_or(UNPRICED).alias(UNPRICED))
-    )
-    matched = months.join(targets, [*KEY, "display_currency"]).filter(
-        (F.col("_month") >= F.col("period_start")) & (F.col("_month") < F.col("period_end"))
+        *KEY, F.col("currency").alias("target_currency"), "period_start", "period_end"
     )
-    return priced(matched, "period_start").groupBy(*KEY).agg(money_sum(F.col("_spent")).alias("spent"))
+    day = F.col("occurred_on")
+    matched = lookup_join(
+        expenses.select(*KEY, "amount", "currency", "occurred_on"), targets, KEY, "inner", counted=limits
+    ).filter((day >= F.col("period_start")) & (day < F.col("period_end")))
+    spent = convert(matched, matrix, "amount", "currency", F.col("target_currency"))
+    return spent.groupBy(*KEY).agg(money_sum(F.col("amt")).alias("spent"))
 
 
 def budget_status(
@@ -217,7 +217,7 @@ def carry_over_funds(
     """Default opening fund per user and scope: the balance on the day before the period.
 
     All scopes are answered by one pass over the transactions; the all-time scope opens at 0.
-    ``converted`` is in one currency per user, or in every base currency (``fx.in_every_base``).
+    ``converted`` is in one currency per user.
     """
     for scope in scopes:
         _check_scope(scope)
@@ -232,7 +232,7 @@ def carry_over_funds(
             money_sum(F.when(F.col("occurred_on") <= end, flow)).alias(f"_{scope}")
             for scope, end in ends.items()
         ]
-        held = sums_per_user(filter_transactions(converted, end=last), users, [], *sums)
+        held = filter_transactions(converted, end=last).groupBy("user_id").agg(*sums)
         people = people.join(held, "user_id", "left")
     amounts = [
         F.struct(

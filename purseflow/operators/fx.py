@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from purseflow.functions.money import money
 from purseflow.functions.periods import fx_range_bounds
 from purseflow.operators.merging import last_of_batch, merged_by_key
-from purseflow.operators.skew import salted_join, top_k
+from purseflow.operators.skew import is_small, lookup_join, top_k
 from purseflow.schemas import MATRIX_RATE, MONEY, PIVOT_CURRENCY, REGION_CURRENCY
 
 PAIR = ["base_currency", "quote_currency"]
@@ -86,9 +86,12 @@ def _quoted(
         F.col("quote_currency").alias("_to"),
         F.col("rate").alias("_rate"),
     )
+    # Pairs are broadcast once their number is known to be small; currencies are skewed keys.
+    sized = F.broadcast if is_small(matrix) else lambda table: table
     if isinstance(target, str):
-        one_target = lookup.filter(F.col("_to") == target).drop("_to")
+        one_target = sized(lookup.filter(F.col("_to") == target).drop("_to"))
         return df.join(one_target, source == F.col("_from"), "left").drop("_from"), F.lit(target)
+    lookup = sized(lookup)
     on = (source == F.col("_from")) & (target == F.col("_to"))
     return df.join(lookup, on, "left").drop("_from", "_to"), target
 
@@ -138,7 +141,12 @@ def to_display(
     currency: str | None = None,
     users: DataFrame | None = None,
 ) -> DataFrame:
-    """Transactions with ``amt`` in the display currency: one code, or each user's base."""
+    """Transactions with ``amt`` in the display currency: one code, or each user's base.
+
+    Every row is converted once. For base currencies rows stay where they are if users are few
+    or the user is frequent; others are shuffled by user (``skew.lookup_join``). Rows of users
+    that the table lacks are left out.
+    """
     if currency is not None:
         code = currency.upper()
         shown = convert(tx, matrix, "amount", "currency", code)
@@ -148,69 +156,10 @@ def to_display(
     bases = users.select(
         F.col("id").alias("user_id"), F.upper("base_currency").alias("display_currency")
     )
-    placed = salted_join(tx, bases, ["user_id"], "id")
+    placed = lookup_join(tx, bases, ["user_id"], "inner", counted=users)
     return convert(placed, matrix, "amount", "currency", F.col("display_currency"))
 
 
-UNPRICED = "_unpriced"
-
-
-def in_currencies(tx: DataFrame, matrix: DataFrame, codes: DataFrame) -> DataFrame:
-    """Every row once per distinct code of ``codes`` (one column), with ``amt`` in that currency.
-
-    ``display_currency`` is the code, ``_unpriced`` tells that there is no rate for it. Rounding
-    stays per row, and sums by (key, display_currency) form before any shuffle; which of them is
-    wanted is looked up afterwards, on the few sums. So rows are never shuffled to learn their
-    target, and codes are as few as there are currencies.
-    """
-    wanted = codes.toDF("_code").agg(F.collect_set("_code")).scalar()
-    rows = tx.withColumn("display_currency", F.explode(wanted))
-    source, target = F.col("currency"), F.col("display_currency")
-    quoted, _ = _quoted(rows, matrix, source, target)
-    missing = F.col("_rate").isNull() & (source != target) & F.col("amount").isNotNull()
-    value = _amount_at_rate(F.col("amount"), source, target)
-    return quoted.withColumn("amt", value).withColumn(UNPRICED, missing).drop("_rate")
-
-
-def priced(sums: DataFrame, wanted_by: str) -> DataFrame:
-    """Sums of rows in several currencies, once a join has picked the wanted ones; an error if one
-    of them holds a row without a rate.
-
-    ``wanted_by`` is a column of the join's other side. It is part of the error, so that the
-    check cannot move below the join, to sums that nobody wants.
-    """
-    parts = (F.lit("no exchange rate to "), F.col("display_currency"), F.lit(", wanted by "))
-    fail = F.raise_error(F.concat(*parts, F.col(wanted_by).cast("string")))
-    return sums.filter(F.when(F.col(UNPRICED), fail.cast("boolean")).otherwise(True)).drop(UNPRICED)
-
-
-def in_every_base(tx: DataFrame, matrix: DataFrame, users: DataFrame) -> DataFrame:
-    """Transactions in each base currency that occurs, to be added up by ``sums_per_user``."""
-    return in_currencies(tx, matrix, users.select(F.upper("base_currency")))
-
-
-def sums_per_user(
-    converted: DataFrame, users: DataFrame, keys: list[str], *sums: Column
-) -> DataFrame:
-    """Aggregates of converted rows per user and keys.
-
-    ``converted`` is in one display currency per user, or in every base currency; of the latter
-    each user's own is taken.
-    """
-    if UNPRICED not in converted.columns:
-        return converted.groupBy("user_id", *keys).agg(*sums)
-    every = converted.groupBy("user_id", *keys, "display_currency").agg(
-        *sums, F.bool_or(UNPRICED).alias(UNPRICED)
-    )
-    own = users.select(
-        F.col("id").alias("user_id"),
-        F.upper("base_currency").alias("display_currency"),
-        F.col("id").alias("_asker"),
-    )
-    picked = every.join(own, ["user_id", "display_currency"])
-    return priced(picked, "_asker").drop("display_currency", "_asker")
-
-
 # ----------------------------------------------------------------------------- rate history
 
 

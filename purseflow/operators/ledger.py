@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from purseflow.functions.money import signed
 from purseflow.functions.periods import as_day
-from purseflow.operators.skew import running_sum, top_k
+from purseflow.operators.skew import lookup_join, running_sum, top_k
 from purseflow.schemas import INBOUND, MONTH_COLUMN, OUTBOUND, REGION_CURRENCY
 
 UNCATEGORIZED = "Uncategorized"
@@ -91,12 +91,25 @@ def list_categories(
     return categories.orderBy("direction", "name")
 
 
+def with_category(df: DataFrame, categories: DataFrame, **columns: str) -> DataFrame:
+    """Rows with columns of their category, given as new name = stored name; NULL without one.
+
+    Few categories hold most rows, and users add categories: the join stays even for both.
+    """
+    picked = [F.col(stored).alias(name) for name, stored in columns.items()]
+    common = None
+    if "is_system" in categories.columns:
+        picked.append(F.coalesce("is_system", F.lit(False)).alias("_system"))
+        common = F.col("_system")
+    wanted = categories.select(F.col("id").alias("category_id"), *picked)
+    joined = lookup_join(df, wanted, ["category_id"], counted=categories, common=common)
+    return joined.drop("_system")
+
+
 def with_category_name(
     df: DataFrame, categories: DataFrame, missing: str = UNCATEGORIZED
 ) -> DataFrame:
-    """Left join for the name. Users add categories, so the table may grow: no forced broadcast."""
-    names = categories.select(F.col("id").alias("category_id"), F.col("name").alias("_name"))
-    named = df.join(names, "category_id", "left")
+    named = with_category(df, categories, _name="name")
     return named.withColumn("category_name", F.coalesce("_name", F.lit(missing))).drop("_name")
 
 
@@ -167,29 +180,25 @@ def expense_deltas(tx: DataFrame, n: int = RECENT_EXPENSES, **filters) -> DataFr
 
 def with_direction_reason(tx: DataFrame, categories: DataFrame) -> DataFrame:
     """Why a row may not enter the ledger, in ``reason``; NULL for good rows."""
-    sides = categories.select(
-        F.col("id").alias("category_id"), F.col("direction").alias("_side")
-    )
+    sided = with_category(tx, categories, _side="direction")
     reason = (
         F.when(F.col("amount") <= 0, "amount must be positive")
         .when(F.col("_side").isNull(), "category not found")
         .when(F.col("_side") != F.col("direction"), "direction mismatch")
     )
-    return tx.join(sides, "category_id", "left").withColumn("reason", reason).drop("_side")
+    return sided.withColumn("reason", reason).drop("_side")
 
 
 def with_budget_reason(budgets: DataFrame, categories: DataFrame) -> DataFrame:
     """Why a budget is refused, in ``reason``; NULL for good rows."""
-    sides = categories.select(
-        F.col("id").alias("category_id"), F.col("direction").alias("_side")
-    )
+    sided = with_category(budgets, categories, _side="direction")
     not_expense = F.coalesce(F.col("_side"), F.lit(INBOUND)) != OUTBOUND
     reason = (
         F.when(F.col("limit_amount") <= 0, "limit must be positive")
         .when(~F.col("month").between(1, 12), "month out of range")
         .when(not_expense, "not an expense category")
     )
-    return budgets.join(sides, "category_id", "left").withColumn("reason", reason).drop("_side")
+    return sided.withColumn("reason", reason).drop("_side")
 
 
 def direction_rejects(tx: DataFrame, categories: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from purseflow.functions.periods import (
     month_key,
     month_start,
 )
-from purseflow.operators.ledger import filter_transactions, with_category_name
+from purseflow.operators.ledger import filter_transactions, with_category, with_category_name
 from purseflow.operators.skew import top_k
 from purseflow.schemas import INBOUND, OUTBOUND
 
@@ -223,10 +223,9 @@ def burn_rate(expense: Column, start: Column, end: Column) -> Column:
 
 def statutory_split(category_totals: DataFrame, categories: DataFrame) -> DataFrame:
     """Expense per user, split by the statutory flag of the category."""
-    flags = categories.select(F.col("id").alias("category_id"), F.col("statutory"))
+    expenses = category_totals.filter(F.col("direction") == OUTBOUND)
     return (
-        category_totals.filter(F.col("direction") == OUTBOUND)
-        .join(flags, "category_id", "left")
+        with_category(expenses, categories, statutory="statutory")
         .groupBy("user_id", F.coalesce("statutory", F.lit(False)).alias("statutory"))
         .agg(money_sum(F.col("total")).alias("total"))
     )

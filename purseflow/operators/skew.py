@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from weakref import WeakKeyDictionary
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -11,6 +13,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 MAX_BROADCAST_KEYS = 200_000
 # Largest k that Spark's own window group limit prunes before the shuffle.
 GROUP_LIMIT_K = 1000
+# A key on more than this share of the rows is surely among a frequency sketch's entries.
+FREQUENT = 1 / 128
+
+_counted: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
 
 
 def pinned(df: DataFrame, max_rows: int = MAX_BROADCAST_KEYS) -> DataFrame:
@@ -23,22 +29,61 @@ def pinned(df: DataFrame, max_rows: int = MAX_BROADCAST_KEYS) -> DataFrame:
     return F.broadcast(cached) if cached.count() <= max_rows else cached
 
 
-def salted_join(
+def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
+    """Whether a table has few enough rows to be broadcast; counted once per DataFrame."""
+    most = MAX_BROADCAST_KEYS if max_rows is None else max_rows
+    if df not in _counted:
+        _counted[df] = df.limit(MAX_BROADCAST_KEYS + 1).count()
+    return _counted[df] <= most
+
+
+def frequent_hashes(df: DataFrame, keys: Sequence[str], share: float = FREQUENT) -> list[int]:
+    """Hashes of the keys that may hold more than a share of the rows, at most 1 / share of them.
+
+    All that do are listed: ``freqItems`` is a Misra-Gries summary, merged from one per task.
+    """
+    found = df.select(F.xxhash64(*keys).alias("_h")).stat.freqItems(["_h"], share).first()
+    return sorted(found[0] or [])
+
+
+def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,
     keys: Sequence[str],
-    spread_by: str,
-    how: str = "inner",
-    salts: int = 8,
+    how: str = "left",
+    counted: DataFrame | None = None,
+    max_rows: int | None = None,
+    common: Column | None = None,
+    share: float = FREQUENT,
 ) -> DataFrame:
-    """Join facts to a lookup with one row per key, each key spread over ``salts`` partitions.
+    """Facts with the columns of a lookup that has one row per key, whatever the keys' skew.
 
-    The salt is part of the join key, so a later aggregation on ``keys`` always has its own
-    small exchange; that lets adaptive execution split whatever skew is left.
+    A lookup of up to ``max_rows`` rows is broadcast; ``counted`` is the table to count where the
+    lookup derives from a longer-lived one. A larger lookup is split. Its ``common`` rows, if they
+    are few enough, are broadcast. Of the other facts, those whose key is frequent by a sketch, or
+    null, meet a broadcast of at most 1 / ``share`` lookup rows, and stay where they are as well.
+    What is left is shuffled, and no key of it holds more than ``share`` of the facts.
     """
-    salted = facts.withColumn("_salt", F.pmod(F.hash(spread_by), F.lit(salts)))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    if how not in ("left", "inner"):
+        raise ValueError("how must be left or inner")
+    if is_small(lookup if counted is None else counted, max_rows):
+        return facts.join(F.broadcast(lookup), keys, how)
+    parts = []
+    if common is not None:
+        named = lookup.filter(common)
+        if is_small(named, None if max_rows is None else max(max_rows, 1000)):
+            parts.append(facts.join(F.broadcast(named), keys, "inner"))
+            facts = facts.join(F.broadcast(named.select(*keys)), keys, "left_anti")
+            lookup = lookup.join(F.broadcast(named.select(*keys)), keys, "left_anti")
+    frequent = F.xxhash64(*keys).isin(frequent_hashes(facts, keys, share))
+    absent = F.lit(False)
+    for key in keys:
+        absent = absent | F.col(key).isNull()
+    here = facts.filter(frequent | absent)
+    parts.append(here.join(F.broadcast(lookup.filter(frequent)), keys, how))
+    parts.append(facts.filter(~frequent & ~absent).join(lookup.filter(~frequent), keys, how))
+    columns = parts[-1].columns
+    return reduce(DataFrame.unionByName, [part.select(*columns) for part in parts])
 
 
 def top_k(

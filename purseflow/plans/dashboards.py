@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from purseflow.functions.money import inbound, money, money_sum, outbound
-from purseflow.operators.fx import convert, in_every_base, sums_per_user, to_display
+from purseflow.operators.fx import convert, to_display
 from purseflow.operators.insights import insight_list
 from purseflow.operators.ledger import filter_transactions, with_category_name
 from purseflow.operators.payroll import active_salary, stored_salary_figures
@@ -17,12 +17,9 @@ from purseflow.operators.reports import TOP_CATEGORIES, savings_rate
 from purseflow.schemas import INBOUND, OUTBOUND, TOTAL
 
 
-def user_rollup(converted: DataFrame, categories: DataFrame, users: DataFrame) -> DataFrame:
+def user_rollup(converted: DataFrame, categories: DataFrame) -> DataFrame:
     """Income, expense and the nested category totals of each user with transactions."""
-    by_category = sums_per_user(
-        converted,
-        users,
-        ["category_id"],
+    by_category = converted.groupBy("user_id", "category_id").agg(
         money_sum(inbound(F.col("amt"))).alias("_income"),
         money_sum(outbound(F.col("amt"))).alias("_expense"),
         F.min_by(F.col("direction") == INBOUND, "id").alias("_inbound"),
@@ -75,7 +72,7 @@ def user_summary(
     zero = F.lit(0).cast(TOTAL)
     people = (
         users.select(F.col("id").alias("user_id"), code.alias("currency"))
-        .join(user_rollup(converted, categories, users), "user_id", "left")
+        .join(user_rollup(converted, categories), "user_id", "left")
         .join(stored_salary_figures(active_salary(profiles)), "user_id", "left")
         .withColumn("total_income", F.coalesce("total_income", zero))
         .withColumn("total_expense", F.coalesce("total_expense", zero))
@@ -114,10 +111,7 @@ def overview(
 ) -> DataFrame:
     """Totals, salary, savings rate and the nested category list of every user."""
     rows = filter_transactions(tx, **filters)
-    if currency is None:
-        converted = in_every_base(rows, matrix, users)
-    else:
-        converted = to_display(rows, matrix, currency)
+    converted = to_display(rows, matrix, currency, users)
     return user_summary(users, converted, categories, profiles, matrix, currency)
 
 

@@ -73,8 +73,11 @@ def test_hot_user_spreads_over_days(spark, matrix):
 def test_no_job_runs_while_planning(busy, matrix):
     converted = in_usd(busy, matrix)
     tracker = busy.sparkSession.sparkContext.statusTracker()
+    names = busy.selectExpr("category_id id", "'c' name").limit(0)
+    # Dimensions are counted once per table; the rows themselves are not looked at.
+    assert skew.is_small(names)
     busy.sparkSession.sparkContext.setJobGroup("planning", "")
-    l.ledger_view(converted, busy.selectExpr("category_id id", "'c' name").limit(0))
+    l.ledger_view(converted, names)
     assert not tracker.getJobIdsForGroup("planning")
 
 
@@ -113,13 +116,54 @@ def test_only_counted_small_tables_are_marked_for_broadcast(spark):
     assert "ResolvedHint" not in large._jdf.queryExecution().analyzed().toString()
 
 
-def test_salted_join_matches_a_plain_join(spark, busy):
-    limits = spark.createDataFrame([(u, u * 10) for u in range(1, 20)], "user_id bigint, cap int")
-    for how in ("inner", "left"):
-        salted = skew.salted_join(busy, limits, ["user_id"], "id", how, salts=5)
-        plain = busy.join(limits, ["user_id"], how)
-        found, expected = ({r.id: r.cap for r in x.collect()} for x in (salted, plain))
-        assert found == expected and salted.count() == plain.count()
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("share", [0.5, 0.01])
+def test_lookup_join_matches_a_plain_join(spark, how, share):
+    """Frequent, rare, null and unknown keys; one key and two; small and large lookups."""
+    rows = [(i, 1 if i % 2 else i % 50, "x" if i % 3 else "y") for i in range(600)]
+    rows += [(1000, None, "x"), (1001, 5, None), (1002, 777, "x")]
+    facts = spark.createDataFrame(rows, "id bigint, a int, b string")
+    sides = spark.createDataFrame([(a, b, a * 10, a < 3) for a in range(60) for b in "xy"], "a int, b string, c int, s boolean")
+    one = sides.filter("b = 'x'").drop("b")
+    for lookup, keys in ((one, ["a"]), (sides, ["a", "b"])):
+        expected = sorted(map(tuple, facts.join(lookup, keys, how).collect()), key=repr)
+        for most in (None, 0):
+            for common in (None, F.col("s")):
+                found = skew.lookup_join(facts, lookup, keys, how, max_rows=most, common=common, share=share)
+                assert sorted(map(tuple, found.collect()), key=repr) == expected
+    with pytest.raises(ValueError):
+        skew.lookup_join(facts, one, ["a"], "full")
+
+
+def test_lookup_join_evens_out_two_hot_categories(spark):
+    """Two categories hold 90 % of the rows and the lookup is too large: no task has twice the median."""
+    rows = spark.range(40_000).withColumn(
+        "category_id", F.expr("case when id % 10 < 5 then 1 when id % 10 < 9 then 2 else id % 3001 end")
+    )
+    names = spark.range(4000).select(F.col("id").alias("category_id"), F.lit("n").alias("name"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        spread = rows.repartition(8)
+        joined = skew.lookup_join(spread, names, ["category_id"], max_rows=0)
+        even = joined.groupBy(F.spark_partition_id().alias("p")).count()
+        found = sorted(r["count"] for r in even.collect())
+        assert found[-1] <= 2 * found[len(found) // 2]
+        assert joined.count() == 40_000 and joined.filter("name is null").count() == 0
+        plain = rows.join(names, "category_id").groupBy(F.spark_partition_id().alias("p")).count()
+        uneven = sorted(r["count"] for r in plain.collect())
+        assert uneven[-1] > 2 * uneven[len(uneven) // 2]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_frequent_hashes_hold_every_frequent_key(spark):
+    rows = spark.range(2000).select(F.when(F.col("id") % 4 == 0, 7).otherwise(F.col("id")).alias("k"))
+    seven = rows.filter("k = 7").select(F.xxhash64("k")).first()[0]
+    found = skew.frequent_hashes(rows, ["k"], 0.1)
+    assert seven in found and len(found) <= 10
+    assert skew.frequent_hashes(rows.limit(0), ["k"]) == []
 
 
 def test_filters(spark, demo):

@@ -127,7 +127,7 @@ def test_spend_and_funds_shuffle_sums_only(spark, demo, demo_budgets, categories
             demo.filter("category_id = 4 and occurred_on >= '2026-06-01'"), matrix, "amount", "currency", "EUR"
         ).agg(F.sum("amt")).first()[0]
         assert row.spent == expected
-        own = fx.in_every_base(demo, matrix, users)
+        own = fx.to_display(demo, matrix, users=users)
         funds = b.carry_over_funds(users, own, ["month"], date(2026, 6, 1))
         assert {r.user_id: r.amount for r in funds.collect()} == {1: dec("2530.00"), 2: dec("0.00")}
     finally:
@@ -137,14 +137,14 @@ def test_spend_and_funds_shuffle_sums_only(spark, demo, demo_budgets, categories
 def test_missing_rate_is_an_error_only_where_it_is_needed(spark, demo, users, matrix):
     odd = demo.withColumn("currency", F.when(F.col("id") == 1, "JPY").otherwise(F.col("currency")))
     yen = spark.createDataFrame([(1, "one", "JPY", "US"), (2, "two", "EUR", "EU")], users.schema)
-    own = fx.in_every_base(odd, matrix, yen)
+    own = fx.to_display(odd, matrix, users=yen)
     try:
-        fx.sums_per_user(own, yen, [], F.sum("amt")).collect()
+        own.groupBy("user_id").agg(F.sum("amt")).collect()
         raise AssertionError("no error")
     except Exception as error:
         assert "no exchange rate" in str(error)
-    other = fx.in_every_base(odd.filter("id = 1"), matrix, yen)
-    assert fx.sums_per_user(other, yen, [], F.sum("amt").alias("s")).first().s == dec("4590.00")
+    other = fx.to_display(odd.filter("id = 1"), matrix, users=yen)
+    assert other.agg(F.sum("amt").alias("s")).first().s == dec("4590.00")
 
 
 def test_active_salary_with_ties_and_missing_times(spark):
