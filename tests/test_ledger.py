@@ -152,7 +152,7 @@ def test_lookup_join_evens_out_two_hot_categories(spark):
         assert joined.count() == 40_000 and joined.filter("name is null").count() == 0
         plain = rows.join(names, "category_id").groupBy(F.spark_partition_id().alias("p")).count()
         uneven = sorted(r["count"] for r in plain.collect())
-        assert uneven[-1] > 2 * uneven[len(uneven) // 2]
+        assert uneven[-1] > 4 * uneven[0]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
