@@ -523,6 +523,91 @@ def _before(end: str) -> str:
     )
 
 
+_NEXT = f"cast({_MONTH} + interval 1 month as date)"
+# Requests of every user: two scopes, each at an anchor of its own.
+_REQUESTS = f"""asked as (
+  select id user_id, ['month','3m','ytd','all'][(id + k) % 4 + 1] as scope,
+    cast(date '1998-06-15' + to_months(cast(id * (k + 1) % 36 - 24 as int)) as date) anchor
+  from led_users, unnest([0, 1]) t(k)),
+span as (select user_id, min(make_date(year, month, 1)) lo,
+    cast(max(make_date(year, month, 1)) + interval 1 month as date) hi,
+    count(distinct year * 12 + month) n from led_budgets group by user_id),
+period as (select a.*, {_MONTH} anchor_month,
+    case when scope = 'all' then coalesce(s.lo, {_MONTH}) else {_SCOPE_START} end lo,
+    case when scope = 'all' then coalesce(s.hi, {_NEXT}) else {_NEXT} end hi,
+    cast(case scope when 'month' then 1 when '3m' then 3 when 'ytd' then month(anchor)
+      else coalesce(n, 0) end as int) month_count
+  from asked a left join span s using (user_id))"""
+_STATUS_OF = f"""brow as (select b.*, p.scope, p.anchor, p.anchor_month, p.lo, p.hi
+  from led_budgets b join period p on p.user_id = b.user_id
+    and make_date(b.year, b.month, 1) >= p.lo and make_date(b.year, b.month, 1) < p.hi),
+target as (select user_id, scope, anchor, anchor_month, category_id,
+    max_by(currency, year * 12 + month) cur, min(lo) lo, min(hi) hi from brow group by all),
+lim as (select b.user_id, b.scope, b.anchor, b.category_id, {money_sum(money('b.limit_amount * m.r'))} lim
+  from brow b join target t using (user_id, scope, anchor, category_id)
+  join matrix m on m.b = b.currency and m.q = t.cur group by all),
+spend as (select t.user_id, t.scope, t.anchor, t.anchor_month, t.category_id,
+    {money_sum(money('x.amount * m.r'))} spent
+  from led_transactions x join target t on t.user_id = x.user_id and t.category_id = x.category_id
+  join matrix m on m.b = x.currency and m.q = t.cur
+  where x.direction = 'outbound' and x.occurred_on >= t.lo and x.occurred_on < t.hi
+  group by all),
+status as (select t.user_id, t.scope, t.anchor, t.category_id, coalesce(c.name, 'Unknown') category_name,
+    t.cur currency, t.lo period_start, cast(t.hi - 1 as date) period_end, l.lim limit_amount,
+    cast(coalesce(s.spent, 0) as decimal(18,2)) spent
+  from target t join lim l using (user_id, scope, anchor, category_id)
+  left join spend s using (user_id, scope, anchor, category_id)
+  left join led_categories c on c.id = t.category_id),
+rated as (select *, {ratio('spent', 'limit_amount')} utilization from status)"""
+_STATUS_COLUMNS = """user_id, category_id, category_name, anchor,
+  cast(case when scope = 'month' then year(anchor) end as int) as year,
+  cast(case when scope = 'month' then month(anchor) end as int) as month, scope, period_start,
+  period_end, limit_amount, spent, cast(limit_amount - spent as decimal(18,2)) remaining, utilization,
+  currency, spent > limit_amount over_budget"""
+Q["a8_budget_status_requests"] = f"""with {_REQUESTS},
+{_STATUS_OF}
+select {_STATUS_COLUMNS} from rated"""
+Q["f8_period_requests"] = f"""with {_REQUESTS}
+select distinct user_id, scope, anchor_month, lo period_start, hi period_end, month_count from period"""
+Q["j4_budget_spend_requests"] = f"""with {_REQUESTS},
+{_STATUS_OF}
+select distinct user_id, category_id, scope, anchor_month, spent from spend"""
+Q["a8_budget_status_scopes"] = union_all([f"({_status(s)})" for s in ("month", "3m", "ytd", "all")])
+Q["a10_budget_kpis_scopes"] = f"""with every as ({Q["a8_budget_status_scopes"]})
+select scope, user_id, currency, count(*) filter (not over_budget and utilization < 0.8) on_track,
+  count(*) filter (not over_budget and utilization >= 0.8) at_risk,
+  count(*) filter (over_budget) over_count from every group by all"""
+_HELD = f"""held as (select p.user_id, p.scope, p.anchor,
+    {money_sum("case when c.direction = 'inbound' then c.amt else -c.amt end")} amount
+  from period p join convb c on c.user_id = p.user_id
+  where p.scope <> 'all' and c.occurred_on < p.lo group by all)"""
+Q["w6_carry_over_requests"] = f"""with {_REQUESTS},
+{_HELD}
+select distinct p.user_id, p.scope, p.anchor, cast(coalesce(h.amount, 0) as decimal(18,2)) amount
+from period p left join held h using (user_id, scope, anchor)"""
+_FUNDS = f"""{_HELD},
+fund as (select distinct p.user_id, p.scope, p.anchor,
+    case when p.scope = 'all' then date '1970-01-01' else p.lo end period_start,
+    cast((case when p.scope = 'all' then p.hi else {_NEXT} end) - 1 as date) period_end,
+    cast(coalesce(o.amount, h.amount, 0) as decimal(18,2)) amount,
+    coalesce(o.currency, u.base_currency) currency, o.amount is not null is_override
+  from period p join led_users u on u.id = p.user_id
+  left join held h using (user_id, scope, anchor)
+  left join led_fund_overrides o on o.user_id = p.user_id and o.scope = p.scope
+    and o.period_start = case when p.scope = 'all' then date '1970-01-01' else p.lo end)"""
+Q["j6_fund_status_requests"] = f"with {_REQUESTS},\n{_FUNDS}\nselect * from fund"
+Q["w7_balance_with_fund_requests"] = f"""with {_REQUESTS},
+{_FUNDS},
+daily as (select user_id, occurred_on, {NET} net from convb group by all),
+run as (select p.user_id, p.scope, p.anchor, d.occurred_on, d.net,
+    cast(sum(d.net) over (partition by p.user_id, p.scope, p.anchor order by d.occurred_on)
+      as decimal(18,2)) balance
+  from (select distinct user_id, scope, anchor, lo, hi from period) p
+  join daily d on d.user_id = p.user_id
+  where p.scope = 'all' or (d.occurred_on >= p.lo and d.occurred_on < p.hi))
+select r.*, f.amount fund, cast(r.balance + f.amount as decimal(18,2)) balance_with_fund
+from run r join fund f using (user_id, scope, anchor)"""
+
 Q["j6_fund_status"] = f"""with held as (
   select user_id, {_before('1998-05-31')} m, {_before('1998-03-31')} q, {_before('1997-12-31')} y
   from convb group by user_id),
@@ -927,6 +1012,38 @@ select seq, 'insert' op, id, reason from judged where reason is not null
 union all select id * 10 + 1, 'patch', id, 'transaction not found' from two where id % 150 = 0
 union all select id * 10 + 4, 'delete', id, 'transaction not found' from two where id % 194 = 0"""
 
+# The same table in USD.
+_AFTER = f"""two as (select * from led_transactions where {_TWO}),
+{_INSERTS.replace("from led_transactions", "from two").replace("select id * 10 seq", "select id * 10 seq, occurred_on").replace("select id, user_id, direction, category_id, amount,", "select id, user_id, direction, category_id, occurred_on, amount,")},
+{_PATCHED.replace("from led_transactions", "from two").replace("select id, user_id, direction,", "select id, user_id, direction, occurred_on, occurred_time t0,")},
+kept as (select id, user_id, direction, amount, currency, occurred_on, occurred_time
+    from led_transactions where not {_TWO}
+  union all select id, user_id, direction, amount, currency, occurred_on, occurred_time
+    from patched where id % 97 <> 0
+  union all select id, user_id, direction, amount, currency, occurred_on, null from accepted),
+usd as (select k.*, case when direction = 'inbound' then {money('k.amount * m.r')}
+    else -{money('k.amount * m.r')} end flow
+  from kept k join matrix m on m.b = k.currency and m.q = 'USD')"""
+_TOTAL = "cast(sum({}) over (partition by user_id order by {} rows unbounded preceding) as decimal(18,2))"
+Q["w8_month_balances"] = f"""with {_AFTER},
+nets as (select user_id, cast(date_trunc('month', occurred_on) as date) as month,
+    {money_sum('flow')} net, count(*) entries from usd group by all),
+closed as (select *, {_TOTAL.format('net', 'month')} closing from nets)
+select *, cast(closing - net as decimal(18,2)) opening from closed"""
+_RANGE = "occurred_on between date '1997-03-10' and date '1997-06-20'"
+Q["w1_running_balance_kept"] = f"""with {_AFTER},
+daily as (select user_id, occurred_on, {money_sum('flow')} net from usd group by all),
+run as (select *, {_TOTAL.format('net', 'occurred_on')} balance from daily)
+select * from run where {_RANGE}"""
+Q["w2_transaction_balance_kept"] = f"""with {_AFTER},
+run as (select *, {_TOTAL.format('flow', _LEDGER_ORDER)} balance from usd)
+select user_id, id, balance from run where {_RANGE}"""
+Q["w8_balance_at_kept"] = f"""with {_AFTER}
+select user_id, {money_sum('flow')} balance from usd where occurred_on <= date '1997-05-17' group by user_id"""
+Q["f3_newest_by_month"] = """select user_id, cast(row_number() over (partition by user_id
+    order by occurred_on desc, occurred_time desc nulls last, id desc) as int) as position, id, occurred_on
+from led_transactions where user_id % 3 = 0 qualify position <= 5"""
+
 _SEQ = "((user_id * 100 + category_id) * 10000 + year) * 1000 + month * 10"
 _BUDGET_OPS = f"""asked as (
   select {_SEQ} seq, 'upsert' op, user_id, category_id, year, month, limit_amount + 10 limit_amount,

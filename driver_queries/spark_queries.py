@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from driver_queries.views import Views, views
 from purseflow.functions import money as m, payroll_rules as rules, periods as p
-from purseflow.operators import budgets as b, changes as c, fx, insights, ledger as l
-from purseflow.operators import payroll as pay, reports as r
+from purseflow.operators import balances, budgets as b, changes as c, fx, insights, ledger as l
+from purseflow.operators import payroll as pay, period_requests as asked, reports as r
 from purseflow.plans import dashboards, rates
 from purseflow.schemas import SCOPES, TABLES, TIME_RANGES
-from purseflow.session import fresh_path
+from purseflow.session import fresh_path, staged
 from purseflow.sources import csv_export, fx_payloads, seeds, tables, versions
 
 ANCHOR = date(1998, 6, 15)
@@ -505,6 +505,88 @@ def a8_budget_status_all(v: Views) -> DataFrame:
     return _status(v, "all")
 
 
+def _all_scopes(v: Views) -> DataFrame:
+    """Every user asks for all scopes at one anchor."""
+    every = F.explode(F.array(*[F.lit(scope) for scope in SCOPES]))
+    return v.users.select(
+        F.col("id").alias("user_id"), every.alias("scope"), F.lit(ANCHOR).alias("anchor")
+    )
+
+
+def _requests(v: Views) -> DataFrame:
+    """Every user asks for two scopes, at anchors of their own over three years."""
+    name = lambda k: F.element_at(
+        F.array(*[F.lit(scope) for scope in SCOPES]), ((F.col("id") + k) % 4 + 1).cast("int")
+    )
+    anchor = lambda k: F.add_months(F.lit(ANCHOR), (F.col("id") * (k + 1) % 36 - 24).cast("int"))
+    pairs = [F.struct(name(k).alias("scope"), anchor(k).alias("anchor")) for k in (0, 1)]
+    return v.users.select(F.col("id").alias("user_id"), F.inline(F.array(*pairs)))
+
+
+@query
+def a8_budget_status_scopes(v: Views) -> DataFrame:
+    """All four scopes of the budget page from one read of transactions and budgets."""
+    status = asked.budget_status_asked(_all_scopes(v), v.budgets, v.transactions, v.categories, v.matrix)
+    return status.drop("anchor")
+
+
+@query
+def a8_budget_status_requests(v: Views) -> DataFrame:
+    """Each user's own scopes and anchors in one job."""
+    return asked.budget_status_asked(_requests(v), v.budgets, v.transactions, v.categories, v.matrix)
+
+
+@query
+def a10_budget_kpis_scopes(v: Views) -> DataFrame:
+    """Key figures of every scope, out of one status table."""
+    status = asked.budget_status_asked(_all_scopes(v), v.budgets, v.transactions, v.categories, v.matrix)
+    over, near = F.col("over_budget"), F.col("utilization") >= F.lit("0.8").cast("decimal(20,4)")
+    return status.groupBy("scope", "user_id", "currency").agg(
+        F.count_if(~over & ~near).alias("on_track"),
+        F.count_if(~over & near).alias("at_risk"),
+        F.count_if(over).alias("over_count"),
+    )
+
+
+@query
+def j4_budget_spend_requests(v: Views) -> DataFrame:
+    requests = _requests(v)
+    held = asked.asked_budgets(requests, v.budgets)
+    limits = asked.limits_asked(asked.asked_periods(requests, held), held, v.matrix)
+    spend = asked.spend_asked(limits, v.transactions, v.matrix)
+    return spend.select("user_id", "category_id", "scope", "anchor_month", "spent")
+
+
+@query
+def f8_period_requests(v: Views) -> DataFrame:
+    return asked.asked_periods(_requests(v), v.budgets)
+
+
+def _base_nets(v: Views) -> DataFrame:
+    return balances.month_nets(in_base(v))
+
+
+@query
+def w6_carry_over_requests(v: Views) -> DataFrame:
+    return asked.carry_over_asked(_requests(v), _base_nets(v))
+
+
+@query
+def j6_fund_status_requests(v: Views) -> DataFrame:
+    return asked.fund_status_asked(_requests(v), v.users, v.budgets, v.fund_overrides, _base_nets(v))
+
+
+@query
+def w7_balance_with_fund_requests(v: Views) -> DataFrame:
+    converted = in_base(v)
+    funds = asked.fund_status_asked(
+        _requests(v), v.users, v.budgets, v.fund_overrides, balances.month_nets(converted)
+    )
+    return asked.balance_with_fund_asked(_requests(v), converted, funds).select(
+        "user_id", "scope", "anchor", "occurred_on", "net", "balance", "fund", "balance_with_fund"
+    )
+
+
 @query
 def a10_budget_kpis(v: Views) -> DataFrame:
     return b.budget_kpis(_status(v, "ytd"))
@@ -656,6 +738,53 @@ def w9_ledger_view(v: Views) -> DataFrame:
     return view.select("user_id", "position", "id", "category_name", "amt", "balance")
 
 
+def _kept_balances(v: Views) -> tuple[DataFrame, DataFrame]:
+    """(the rows after a batch, with month folders; the nets kept up by the batch's differences)."""
+    root, before, after, _ = _versioned(v)
+    months = versions.changed_months(before, after)
+    old, new = (versions.rows_of(v.spark, root, x) for x in (before, after))
+    nets = staged(balances.month_nets(usd(v, old)), "nets")
+    # Only the months that the batch rewrote are read again.
+    changed = [usd(v, versions.in_months(rows, months)) for rows in (old, new)]
+    return new, staged(balances.updated_nets(nets, balances.net_differences(*changed)), "nets")
+
+
+@query
+def w8_month_balances(v: Views) -> DataFrame:
+    """Month-end balances after a batch, brought up to date by its signed differences."""
+    return balances.month_balances(_kept_balances(v)[1])
+
+
+@query
+def w1_running_balance_kept(v: Views) -> DataFrame:
+    new, nets = _kept_balances(v)
+    return balances.running_balance_kept(nets, usd(v, new), "1997-03-10", "1997-06-20").select(
+        "user_id", "occurred_on", "net", "balance"
+    )
+
+
+@query
+def w2_transaction_balance_kept(v: Views) -> DataFrame:
+    new, nets = _kept_balances(v)
+    rows = balances.transaction_balance_kept(nets, usd(v, new), "1997-03-10", "1997-06-20")
+    return rows.select("user_id", "id", "balance")
+
+
+@query
+def w8_balance_at_kept(v: Views) -> DataFrame:
+    new, nets = _kept_balances(v)
+    return balances.balance_at_kept(nets, usd(v, new), "1997-05-17")
+
+
+@query
+def f3_newest_by_month(v: Views) -> DataFrame:
+    """The five newest rows of a third of the users, from the months that hold them."""
+    nets = balances.month_nets(usd(v))
+    some = v.users.filter("id % 3 = 0").select(F.col("id").alias("user_id"))
+    rows = balances.newest_transactions(nets, v.transactions, 5, some)
+    return rows.select("user_id", "position", "id", "occurred_on")
+
+
 # --------------------------------------------------------------------------- scalar functions
 
 
