@@ -629,7 +629,7 @@ def _snapshots(v: Views) -> DataFrame:
 
 def _overview(v: Views) -> DataFrame:
     return dashboards.overview(
-        v.users, v.transactions, v.categories, _snapshots(v), v.matrix,
+        v.users, v.transactions, v.categories, _snapshots(v), v.matrix, chosen=True,
         start="1998-01-01", end="1998-12-31",
     )
 
@@ -648,7 +648,7 @@ def a13_overview_categories(v: Views) -> DataFrame:
 def a14_dashboard_summary(v: Views) -> DataFrame:
     """The nested lists as text: finding keys, and id:total of the top categories."""
     summary = dashboards.dashboard(
-        v.users, v.transactions, v.categories, _snapshots(v), v.matrix,
+        v.users, v.transactions, v.categories, _snapshots(v), v.matrix, chosen=True,
         start="1998-04-01", end="1998-06-30",
     )
     top = F.transform(
@@ -969,7 +969,7 @@ def p13_profile_snapshot(v: Views) -> DataFrame:
 @query
 def i1_insights(v: Views) -> DataFrame:
     base = dashboards.overview(
-        v.users, v.transactions, v.categories, _snapshots(v), v.matrix, "USD"
+        v.users, v.transactions, v.categories, _snapshots(v), v.matrix, "USD", chosen=True
     )
     return insights.insights(dashboards.insight_summary(base))
 

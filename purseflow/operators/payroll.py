@@ -284,15 +284,14 @@ def breakdown_json(breakdown: Column) -> Column:
 def active_salary(profiles: DataFrame) -> DataFrame:
     """The most recently updated active profile of each user; of equal times the highest id.
 
-    The choice aggregates times and ids alone, first the latest time of each user, then its
-    highest id. Profiles come in by a semi join, so their other columns are never aggregated.
+    Times and ids alone are aggregated; profiles come in by a semi join, so their other columns
+    are not, and the input is read twice.
     """
     active = profiles.filter("is_active")
-    latest = active.groupBy("user_id").agg(F.max("updated_at").alias("updated_at"))
-    keys = active.select("user_id", "updated_at", "id")
-    same = (keys["user_id"] == latest["user_id"]) & keys["updated_at"].eqNullSafe(latest["updated_at"])
-    newest = keys.join(latest, same, "left_semi").groupBy("user_id").agg(F.max("id").alias("id"))
-    return active.join(newest, ["user_id", "id"], "left_semi")
+    newest = active.groupBy("user_id").agg(F.max(F.struct("updated_at", "id")).alias("_newest"))
+    return active.join(newest.select("user_id", "_newest.id"), ["user_id", "id"], "left_semi").select(
+        *profiles.columns
+    )
 
 
 def stored_salary_figures(profiles: DataFrame) -> DataFrame:

@@ -84,15 +84,14 @@ def _within(rows: DataFrame, by_user: DataFrame, day: Column) -> DataFrame:
 def in_asked_months(tx: DataFrame, periods: DataFrame) -> DataFrame:
     """Transactions of months that some period covers.
 
-    The months are as many as the calendar has, so they are broadcast; where the table is stored
-    by month they prune its folders at run time.
+    The list of months is as long as the calendar at most; where the table is stored by month, its
+    other folders are not opened.
     """
     last = F.add_months("period_end", -1)
-    months = periods.select(
-        F.explode(F.sequence("period_start", last, F.expr("interval 1 month"))).alias("_asked")
-    ).distinct()
+    every = F.explode(F.sequence("period_start", last, F.expr("interval 1 month")))
+    months = [r[0] for r in periods.select(every.alias("m")).distinct().collect()]
     held = F.col(MONTH_COLUMN) if MONTH_COLUMN in tx.columns else F.trunc("occurred_on", "month")
-    return tx.join(F.broadcast(months), held == F.col("_asked"), "left_semi")
+    return tx.filter(held.isin(*months) if months else F.lit(False))
 
 
 def limits_asked(periods: DataFrame, budgets: DataFrame, matrix: DataFrame) -> DataFrame:

@@ -63,17 +63,20 @@ def user_summary(
     profiles: DataFrame,
     matrix: DataFrame,
     currency: str | None = None,
+    chosen: bool = False,
 ) -> DataFrame:
     """One row per user, also for users without transactions or salary.
 
-    ``profiles`` carry their stored breakdown; the active one gives the reference income.
+    ``profiles`` carry their stored breakdown; the active one gives the reference income. With
+    ``chosen`` they are the active ones already, one per user.
     """
     code = F.upper("base_currency") if currency is None else F.lit(currency.upper())
     zero = F.lit(0).cast(TOTAL)
+    salaries = profiles if chosen else active_salary(profiles)
     people = (
         users.select(F.col("id").alias("user_id"), code.alias("currency"))
         .join(user_rollup(converted, categories), "user_id", "left")
-        .join(stored_salary_figures(active_salary(profiles)), "user_id", "left")
+        .join(stored_salary_figures(salaries), "user_id", "left")
         .withColumn("total_income", F.coalesce("total_income", zero))
         .withColumn("total_expense", F.coalesce("total_expense", zero))
     )
@@ -107,12 +110,13 @@ def overview(
     profiles: DataFrame,
     matrix: DataFrame,
     currency: str | None = None,
+    chosen: bool = False,
     **filters,
 ) -> DataFrame:
     """Totals, salary, savings rate and the nested category list of every user."""
     rows = filter_transactions(tx, **filters)
     converted = to_display(rows, matrix, currency, users)
-    return user_summary(users, converted, categories, profiles, matrix, currency)
+    return user_summary(users, converted, categories, profiles, matrix, currency, chosen)
 
 
 def insight_summary(summary: DataFrame) -> DataFrame:
@@ -137,10 +141,11 @@ def dashboard(
     profiles: DataFrame,
     matrix: DataFrame,
     currency: str | None = None,
+    chosen: bool = False,
     **filters,
 ) -> DataFrame:
     """Totals, salary, savings rate, top expense categories and findings of every user."""
-    base = overview(users, tx, categories, profiles, matrix, currency, **filters)
+    base = overview(users, tx, categories, profiles, matrix, currency, chosen, **filters)
     found = insight_list(insight_summary(base))
     return found.withColumn("top_expense_categories", top_of_list(F.col("categories"))).drop(
         "categories", "deduction_rate", "top_name", "top_total", "income_streams"
