@@ -1044,6 +1044,30 @@ Q["f3_newest_by_month"] = """select user_id, cast(row_number() over (partition b
     order by occurred_on desc, occurred_time desc nulls last, id desc) as int) as position, id, occurred_on
 from led_transactions where user_id % 3 = 0 qualify position <= 5"""
 
+def _as_report(name: str, query: str, label: str, value: str) -> str:
+    return f"""select '{name}' report, user_id, {label} as label, cast({value} as decimal(18,2)) as value
+from ({Q[query]}) x"""
+
+
+_NUMBER = "cast(category_id as varchar)"
+Q["a14_report_page"] = union_all(
+    [
+        *[_as_report("a1", "a1_totals", f"'{c}'", c) for c in ("total_income", "total_expense", "net_cashflow")],
+        _as_report("a2", "a2_per_category_totals", f"{_NUMBER} || '/' || direction", "total"),
+        _as_report("a3", "a3_top_expense_categories", f"cast(rank as varchar) || '/' || {_NUMBER}", "total"),
+        _as_report("a4", "a4_monthly_totals", "month", "net"),
+        _as_report("a5", "a5_monthly_expense_by_category", f"{_NUMBER} || '/' || month", "value"),
+        _as_report("a6", "a6_top5_plus_other", "label || '/' || month", "value"),
+        """select 'a7', user_id, cast(occurred_on as varchar), cast(sum(
+    case when direction = 'inbound' then amt else -amt end) as decimal(18,2)) from conv group by user_id, occurred_on""",
+        _as_report("a15", "a15_burn_rate", "'per_month'", "round(per_month, 2)"),
+        _as_report("a16", "a16_statutory_split", "cast(statutory as varchar)", "total"),
+        _as_report("i1", "i1_insights", "concat_ws('/', cast(position as varchar), key, detail)", "0"),
+    ]
+)
+Q["j3_base_amounts_by_user"] = "select c.id, c.user_id, u.base_currency display_currency, c.amt from convb c join led_users u on u.id = c.user_id"
+Q["j6_fund_status_by_user"] = Q["j6_fund_status"]
+
 _SEQ = "((user_id * 100 + category_id) * 10000 + year) * 1000 + month * 10"
 _BUDGET_OPS = f"""asked as (
   select {_SEQ} seq, 'upsert' op, user_id, category_id, year, month, limit_amount + 10 limit_amount,

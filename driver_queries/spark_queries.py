@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from driver_queries.views import Views, views
 from purseflow.functions import money as m, payroll_rules as rules, periods as p
 from purseflow.operators import balances, budgets as b, changes as c, fx, insights, ledger as l
-from purseflow.operators import payroll as pay, period_requests as asked, reports as r
+from purseflow.operators import payroll as pay, period_requests as asked, reports as r, rollup
 from purseflow.plans import dashboards, rates
 from purseflow.schemas import SCOPES, TABLES, TIME_RANGES
 from purseflow.session import fresh_path, staged
-from purseflow.sources import csv_export, fx_payloads, seeds, tables, versions
+from purseflow.sources import by_user, csv_export, fx_payloads, seeds, tables, versions
 
 ANCHOR = date(1998, 6, 15)
 MONEY = "decimal(18,2)"
@@ -398,6 +398,23 @@ def j6_fund_status(v: Views) -> DataFrame:
     return b.fund_status(v.users, v.budgets, v.fund_overrides, in_base(v), SCOPES, ANCHOR)
 
 
+def _by_user(v: Views) -> by_user.ByUser:
+    return by_user.save_by_user(v.spark, v.users, v.transactions)
+
+
+@query
+def j3_base_amounts_by_user(v: Views) -> DataFrame:
+    """Amounts in each user's currency, out of tables that lie in the same buckets."""
+    return by_user.base_amounts(_by_user(v), v.matrix).select("id", "user_id", "display_currency", "amt")
+
+
+@query
+def j6_fund_status_by_user(v: Views) -> DataFrame:
+    stored = _by_user(v)
+    converted = by_user.base_amounts(stored, v.matrix)
+    return b.fund_status(stored.users, v.budgets, v.fund_overrides, converted, SCOPES, ANCHOR)
+
+
 @query
 def j7_prior_period_delta(v: Views) -> DataFrame:
     now = category_totals(v, start="1998-04-01", end="1998-06-30")
@@ -660,6 +677,45 @@ def a14_dashboard_summary(v: Views) -> DataFrame:
     ).withColumn("top_count", F.size("top_expense_categories")).withColumn("insights", F.array_join("insights.key", ",")).drop("top_expense_categories")
 
 
+@query
+def a14_report_page(v: Views) -> DataFrame:
+    """Ten reports out of one rollup, as (report, user, label, value); rows are read once."""
+    daily = rollup.daily_rollup(usd(v))
+    monthly = rollup.monthly_rollup(daily)
+    by_category = r.per_category_totals(monthly, v.categories)
+    grid = r.monthly_expense_by_category(monthly, v.categories, 6)
+    top = r.top_plus_other(r.monthly_expense_by_category(monthly, v.categories, 36))
+    start, end = p.time_range_bounds("ytd", ANCHOR)
+    spent = r.totals(l.filter_transactions(daily, start, end))
+    burn = F.round(r.burn_rate(F.col("total_expense"), start, end)["per_month"], 2)
+    found = insights.insights(
+        dashboards.insight_summary(
+            dashboards.overview(
+                v.users, rollup.as_ledger(monthly, "USD"), v.categories, _snapshots(v), v.matrix, "USD", chosen=True
+            )
+        )
+    )
+    flows = lambda names: F.inline(
+        F.array(*[F.struct(F.lit(n).alias("label"), F.col(n).alias("value")) for n in names])
+    )
+    text = lambda *names: F.concat_ws("/", *[F.col(n).cast("string") for n in names]).alias("label")
+    value = lambda name: F.col(name).cast(MONEY).alias("value")
+    months = r.monthly_totals(monthly, 6)
+    reports = {
+        "a1": r.totals(monthly).select("user_id", flows(["total_income", "total_expense", "net_cashflow"])),
+        "a2": by_category.select("user_id", text("category_id", "direction"), value("total")),
+        "a3": r.top_expense_categories(by_category, 3).select("user_id", text("rank", "category_id"), value("total")),
+        "a4": months.select("user_id", text("month"), value("net")),
+        "a5": grid.select("user_id", text("category_id", "month"), value("value")),
+        "a6": top.select("user_id", text("label", "month"), value("value")),
+        "a7": r.daily_totals(daily).select("user_id", text("occurred_on"), value("net")),
+        "a15": spent.select("user_id", F.lit("per_month").alias("label"), burn.cast(MONEY).alias("value")),
+        "a16": r.statutory_split(by_category, v.categories).select("user_id", text("statutory"), value("total")),
+        "i1": found.select("user_id", text("position", "key", "detail"), F.lit(0).cast(MONEY).alias("value")),
+    }
+    return union([df.withColumn("report", F.lit(name)) for name, df in reports.items()])
+
+
 @query
 def a15_burn_rate(v: Views) -> DataFrame:
     start, end = p.time_range_bounds("ytd", ANCHOR)
