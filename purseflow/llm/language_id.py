@@ -19,9 +19,10 @@ SAMPLE_PER_LANGUAGE = 1500
 GRAM_BITS = 15
 SMOOTHING = 0.5
 EM_STEPS = 12
-# Most languages a document's set may have, and what each further one costs (times log words / 2).
-MOST_LANGUAGES = 3
+# What each further language of a document's set costs (times log words / 2).
 PENALTY = 2.0
+# Bytes of text that are scored at once; longer texts are worked off in parts of that size.
+PART_BYTES = 1 << 20
 
 # Every byte that is part of a word: ASCII letters in lower case, and all bytes of other letters.
 _FOLD = bytes(
@@ -159,41 +160,110 @@ def _mixture(
     return shares, np.add.reduceat(total, starts)
 
 
+def _shares_of_many(model: LanguageModel, bodies: list[bytes], proportions: np.ndarray) -> None:
+    """Fill in the proportions of texts that are short enough to be scored at once."""
+    count = len(model.languages)
+    scores, doc = word_scores(model, bodies)
+    if not len(scores):
+        return
+    present, starts = np.unique(doc, return_index=True)
+    local = np.searchsorted(present, doc)
+    best = scores.max(axis=1, keepdims=True)
+    like = np.exp(np.maximum(scores - best, -80.0)).astype(np.float64)
+    words = np.diff(np.append(starts, len(like)))
+
+    def fitted(start: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+        return _mixture(like, starts, local, start, steps)
+
+    proportions[present] = _best_sets(fitted, len(present), count, words)
+
+
+def _best_sets(fitted: Callable, documents: int, count: int, words: np.ndarray) -> np.ndarray:
+    """Proportions (documents, languages) under each document's best language set.
+
+    The nested sets of the 1, 2, .. heaviest languages compete, each fitted again; a document's
+    sets grow until its log-likelihood less a penalty per further language falls.
+    """
+    full, _ = fitted(np.full((documents, count), 1.0 / count), EM_STEPS)
+    order = np.argsort(-full, axis=1, kind="stable")
+    place = np.argsort(order, axis=1, kind="stable")
+    winner, value = np.zeros((documents, count)), np.full(documents, -np.inf)
+    growing = np.ones(documents, dtype=bool)
+    for size in range(1, count + 1):
+        start = np.where(place < size, full + 1e-9, 0.0)
+        start /= start.sum(axis=1, keepdims=True)
+        shares, fit_value = fitted(start, 4 if size > 1 else 0)
+        fit_value = fit_value - PENALTY * (size - 1) * 0.5 * np.log(words + 1.0)
+        growing &= fit_value > value
+        winner = np.where(growing[:, None], shares, winner)
+        value = np.where(growing, fit_value, value)
+        if not growing.any():
+            break
+    return winner
+
+
+def _parts(body: bytes) -> Iterator[bytes]:
+    """Parts of a long text of about PART_BYTES, cut between words; a word that long is cut too."""
+    at = 0
+    while at < len(body):
+        stop = min(at + PART_BYTES, len(body))
+        ahead = body[stop : stop + PART_BYTES].translate(_FOLD)
+        space = ahead.find(b" ")
+        stop += space if space >= 0 else len(ahead)
+        yield body[at:stop]
+        at = stop
+
+
+def _shares_of_long(model: LanguageModel, body: bytes) -> np.ndarray | None:
+    """Proportions of one long text; its parts are scored anew in every step, and their sums added.
+
+    Memory follows the size of a part. None for a text without a word.
+    """
+    count = len(model.languages)
+    words = sum(len(word_grams([part])[1]) for part in _parts(body))
+    if not words:
+        return None
+
+    def fitted(start: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+        shares = start
+        for step in range(steps + 1):
+            added, total = np.zeros((1, count)), 0.0
+            for part in _parts(body):
+                scores, _ = word_scores(model, [part])
+                if not len(scores):
+                    continue
+                like = np.exp(np.maximum(scores - scores.max(axis=1, keepdims=True), -80.0))
+                mixed = like * shares
+                sums = mixed.sum(axis=1, keepdims=True)
+                added += (mixed / sums).sum(axis=0)
+                total += np.log(sums).sum()
+            if step < steps:
+                shares = added / words
+        return shares, np.array([total])
+
+    return _best_sets(fitted, 1, count, np.array([words]))[0]
+
+
 def infer(model: LanguageModel, bodies: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Per text: language, its proportion, and the proportions of all languages.
 
-    EM over words first runs with all languages. The nested sets of the 1, 2, .. heaviest
-    languages of a document then compete: each is fitted again, and the one with the best
-    log-likelihood less a penalty per further language is taken.
+    EM over words runs with all languages first, then with nested sets (``_best_sets``).
     """
     count = len(model.languages)
     proportions = np.zeros((len(bodies), max(count, 1)))
-    scores, doc = word_scores(model, bodies)
-    if len(scores) and count:
-        present, starts = np.unique(doc, return_index=True)
-        local = np.searchsorted(present, doc)
-        best = scores.max(axis=1, keepdims=True)
-        like = np.exp(np.maximum(scores - best, -80.0)).astype(np.float64)
-        flat = np.full((len(present), count), 1.0 / count)
-        full, _ = _mixture(like, starts, local, flat, EM_STEPS)
-        words = np.diff(np.append(starts, len(like)))
-        order = np.argsort(-full, axis=1, kind="stable")
-        place = np.argsort(order, axis=1, kind="stable")
-        winner, value = None, np.full(len(present), -np.inf)
-        for size in range(1, min(MOST_LANGUAGES, count) + 1):
-            start = np.where(place < size, full + 1e-9, 0.0)
-            start /= start.sum(axis=1, keepdims=True)
-            shares, fit_value = _mixture(like, starts, local, start, 4 if size > 1 else 0)
-            fit_value -= PENALTY * (size - 1) * 0.5 * np.log(words + 1.0)
-            better = fit_value > value
-            winner = shares if winner is None else np.where(better[:, None], shares, winner)
-            value = np.maximum(value, fit_value)
-        proportions[present] = winner
+    if count:
+        long = [i for i, body in enumerate(bodies) if len(body) > PART_BYTES]
+        for i in long:
+            shares = _shares_of_long(model, bodies[i])
+            if shares is not None:
+                proportions[i] = shares
+        rest = [b"" if len(body) > PART_BYTES else body for body in bodies]
+        some = np.zeros_like(proportions)
+        _shares_of_many(model, rest, some)
+        proportions += some
     top = proportions.argmax(axis=1)
     chosen, score = [], proportions[np.arange(len(bodies)), top]
-    known = np.zeros(len(bodies), dtype=bool)
-    if len(scores):
-        known[np.unique(doc)] = True
+    known = proportions.sum(axis=1) > 0
     for i, body in enumerate(bodies):
         # ASCII letters are letters; for texts without one, look at the characters.
         sure = known[i] and (body.isascii() or bool(body.translate(None, _NO_ASCII_LETTER)))
@@ -229,6 +299,19 @@ def learn(
     return fit(labelled, per_language)
 
 
+def _slices(bodies: list[bytes], most: int = 100) -> Iterator[list[bytes]]:
+    """Runs of texts with at most ``most`` of them and about PART_BYTES together."""
+    held, size = [], 0
+    for body in bodies:
+        if held and (len(held) == most or size + len(body) > PART_BYTES):
+            yield held
+            held, size = [], 0
+        held.append(body)
+        size += len(body)
+    if held:
+        yield held
+
+
 def mixture_udf(model: LanguageModel):
     """Column function of a binary text: struct of lang_pred, score and mixture."""
 
@@ -236,8 +319,8 @@ def mixture_udf(model: LanguageModel):
     def mixture(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in series:
             found = []
-            for at in range(0, len(part), 100):
-                chosen, score, shares = infer(model, [b or b"" for b in part[at : at + 100]])
+            for bodies in _slices([b or b"" for b in part]):
+                chosen, score, shares = infer(model, bodies)
                 listed = [
                     ",".join(f"{model.languages[k]}:{row[k]:.4f}" for k in np.flatnonzero(row > 0.0001))
                     for row in shares

@@ -52,6 +52,84 @@ def test_mixtures_of_two_languages(spark):
     assert np.allclose(shares.sum(axis=1), 1)
 
 
+def small_model(languages=4, seed=3):
+    """Distinct trigram likelihoods of a few languages, each at home in its own letters."""
+    rng = np.random.default_rng(seed)
+    grams = rng.random((1 << language_id.GRAM_BITS, languages)) * 0.02 + 1e-4
+    words = []
+    for k in range(languages):
+        mine = [bytes(rng.integers(97 + 6 * k, 103 + 6 * k, 5).astype(np.uint8)) for _ in range(30)]
+        found, _, _ = language_id.word_grams([b" ".join(mine)])
+        grams[found, k] += 0.05
+        words.append(mine)
+    names = [f"l{k}" for k in range(languages)]
+    return language_id.LanguageModel(names, np.log(grams / grams.sum(axis=0)).astype(np.float32)), words
+
+
+def plain_em(like, start, steps):
+    shares = np.array(start, dtype=float)
+    for _ in range(steps):
+        part = like * shares
+        shares = (part / part.sum(axis=1, keepdims=True)).mean(axis=0)
+    return shares, np.log((like * shares).sum(axis=1)).sum()
+
+
+def plain_sets(model, body):
+    """One text by definition: EM word by word, then growing sets until the penalised value falls."""
+    scores, _ = language_id.word_scores(model, [body])
+    like = np.exp(np.maximum(scores - scores.max(axis=1, keepdims=True), -80))
+    count = len(model.languages)
+    full, _ = plain_em(like, np.full(count, 1 / count), language_id.EM_STEPS)
+    heaviest = np.argsort(-full, kind="stable")
+    winner, best = None, -np.inf
+    for size in range(1, count + 1):
+        start = np.zeros(count)
+        start[heaviest[:size]] = full[heaviest[:size]] + 1e-9
+        shares, value = plain_em(like, start / start.sum(), 4 if size > 1 else 0)
+        value -= language_id.PENALTY * (size - 1) * 0.5 * np.log(len(like) + 1)
+        if value <= best:
+            break
+        winner, best = shares, value
+    return winner
+
+
+def test_mixtures_by_definition():
+    model, words = small_model()
+    rng = random.Random(2)
+    bodies = []
+    for n in range(60):
+        langs = rng.sample(range(4), rng.randrange(1, 5))
+        bodies.append(b" ".join(rng.choice(words[rng.choice(langs)]) for _ in range(rng.randrange(1, 90))))
+    _, _, shares = language_id.infer(model, bodies)
+    for body, found in zip(bodies, shares):
+        np.testing.assert_allclose(found, plain_sets(model, body), atol=1e-9)
+
+
+def test_a_text_in_four_languages_keeps_them_all():
+    model, words = small_model()
+    body = b" ".join(words[k % 4][k % 30] for k in range(400))
+    _, _, shares = language_id.infer(model, [body])
+    assert (shares[0] > 0.1).all()
+
+
+def test_long_texts_are_inferred_in_parts(monkeypatch):
+    """Parts give the same proportions as one look at the whole text; memory follows the part."""
+    model, words = small_model()
+    rng = random.Random(4)
+    bodies = [b" ".join(rng.choice(words[rng.choice((0, 2, 2))]) for _ in range(n)) for n in (5, 300, 900)]
+    whole = language_id.infer(model, bodies)
+    monkeypatch.setattr(language_id, "PART_BYTES", 256)
+    parts = language_id.infer(model, bodies)
+    assert parts[0] == whole[0]
+    np.testing.assert_allclose(parts[2], whole[2], atol=1e-9)
+    assert language_id.infer(model, [b" " * 5000])[0] == ["und"]
+    assert b"".join(language_id._parts(bodies[2])) == bodies[2]
+    endless = b"x" * 3000
+    assert max(map(len, language_id._parts(endless))) <= 512 and language_id.infer(model, [endless])[1][0] > 0
+    sizes = [sum(map(len, s)) for s in language_id._slices([b"y" * 100] * 9 + [b"z" * 999])]
+    assert max(sizes) == 999 and sum(sizes) == 1899
+
+
 def test_language_edge_cases(messy, empty, spark):
     assert identify(empty).count() == keep_identified(empty).count() == 0
     found = identify(messy)
