@@ -128,16 +128,21 @@ def mix_sources(
     are rounded like nothing: they keep the whole part. Null is a source of its own. Ids may be
     null or repeat; rows alike in id and size are interchangeable. An empty table gives no rows.
 
-    Documents are dealt by id into leaves of about LEAF_DOCUMENTS; each leaf rounds its documents
+    Documents are dealt by a hash of id and text into leaves of about LEAF_DOCUMENTS, so that rows
+    with a null or repeated id spread as well; only whole copies of one row share a leaf. Each leaf rounds its documents
     of a source but one, and those residuals meet up a tree, FAN_IN nodes at a time. Draws depend
     on the seed and the place in the tree, so reruns agree however the input is partitioned.
     """
     words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
-    sized = docs.select(
-        F.col(id_col).alias("id"),
-        F.col(source_col).alias("source"),
-        words.cast("long").alias("size"),
-        *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)),
+    sized = staged(
+        docs.select(
+            F.col(id_col).alias("id"),
+            F.col(source_col).alias("source"),
+            words.cast("long").alias("size"),
+            F.xxhash64(F.col(id_col), F.col(text_col)).alias("deal"),
+            *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)),
+        ),
+        "sized",
     )
     totals = staged(
         sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")),
@@ -155,7 +160,8 @@ def mix_sources(
         .drop("source", "target_source")
         .withColumn("whole", whole.cast("long"))
         .withColumn("chance", expected - whole)
-        .withColumn("node", F.pmod(F.xxhash64("id"), F.lit(leaves)).cast("long"))
+        .withColumn("node", F.pmod("deal", F.lit(leaves)).cast("long"))
+        .drop("deal")
         .withColumn("order", order)
         .withColumn("open", F.lit(False))
     )

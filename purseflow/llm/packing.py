@@ -17,6 +17,10 @@ from purseflow.session import staged
 SEQUENCE_TOKENS = 2048
 # Words and cores that a worker remembers; beyond, it starts anew.
 CACHE_WORDS = 1 << 18
+# Pieces up to this part of a sequence are left to best fit.
+KEPT_BACK = 8
+# Blocks of lengths whose complements are taken or put back as a whole.
+BLOCKS = 6
 # Parts that the pieces of one length are ranked in; one more for every PART_PIECES pieces.
 PARTS, PART_PIECES = 64, 1_000_000
 
@@ -126,75 +130,49 @@ def cut_pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacity:
     )
 
 
-def plan_sequences(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
-    """(lengths, times): how often to fill a sequence with which lengths, for ``counts`` pieces.
+class SumIndex:
+    """Single, pair and triple sums of available lengths, looked up by the gap they fill.
 
-    ``counts[n]`` is the number of pieces of n tokens. Exact complements of up to three lengths
-    come first, then best fit. Taking many exact complements can leave pieces that fit together
-    badly, so plans with complements of up to 3, 2, 1 and no lengths are made, and the one with the
-    fewest sequences is taken. The work depends on the capacity, not on the number of pieces.
+    A sum's pairs are listed once, the largest length first, and kept under the sum; lengths that
+    have run out are passed over when a list is read.
     """
-    least = -(-int((counts * np.arange(capacity + 1)).sum()) // capacity)
-    best, size = None, 0
-    for parts in (3, 2, 1, 0):
-        plan = _plan(counts, capacity, parts)
-        made = sum(times for _, times in plan)
-        if best is None or made < size:
-            best, size = plan, made
-        if size == least:
-            break
-    return best
-
-
-def _plan(counts: np.ndarray, capacity: int, parts: int) -> list[tuple[list[int], int]]:
-    """From the longest down, each length's gap is filled exactly by one, then by two, then by
-    three available lengths, as often at once as their counts allow; the rest is packed best-fit,
-    longest first, again many at once."""
-    left = counts.astype(np.int64).copy()
-    plan: list[tuple[list[int], int]] = []
 
-    def take(lengths: list[int]) -> None:
-        kinds, uses = np.unique(lengths, return_counts=True)
-        times = int((left[kinds] // uses).min())
-        if times:
-            left[kinds] -= times * uses
-            plan.append((lengths, times))
-
-    def pair_sums(total: int) -> list[int]:
-        """Lengths a >= b with a + b = total, both available; the largest a first."""
-        a = np.arange(total - 1, (total - 1) // 2, -1)
-        return a[(left[a] > 0) & (left[total - a] > 0)].tolist()
-
-    def fill_by_pairs(longest: int, gap: int) -> None:
-        for a in pair_sums(gap):
-            take([longest, a, gap - a])
-            if not left[longest]:
-                return
-
-    def fill_by_triples(longest: int, gap: int) -> None:
-        for a in (np.flatnonzero(left[1:gap])[::-1] + 1).tolist():
-            for b in pair_sums(gap - a) if left[a] else ():
-                if b <= a:
-                    take([longest, a, b, gap - a - b])
-                if not left[longest]:
-                    return
-                if not left[a]:
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        self.lengths = np.flatnonzero(left)
+        self._pairs: dict[int, list[tuple[int, int]]] = {}
+
+    def singles(self, gap: int) -> Iterator[tuple[int, ...]]:
+        if self.left[gap]:
+            yield (gap,)
+
+    def pairs(self, gap: int) -> Iterator[tuple[int, ...]]:
+        known = self._pairs.get(gap)
+        if known is None:
+            a = self.lengths[(self.lengths < gap) & (2 * self.lengths >= gap)]
+            a = a[self.left[gap - a] > 0][::-1]
+            known = self._pairs[gap] = list(zip(a.tolist(), (gap - a).tolist()))
+        for a, b in known:
+            if self.left[a] and self.left[b]:
+                yield a, b
+
+    def triples(self, gap: int) -> Iterator[tuple[int, ...]]:
+        if not len(self.lengths):
+            return
+        # The largest of three is a third of the gap at least, and leaves room for two more.
+        room = (3 * self.lengths >= gap) & (self.lengths <= gap - 2 * self.lengths[0])
+        for a in self.lengths[room][::-1].tolist():
+            for b, c in self.pairs(gap - a) if self.left[a] else ():
+                if not self.left[a]:
                     break
+                if b <= a:
+                    yield a, b, c
 
-    if left[capacity]:
-        take([capacity])
-    for number in range(1, parts + 1):
-        for longest in range(capacity - 1, 0, -1):
-            gap = capacity - longest
-            if not left[longest]:
-                continue
-            if number == 1 and left[gap]:
-                take([longest, gap])
-            elif number == 2:
-                fill_by_pairs(longest, gap)
-            elif number == 3:
-                fill_by_triples(longest, gap)
-    # Best fit, longest first: open sequences by gap; those alike are handled together.
+
+def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
+    """Longest first, each piece where the least room is left; open sequences that are alike are
+    handled together."""
+    left, plan = counts, []
     gaps: list[int] = []
     alike: dict[int, list[tuple[list[int], int]]] = {}
 
@@ -232,6 +210,56 @@ def _plan(counts: np.ndarray, capacity: int, parts: int) -> list[tuple[list[int]
     return plan
 
 
+def plan_sequences(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
+    """(lengths, times): how often to fill a sequence with which lengths, for ``counts`` pieces.
+
+    ``counts[n]`` is the number of pieces of n tokens. From the longest length down, its gap is
+    filled exactly by single lengths, then pairs, then triples out of an index of their sums, each
+    combination as often at once as the counts allow; what is left is packed best-fit. Residuals need
+    short pieces to fill up with, so pieces up to a KEPT_BACK-th of a sequence are kept out of the
+    complements, and a block of lengths whose complements would make complements and residual
+    together need more sequences is put back. The plan is thus never longer than best fit alone.
+    The work depends on the capacity, not on the number of pieces.
+    """
+    left = counts.astype(np.int64).copy()
+    short = capacity // KEPT_BACK + 1
+    kept = np.where(np.arange(capacity + 1) < short, left, 0)
+    left -= kept
+    plan: list[tuple[list[int], int]] = []
+
+    def take(lengths: list[int]) -> None:
+        kinds, uses = np.unique(lengths, return_counts=True)
+        times = int((left[kinds] // uses).min())
+        if times:
+            left[kinds] -= times * uses
+            plan.append((lengths, times))
+
+    def made() -> int:
+        residual = best_fit(left + kept, capacity)
+        return sum(times for _, times in plan) + sum(times for _, times in residual)
+
+    if left[capacity]:
+        take([capacity])
+    needed = made()
+    sums = SumIndex(left)
+    for fill in (sums.singles, sums.pairs, sums.triples):
+        lengths_left = np.flatnonzero(left)[::-1]
+        for block in np.array_split(lengths_left, BLOCKS):
+            before, planned = left.copy(), len(plan)
+            for longest in block.tolist():
+                for lengths in fill(capacity - longest) if left[longest] else ():
+                    take([longest, *lengths])
+                    if not left[longest]:
+                        break
+            total = made() if len(plan) > planned else needed
+            if total > needed:
+                left[:] = before
+                del plan[planned:]
+            else:
+                needed = total
+    return plan + best_fit(left + kept, capacity)
+
+
 def slot_table(plan: list[tuple[list[int], int]]) -> tuple[np.ndarray, ...]:
     """Per slot of the plan, ordered by (length, first rank): key, first rank, sequence, offset."""
     used: dict[int, int] = {}
