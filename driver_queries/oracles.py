@@ -326,11 +326,13 @@ select cast((select max(id) from existing) + row_number() over (order by pos) as
 from seeds s where not exists (
   select 1 from existing e where e.name = s.name and e.direction = s.direction)"""
 
-Q["s2_seed_jurisdictions"] = Q["s1_read_jurisdictions"] = """select 5::bigint id, default_region region, 'Own' as name, 'USD' currency, 'own' modelled_as,
-  false supported from (select default_region from led_users where default_region = 'US' limit 1) x
-union all select 6, 'AU', 'Australia', 'AUD', 'Australia (national)', true
-union all select 7, 'EU', 'European Union', 'EUR', 'Germany (EU representative)', true
-union all select 8, 'PH', 'Philippines', 'PHP', 'Philippines (national)', true"""
+Q["s2_seed_jurisdictions"] = Q["s1_read_jurisdictions"] = """with held as (
+  select min(id) id, default_region region, 'Own' as name, max(base_currency) currency, 'own' modelled_as,
+    false supported from led_users where default_region not in ('AU', 'EU') group by default_region)
+select * from held
+union all select (select max(id) from held) + n, region, name, currency, modelled_as, true
+from (values (1, 'AU', 'Australia', 'AUD', 'Australia (national)'),
+  (2, 'EU', 'European Union', 'EUR', 'Germany (EU representative)')) t(n, region, name, currency, modelled_as)"""
 Q["s2_seed_rates"] = """with held as (
   select base_currency, quote_currency, max_by(rate, as_of) rate, max(as_of) as_of,
     cast(ascii(quote_currency) as bigint) id
@@ -576,7 +578,8 @@ Q["a8_budget_status_scopes"] = union_all([f"({_status(s)})" for s in ("month", "
 Q["a10_budget_kpis_scopes"] = f"""with every as ({Q["a8_budget_status_scopes"]})
 select scope, user_id, currency, count(*) filter (not over_budget and utilization < 0.8) on_track,
   count(*) filter (not over_budget and utilization >= 0.8) at_risk,
-  count(*) filter (over_budget) over_count from every group by all"""
+  count(*) filter (over_budget) over_count,
+  {money_sum('case when over_budget then spent - limit_amount end')} over_amount from every group by all"""
 _HELD = f"""held as (select p.user_id, p.scope, p.anchor,
     {money_sum("case when c.direction = 'inbound' then c.amt else -c.amt end")} amount
   from period p join convb c on c.user_id = p.user_id
@@ -735,6 +738,17 @@ select *, cast({_passed} as int) elapsed_days, cast({_days} as int) total_days,
   {_pace} > cast(limit_amount as double) flagged
 from sums"""
 
+Q["a11_budget_projection_scopes"] = union_all(
+    [
+        f"select '{scope}' as scope, * from ({Q[name]}) x"
+        for name, scope in (
+            ("a11_budget_projection", "3m"),
+            ("a11_budget_projection_month", "month"),
+            ("a11_budget_projection_ytd", "ytd"),
+        )
+    ]
+)
+
 _TOTALS = f"select user_id, {INCOME} ti, {EXPENSE} te from conv group by user_id"
 Q["a12_savings_rate"] = f"""with t as ({_TOTALS})
 select user_id, {ratio('(ti - te)', 'ti')} savings_rate from t"""

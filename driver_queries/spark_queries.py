@@ -144,12 +144,14 @@ def s1_read_jurisdictions(v: Views) -> DataFrame:
 
 
 def _jurisdictions(v: Views) -> DataFrame:
-    """Reference jurisdictions added to a table that holds one row of a region with users."""
-    first = v.users.filter("default_region = 'US'").limit(1)
-    held = first.selectExpr(
-        "5L id", "default_region region", "'Own' name", "base_currency currency", "'own' modelled_as", "false supported"
+    """Reference jurisdictions added to a table that holds regions of the users, all but two."""
+    held = v.users.filter("default_region not in ('AU', 'EU')").groupBy("default_region").agg(
+        F.min("id").alias("id"), F.max("base_currency").alias("currency")
     )
-    return seeds.seed_jurisdictions(held)
+    own = held.selectExpr(
+        "id", "default_region region", "'Own' name", "currency", "'own' modelled_as", "false supported"
+    )
+    return seeds.seed_jurisdictions(own)
 
 
 @query
@@ -557,12 +559,13 @@ def a8_budget_status_requests(v: Views) -> DataFrame:
 def a10_budget_kpis_scopes(v: Views) -> DataFrame:
     """Key figures of every scope, out of one status table."""
     status = asked.budget_status_asked(_all_scopes(v), v.budgets, v.transactions, v.categories, v.matrix)
-    over, near = F.col("over_budget"), F.col("utilization") >= F.lit("0.8").cast("decimal(20,4)")
-    return status.groupBy("scope", "user_id", "currency").agg(
-        F.count_if(~over & ~near).alias("on_track"),
-        F.count_if(~over & near).alias("at_risk"),
-        F.count_if(over).alias("over_count"),
-    )
+    return b.budget_kpis(status, ["scope", "user_id", "currency"])
+
+
+@query
+def a11_budget_projection_scopes(v: Views) -> DataFrame:
+    status = asked.budget_status_asked(_all_scopes(v), v.budgets, v.transactions, v.categories, v.matrix)
+    return b.budget_projection(status, ANCHOR, ["scope", "user_id", "currency"]).drop("period_start", "period_end")
 
 
 @query
@@ -688,13 +691,10 @@ def a14_report_page(v: Views) -> DataFrame:
     start, end = p.time_range_bounds("ytd", ANCHOR)
     spent = r.totals(l.filter_transactions(daily, start, end))
     burn = F.round(r.burn_rate(F.col("total_expense"), start, end)["per_month"], 2)
-    found = insights.insights(
-        dashboards.insight_summary(
-            dashboards.overview(
-                v.users, rollup.as_ledger(monthly, "USD"), v.categories, _snapshots(v), v.matrix, "USD", chosen=True
-            )
-        )
+    people = dashboards.user_summary(
+        v.users, monthly, v.categories, _snapshots(v), v.matrix, "USD", chosen=True
     )
+    found = insights.insights(dashboards.insight_summary(people))
     flows = lambda names: F.inline(
         F.array(*[F.struct(F.lit(n).alias("label"), F.col(n).alias("value")) for n in names])
     )

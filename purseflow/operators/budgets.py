@@ -178,11 +178,14 @@ def budget_status(
     return with_category_name(rows, categories, UNKNOWN)
 
 
-def budget_kpis(status: DataFrame) -> DataFrame:
-    """Counts of on-track, at-risk and over-budget rows, per user and currency."""
+def budget_kpis(status: DataFrame, by: Sequence[str] = ("user_id", "currency")) -> DataFrame:
+    """Counts of on-track, at-risk and over-budget rows, per user and currency.
+
+    A status of several scopes or requests takes their columns into ``by``.
+    """
     over = F.col("over_budget")
     near = F.col("utilization") >= F.lit(AT_RISK).cast("decimal(20,4)")
-    return status.groupBy("user_id", "currency").agg(
+    return status.groupBy(*by).agg(
         F.count_if(~over & ~near).alias("on_track"),
         F.count_if(~over & near).alias("at_risk"),
         F.count_if(over).alias("over_count"),
@@ -190,14 +193,19 @@ def budget_kpis(status: DataFrame) -> DataFrame:
     )
 
 
-def budget_projection(status: DataFrame, today: Column | date) -> DataFrame:
-    """Spend projected to the period's end at the pace so far; nothing for the all-time scope."""
+def budget_projection(
+    status: DataFrame, today: Column | date, by: Sequence[str] = ("user_id", "currency")
+) -> DataFrame:
+    """Spend projected to the period's end at the pace so far; nothing for the all-time scope.
+
+    A status of several scopes or requests takes their columns into ``by``.
+    """
     day = as_day(today)
     length = (F.datediff("period_end", "period_start") + 1).alias("total_days")
     passed = F.datediff(day, F.col("period_start")) + 1
     sums = (
         status.filter(F.col("scope") != "all")
-        .groupBy("user_id", "currency", "period_start", "period_end")
+        .groupBy(*by, "period_start", "period_end")
         .agg(
             money_sum(F.col("spent")).alias("spent"),
             money_sum(F.col("limit_amount")).alias("limit_amount"),

@@ -33,8 +33,3 @@ def daily_rollup(converted: DataFrame) -> DataFrame:
 def monthly_rollup(daily: DataFrame) -> DataFrame:
     """The rollup by month, each row dated on the first; for reports over whole months."""
     return staged(_added(daily, F.trunc("occurred_on", "month"), F.col("entries")), "monthly-rollup")
-
-
-def as_ledger(rollup: DataFrame, currency: str) -> DataFrame:
-    """The rollup as transactions in its own currency, for reports that convert by themselves."""
-    return rollup.withColumn("amount", F.col("amt")).withColumn("currency", F.lit(currency.upper()))

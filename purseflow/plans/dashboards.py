@@ -68,7 +68,8 @@ def user_summary(
     """One row per user, also for users without transactions or salary.
 
     ``profiles`` carry their stored breakdown; the active one gives the reference income. With
-    ``chosen`` they are the active ones already, one per user.
+    ``chosen`` they are the active ones already, one per user. ``converted`` are transactions, or a
+    rollup of them (``operators.rollup``).
     """
     code = F.upper("base_currency") if currency is None else F.lit(currency.upper())
     zero = F.lit(0).cast(TOTAL)

@@ -32,6 +32,20 @@ ONE_ROW_QUERIES = {
     "u8_default_user",
 }
 
+# How often a plan may read the stored orders, which transactions, budgets and profiles derive from.
+READS = {
+    "a1_totals": 1,
+    "a8_budget_status_month": 1,
+    "a8_budget_status_scopes": 1,
+    "a13_overview": 3,
+    "a14_dashboard_summary": 3,
+    "i1_insights": 3,
+    "j6_fund_status": 2,
+    "w2_transaction_balance_kept": 0,
+    "w5_active_salary": 2,
+    "w6_carry_over_fund": 1,
+}
+
 pytestmark = pytest.mark.skipif(not SF_DIR.is_dir(), reason="no test data")
 
 
@@ -67,6 +81,8 @@ def test_query(spark, duck, name):
     assert not re.search(r"PythonUDF|ArrowEvalPython|MapInPandas", plan)
     if name not in ONE_ROW_QUERIES:
         assert "SinglePartition" not in plan
+    if name in READS:
+        assert len(re.findall(r"FileScan parquet .*orders\.parquet", plan)) == READS[name]
 
     expected = duck.sql(oracle_sql()[name])
     assert sorted(df.columns) == sorted(expected.columns)
