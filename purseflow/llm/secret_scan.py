@@ -30,11 +30,19 @@ _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key",
 _RUN = re.compile(rb"[A-Za-z0-9+/_-]{20,}")
 
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_.-])")
+# The body may hold headers with dashes, but not five in a row.
 _PEM = re.compile(
-    r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([^-]{16,}?)-----END \1-----"
+    r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[^-]|-(?!----)){16,}?)-----END \1-----"
 )
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_-])")
 _LONG_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{2}){24,}(?![0-9A-Za-z])")
+# Encoded data over several lines, of which only the last may be short.
+_WRAPPED = re.compile(
+    r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{32,}\r?\n[ \t]*)+[A-Za-z0-9+/_-]+={0,2}(?![A-Za-z0-9+/=_-])"
+)
+_HEX_ONLY = re.compile(r"(?:[0-9a-fA-F]{2})+")
+# How often an encoding inside an encoding is followed.
+NESTED = 4
 
 
 def decode_base64(text: str) -> bytes | None:
@@ -138,19 +146,52 @@ def is_token(header: str, payload: str) -> bool:
     return all(isinstance(x, dict) for x in found) and isinstance(found[0].get("alg"), str)
 
 
-def confirmed_kind(data: bytes) -> str | None:
-    """What decoded bytes are: a private key, or text that itself holds a secret."""
+def decodings(text: str) -> Iterator[bytes]:
+    """What a text is as hex and as base64, if it is."""
+    if _HEX_ONLY.fullmatch(text):
+        yield bytes.fromhex(text)
+    data = decode_base64(text)
+    if data:
+        yield data
+
+
+def confirmed_kind(data: bytes, depth: int = 0) -> str | None:
+    """What decoded bytes are: a private key, text that itself holds a secret, or, as often as
+    NESTED, an encoding of one."""
     if is_private_der(data):
         return "der"
     if is_private_ssh(data):
         return "ssh"
-    if data and all(32 <= b < 127 or b in (9, 10, 13) for b in data):
-        inner = data.decode("ascii")
-        if any(base_spans(inner)[kind] for kind in ("assign", "access")):
-            return "encoded"
+    if not data or not all(32 <= b < 127 or b in (9, 10, 13) for b in data):
+        return None
+    inner = data.decode("ascii")
+    if any(base_spans(inner)[kind] for kind in ("assign", "access")) or armoured(inner):
+        return "encoded"
+    packed = "".join(inner.split())
+    if depth < NESTED and len(packed) >= 20:
+        for more in decodings(packed):
+            kind = confirmed_kind(more, depth + 1)
+            if kind:
+                return kind
     return None
 
 
+def armoured(text: str) -> list[tuple[int, int]]:
+    """Spans of armoured private keys whose body decodes to one.
+
+    An old-style encrypted body is no DER: its headers say so, and it is whole cipher blocks.
+    """
+    found = []
+    for m in _PEM.finditer(text):
+        lines = m[2].split("\n")
+        heads = [line for line in lines if ":" in line]
+        data = decode_base64("".join("".join(line.split()) for line in lines if ":" not in line))
+        locked = any("ENCRYPTED" in h for h in heads) and any(h.startswith("DEK-Info") for h in heads)
+        if data and (is_private_der(data) or is_private_ssh(data) or (locked and len(data) % 8 == 0)):
+            found.append(m.span())
+    return found
+
+
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans of the base patterns: leftmost, non-overlapping per kind, short ones dropped."""
     return {
@@ -163,12 +204,8 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 def structural_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans whose decoded contents were confirmed."""
     found = [("jwt", *m.span()) for m in _JWT.finditer(text) if is_token(m[1], m[2])]
-    for m in _PEM.finditer(text):
-        lines = [x for x in m[2].split() if ":" not in x and "," not in x]
-        data = decode_base64("".join(lines))
-        # An old-style encrypted body is no DER; its header says so.
-        if data and (is_private_der(data) or is_private_ssh(data) or "ENCRYPTED" in m[2]):
-            found.append(("pem", *m.span()))
+    keys = armoured(text)
+    found += [("pem", *span) for span in keys]
     for m in _LONG_HEX.finditer(text):
         kind = confirmed_kind(bytes.fromhex(m[0]))
         if kind:
@@ -178,6 +215,13 @@ def structural_spans(text: str) -> list[tuple[str, int, int]]:
         kind = confirmed_kind(data) if data else None
         if kind:
             found.append((kind, *m.span()))
+    for m in _WRAPPED.finditer(text):
+        if any(start <= m.start() and m.end() <= end for start, end in keys):
+            continue
+        kinds = (confirmed_kind(data) for data in decodings("".join(m[0].split())))
+        kind = next((k for k in kinds if k), None)
+        if kind:
+            found.append((kind, *m.span()))
     return found
 
 
@@ -206,8 +250,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row: id, n_assign, n_access, n_hex, base_sha256, spans.
 
     Base kinds are assignments, access keys and hex digits by pattern. The method adds signed
-    tokens (jwt), armoured private keys (pem), base64 or hex of a private key (der, ssh) and of a
-    text that holds a base secret (encoded); each only if its decoded structure fits. Spans are
+    tokens (jwt), armoured private keys (pem, encrypted ones by their headers), base64 or hex, on one
+    line or wrapped over several, of a private key (der, ssh) and of a text that holds a secret
+    (encoded), also encoded more than once; each only if its decoded structure fits. Spans are
     kind:start:end in code points, end exclusive, ordered by start, then kind as in KINDS.
     Null texts are empty; repeated rows each get their row; an empty table gives no rows.
     """

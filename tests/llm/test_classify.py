@@ -360,6 +360,52 @@ def test_broken_structures_are_not_reported():
     assert "jwt" not in scan_text(f"{head[:-3]}.{payload}.{sign}".encode())[4]
 
 
+def wrapped(data, width=64):
+    text = base64.b64encode(data).decode()
+    return "\n".join(text[i : i + width] for i in range(0, len(text), width))
+
+
+def locked_key(heads="Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"):
+    cipher = random.Random(1).randbytes(128)
+    return f"-----BEGIN RSA PRIVATE KEY-----\n{heads}{wrapped(cipher)}\n-----END RSA PRIVATE KEY-----"
+
+
+@pytest.mark.parametrize(
+    ("secret", "kind"),
+    [
+        (locked_key(), "pem"),
+        (wrapped(rsa_key()), "der"),
+        (wrapped(ssh_key(), 70).replace("\n", "\r\n  "), "ssh"),
+        ("\n".join(re.findall(".{1,64}", rsa_key().hex())), "der"),
+        (base64.b64encode(base64.b64encode(rsa_key())).decode(), "der"),
+        (base64.b64encode(base64.b64encode(b'x password = "hunter2222"')).decode(), "encoded"),
+        (base64.b64encode(rsa_key().hex().encode()).decode(), "der"),
+        (base64.b64encode(locked_key().encode()).decode(), "encoded"),
+    ],
+)
+def test_encodings_are_followed(secret, kind):
+    text = f"before é {secret} after"
+    spans = scan_text(text.encode())[4]
+    at = text.index(secret)
+    assert f"{kind}:{at}:{at + len(secret)}" in spans.split(","), spans
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        locked_key(heads="\n"),  # no header says that it is encrypted
+        locked_key().replace("DEK-Info", "Other"),
+        wrapped(random.Random(2).randbytes(300)),
+        base64.b64encode(base64.b64encode(random.Random(3).randbytes(60))).decode(),
+        "-----BEGIN RSA PRIVATE KEY-----" + "-" * 50_000,
+        ("A" * 40 + "\n") * 3000,
+    ],
+)
+def test_encodings_of_nothing_are_not_reported(text):
+    spans = [s for s in scan_text(text.encode())[4].split(",") if s]
+    assert all(s.split(":")[0] in ("assign", "access", "hex") for s in spans)
+
+
 def test_secret_edge_cases(messy, empty):
     assert scan_secrets(empty).count() == 0
     assert scan_secrets(messy).count() == messy.count()
