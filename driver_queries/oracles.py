@@ -1080,6 +1080,7 @@ Q["a14_report_page"] = union_all(
     ]
 )
 Q["j3_base_amounts_by_user"] = "select c.id, c.user_id, u.base_currency display_currency, c.amt from convb c join led_users u on u.id = c.user_id"
+Q["a13_overview_by_user"] = Q["a13_overview"]
 Q["j6_fund_status_by_user"] = Q["j6_fund_status"]
 
 _SEQ = "((user_id * 100 + category_id) * 10000 + year) * 1000 + month * 10"

@@ -659,6 +659,17 @@ def a13_overview(v: Views) -> DataFrame:
     return _overview(v).drop("categories")
 
 
+@query
+def a13_overview_by_user(v: Views) -> DataFrame:
+    """The overview out of tables that lie in the same buckets of the user."""
+    stored = _by_user(v)
+    year = l.filter_transactions(by_user.base_amounts(stored, v.matrix), "1998-01-01", "1998-12-31")
+    found = dashboards.user_summary(
+        stored.users, year, v.categories, _snapshots(v), v.matrix, chosen=True
+    )
+    return found.drop("categories")
+
+
 @query
 def a13_overview_categories(v: Views) -> DataFrame:
     return _overview(v).select("user_id", F.inline("categories"))
