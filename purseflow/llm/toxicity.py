@@ -13,7 +13,9 @@ from purseflow.llm.arrow import chunks, packed, texts
 from purseflow.llm.hashing import word_hashes
 from purseflow.llm.language_id import (
     _FOLD,
+    PART_BYTES,
     LanguageModel,
+    _parts,
     first_by_hash,
     fit as fit_languages,
     remainder,
@@ -37,14 +39,23 @@ RATE = 0.02
 # language must be among them for a threshold of its own.
 CALIBRATION_SHARE = 5
 CALIBRATION_TOXIC = 10
+# Words of a text that are convolved at once.
+PART_WORDS = 1 << 16
 _SEED = 40_009
 
 
 def hashed_words(text: bytes) -> np.ndarray:
     """A row of 16-bit hashes per word: two of the word, one of each of its beginnings.
 
-    Words are lower-cased runs of letters; a beginning is a number of bytes.
+    Words are lower-cased runs of letters; a beginning is a number of bytes. Long texts are hashed
+    in parts that are cut between words.
     """
+    if len(text) > PART_BYTES:
+        return np.concatenate([_hashed_part(part) for part in _parts(text)])
+    return _hashed_part(text)
+
+
+def _hashed_part(text: bytes) -> np.ndarray:
     whole, _, _, *heads = word_hashes(text.translate(_FOLD), HEADS)
     high = [h >> np.uint64(64 - HASH_BITS) for h in (whole, *heads)]
     second = (whole >> np.uint64(64 - 2 * HASH_BITS)) & np.uint64((1 << HASH_BITS) - 1)
@@ -70,8 +81,9 @@ class Network:
             0.0,
         )
 
-    def embed(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Embeddings of all words, each document followed by zero rows; its first row; each row's word."""
+    def embed(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Embeddings of all words, each document followed by zero rows; its first row; each row's
+        word; and the rows at which a window would reach into the next document."""
         pad = max(WIDTHS) - 1
         sizes = np.array([len(d) for d in docs]) + pad + 1
         starts = np.cumsum(sizes) - sizes
@@ -84,23 +96,54 @@ class Network:
         values[rows] = total
         word = np.full(len(values), -1, dtype=np.int64)
         word[rows] = np.arange(len(words))
-        return values, starts, word
+        ends = starts + sizes
+        return values, starts, word, (ends[:, None] - np.arange(1, pad + 1)).ravel()
 
-    def convolve(self, values: np.ndarray, at: int) -> np.ndarray:
-        """Filter outputs of one width at every row."""
+    def convolve(self, values: np.ndarray, at: int, over: np.ndarray | None = None) -> np.ndarray:
+        """Filter outputs of one width at every row; 0, as of zero rows, at the rows ``over``.
+
+        Scores leave out windows that reach into the next document. Training takes them along: its
+        batches are shuffled, so they are noise.
+        """
         width, n = WIDTHS[at], len(values) - max(WIDTHS) + 1
         out = values[:n] @ self.kernels[at][0]
         for step in range(1, width):
             out += values[step : step + n] @ self.kernels[at][step]
+        if over is not None:
+            out[over] = 0
         return out
 
-    def logits(self, docs: list[np.ndarray]) -> np.ndarray:
-        values, starts, _ = self.embed(docs)
-        features = [
-            np.maximum(np.maximum.reduceat(self.convolve(values, k), starts, axis=0) + self.biases[k], 0)
+    def pooled(self, docs: list[np.ndarray]) -> np.ndarray:
+        """The largest output of every filter over each document."""
+        values, starts, _, over = self.embed(docs)
+        found = [
+            np.maximum.reduceat(self.convolve(values, k, over), starts, axis=0)
             for k in range(len(WIDTHS))
         ]
-        return np.concatenate(features, axis=1).astype(np.float64) @ self.weights + self.bias
+        return np.concatenate(found, axis=1)
+
+    def pooled_long(self, words: np.ndarray) -> np.ndarray:
+        """The same for one long document: parts that overlap by the widest window, merged by
+        maximum, which pooling allows."""
+        pad, best = max(WIDTHS) - 1, None
+        for at in range(0, len(words), PART_WORDS):
+            last = at + PART_WORDS >= len(words)
+            values, _, _, over = self.embed([words[at : at + PART_WORDS + pad]])
+            # Windows that begin in the part; those over its end belong to the last part alone.
+            rows = slice(None) if last else slice(PART_WORDS)
+            found = np.concatenate(
+                [self.convolve(values, k, over)[rows].max(axis=0) for k in range(len(WIDTHS))]
+            )
+            best = found if best is None else np.maximum(best, found)
+        return best
+
+    def logits(self, docs: list[np.ndarray]) -> np.ndarray:
+        long = {i for i, d in enumerate(docs) if len(d) > PART_WORDS}
+        pooled = self.pooled([d[:0] if i in long else d for i, d in enumerate(docs)])
+        for i in long:
+            pooled[i] = self.pooled_long(docs[i])
+        features = np.maximum(pooled + np.concatenate(self.biases), 0)
+        return features.astype(np.float64) @ self.weights + self.bias
 
 
 class _Adam:
@@ -128,7 +171,7 @@ def train(docs: list[np.ndarray], toxic: np.ndarray, epochs: int = EPOCHS) -> Ne
         order = rng.permutation(len(docs))
         for s in range(0, len(order), BATCH):
             chosen = order[s : s + BATCH]
-            values, starts, word = net.embed([docs[i] for i in chosen])
+            values, starts, word, _ = net.embed([docs[i] for i in chosen])
             ends = np.append(starts[1:], len(values) - max(WIDTHS) + 1)
             features, peaks = [], []
             for k in range(len(WIDTHS)):
@@ -201,13 +244,20 @@ class ToxicityModel:
 
 def guess_languages(model: LanguageModel, bodies: list[bytes]) -> list[str]:
     """The likeliest single language of each text, "" if there is nothing to tell."""
-    scores, doc = word_scores(model, bodies)
     found = [""] * len(bodies)
-    if len(scores) and model.languages:
+    if not model.languages:
+        return found
+    scores, doc = word_scores(model, [b"" if len(b) > PART_BYTES else b for b in bodies])
+    if len(scores):
         present, starts = np.unique(doc, return_index=True)
         best = np.add.reduceat(scores, starts, axis=0).argmax(axis=1)
         for i, k in zip(present.tolist(), best.tolist()):
             found[i] = model.languages[k]
+    for i, body in enumerate(bodies):
+        if len(body) > PART_BYTES:
+            totals = [word_scores(model, [part])[0].sum(axis=0) for part in _parts(body)]
+            total = np.sum(totals, axis=0)
+            found[i] = model.languages[int(total.argmax())] if total.any() else ""
     return found
 
 
@@ -259,7 +309,10 @@ def learn(
         .join(F.broadcast(chosen), "id")
         .select("id", F.col("toxic").cast("int").alias("toxic"), "text")
         .mapInArrow(hashes, "id long, toxic int, words binary, looks string")
-        .dropDuplicates(["id"])
+        # Of several texts of an id the least by its hashes, whatever the order of rows.
+        .groupBy("id")
+        .agg(F.min(F.struct("toxic", "words", "looks")).alias("row"))
+        .select("id", "row.*")
         .toArrow()
         .sort_by("id")
     )

@@ -176,6 +176,69 @@ def test_toxicity_edge_cases(messy, empty, spark):
     assert toxicity.score_documents(empty, labels).count() == 0
 
 
+def random_network(seed=5):
+    rng = np.random.default_rng(seed)
+    net = toxicity.Network.start(rng)
+    net.biases = [rng.standard_normal(toxicity.FILTERS).astype(np.float32) * 0.1 for _ in toxicity.WIDTHS]
+    net.bias = 0.25
+    return net
+
+
+def logit_by_definition(net, words):
+    """Every window of every width, one filter at a time; zeros follow the last word."""
+    pad = max(toxicity.WIDTHS)
+    rows = [sum(net.rows[k][int(w[k])] for k in range(toxicity.TABLES)) for w in words]
+    rows += [np.zeros(toxicity.DIMENSIONS)] * 2 * pad
+    total, at = net.bias, 0
+    for kernel, bias, width in zip(net.kernels, net.biases, toxicity.WIDTHS):
+        for f in range(toxicity.FILTERS):
+            outputs = [
+                sum(rows[i + j] @ kernel[j][:, f] for j in range(width)) for i in range(len(words) + pad)
+            ]
+            total += max(max(outputs) + bias[f], 0) * net.weights[at]
+            at += 1
+    return total
+
+
+def test_network_by_definition():
+    net = random_network()
+    texts_ = [b"", b"one", b"some words of a text", b"a longer one " * 5]
+    docs = [toxicity.hashed_words(t) for t in texts_]
+    expected = [logit_by_definition(net, d) for d in docs]
+    np.testing.assert_allclose(net.logits(docs), expected, atol=1e-4)
+
+
+def test_long_texts_are_scored_in_parts(monkeypatch):
+    """Parts that overlap by a window and merge by maximum give the whole text's score."""
+    net, rng = random_network(), random.Random(3)
+    bodies = [" ".join(f"{rng.choice('abcdef')}{rng.choice('xyz') * rng.randrange(6)}" for _ in range(n)).encode()
+              for n in (3, 64, 65, 66, 67, 500, 1000)]
+    docs = [toxicity.hashed_words(b) for b in bodies]
+    whole = net.logits(docs)
+    monkeypatch.setattr(toxicity, "PART_WORDS", 64)
+    np.testing.assert_allclose(net.logits(docs), whole, atol=1e-5)
+    model, words = small_model()
+    guessed = toxicity.guess_languages(model, [b" ".join(words[2]), b" ".join(words[0])])
+    monkeypatch.setattr(language_id, "PART_BYTES", 100)
+    monkeypatch.setattr(toxicity, "PART_BYTES", 100)
+    for body, doc in zip(bodies, docs):
+        np.testing.assert_array_equal(toxicity.hashed_words(body), doc)
+    long = [b" ".join(words[2]) * 3, b" ".join(words[0]) * 3]
+    assert toxicity.guess_languages(model, long) == guessed == ["l2", "l0"]
+
+
+def test_repeated_ids_train_alike(spark):
+    """An id with several texts is learned from one of them, whatever the order of rows."""
+    rows = [(i, f"{'vile' if i % 2 else 'kind'} words {i % 7} {k}", "en", "a") for i in range(80) for k in (1, 2)]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(80)], "doc_id long, quality int, toxic int")
+    scores = [
+        sorted_rows(toxicity.score_documents(corpus(spark, r).repartition(n), labels), "doc_id", "score")
+        for r, n in ((rows, 2), (rows[::-1], 5))
+    ]
+    assert [i for i, _ in scores[0]] == [i for i, _ in scores[1]]
+    np.testing.assert_allclose([x for _, x in scores[0]], [x for _, x in scores[1]], atol=1e-5)
+
+
 def test_threshold_is_in_the_widest_gap():
     logits = np.array([-3.0, -1.0, 2.0, 2.5])
     assert toxicity.best_threshold(logits, np.array([0, 0, 1, 1])) == 0.5
