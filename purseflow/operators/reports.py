@@ -13,7 +13,7 @@ from purseflow.functions.periods import (
     month_start,
 )
 from purseflow.operators.ledger import filter_transactions, with_category, with_category_name
-from purseflow.operators.skew import top_k
+from purseflow.operators.skew import dealt, top_k
 from purseflow.schemas import INBOUND, OUTBOUND
 
 TOP_CATEGORIES = 5
@@ -76,7 +76,8 @@ def monthly_expense_by_category(
     """Dense (user, category, month) expense grid over the last months with expenses.
 
     The month list of a user (at most 36) rides along as an array and is unfolded per category,
-    so no pair join is needed and everything after the first exchange stays on ``user_id``.
+    so no pair join is needed and everything after one exchange stays on ``user_id``. That exchange
+    sizes its tasks by rows, as each row may become a few dozen.
     """
     _check_months(months)
     spent = (
@@ -85,7 +86,8 @@ def monthly_expense_by_category(
         .agg(money_sum(F.col("amt")).alias("_value"))
     )
     newest = Window.partitionBy("user_id").orderBy(F.desc("_month"))
-    kept = spent.withColumn("_age", F.dense_rank().over(newest)).filter(F.col("_age") <= months)
+    by_user = dealt(spent, ["user_id"], "monthly-expenses")
+    kept = by_user.withColumn("_age", F.dense_rank().over(newest)).filter(F.col("_age") <= months)
     user = Window.partitionBy("user_id")
     listed = kept.withColumn("_months", F.array_sort(F.collect_set("_month").over(user)))
     rows = (

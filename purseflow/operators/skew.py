@@ -9,10 +9,14 @@ from weakref import WeakKeyDictionary
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from purseflow.session import staged
+
 # Narrow tables with more rows than this are joined by shuffle instead of broadcast.
 MAX_BROADCAST_KEYS = 200_000
 # Largest k that Spark's own window group limit prunes before the shuffle.
 GROUP_LIMIT_K = 1000
+# Rows of a task whose rows grow many times longer or more after the exchange.
+ROWS_PER_TASK = 50_000
 # A key on more than this share of the rows is surely among a frequency sketch's entries.
 FREQUENT = 1 / 128
 
@@ -37,6 +41,18 @@ def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
     return _counted[df] <= most
 
 
+def dealt(df: DataFrame, keys: Sequence[str], label: str, rows: int | None = None) -> DataFrame:
+    """Rows, staged and dealt by key to tasks of about ``rows`` rows each.
+
+    For steps that unfold rows in the same stage: adaptive execution sizes that stage's tasks by
+    the bytes it reads, so that they would hold ever more of the unfolded rows.
+    """
+    kept = staged(df, label)
+    most = ROWS_PER_TASK if rows is None else rows
+    number = max(kept.sparkSession.sparkContext.defaultParallelism, -(-kept.count() // most))
+    return kept.repartition(number, *keys)
+
+
 def frequent_hashes(df: DataFrame, keys: Sequence[str], share: float = FREQUENT) -> list[int]:
     """Hashes of the keys that may hold more than a share of the rows, at most 1 / share of them.
 

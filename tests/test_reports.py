@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import CATEGORIES, dec, transactions
 from purseflow.functions import money as m
-from purseflow.operators import fx, insights, reports as r
+from purseflow.operators import fx, insights, reports as r, skew
 from purseflow.plans import dashboards
 from test_payroll import profiles
 from purseflow.operators.payroll import profile_snapshot
@@ -55,6 +55,19 @@ def test_top_plus_other_adds_up(usd, categories):
     assert {x.label for x in r.top_plus_other(grid, 9).collect()}.isdisjoint({"Other"})
 
 
+def test_unfolded_grid_is_dealt_by_rows(spark, matrix, categories, monkeypatch):
+    # 180 pairs of a user's category and month are a few KB, which Spark would merge into one task.
+    rows = [
+        (i, i % 30, 4 + i % 2, 10, date(2026, 1 + i // 60, 5), None) for i in range(180)
+    ]
+    converted = fx.to_display(transactions(spark, rows), matrix, "USD")
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 10, raising=False)
+    top = r.top_plus_other(r.monthly_expense_by_category(converted, categories, 36), 1)
+    assert top._jdf.queryExecution().toRdd().getNumPartitions() >= 9
+    found = {(x.user_id, x.month, x.label != "Other"): x.value for x in top.collect()}
+    assert len(found) == top.count() and sum(found.values()) == 1800
+
+
 def test_balance_equals_cash_flow(usd):
     days = r.running_balance(usd).orderBy("occurred_on").collect()
     running = 0
