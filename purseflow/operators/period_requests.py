@@ -15,7 +15,7 @@ from purseflow.operators.budgets import KEY, UNKNOWN, budget_span
 from purseflow.operators.fx import convert
 from purseflow.operators.ledger import filter_transactions, with_category_name
 from purseflow.operators.reports import daily_totals
-from purseflow.operators.skew import lookup_join
+from purseflow.operators.skew import is_small, lookup_join
 from purseflow.schemas import MONTH_COLUMN, OUTBOUND, SCOPES
 from purseflow.session import staged
 
@@ -89,7 +89,8 @@ def in_asked_months(tx: DataFrame, periods: DataFrame) -> DataFrame:
     """
     last = F.add_months("period_end", -1)
     every = F.explode(F.sequence("period_start", last, F.expr("interval 1 month")))
-    months = [r[0] for r in periods.select(every.alias("m")).distinct().collect()]
+    spans = periods.select("period_start", "period_end").distinct()
+    months = [r[0] for r in spans.select(every.alias("m")).distinct().collect()]
     held = F.col(MONTH_COLUMN) if MONTH_COLUMN in tx.columns else F.trunc("occurred_on", "month")
     return tx.filter(held.isin(*months) if months else F.lit(False))
 
@@ -127,10 +128,14 @@ def spend_asked(limits: DataFrame, tx: DataFrame, matrix: DataFrame) -> DataFram
         ),
         "asked-pairs",
     )
-    expenses = in_asked_months(filter_transactions(tx, direction=OUTBOUND), limits)
+    held = in_asked_months(filter_transactions(tx, direction=OUTBOUND), limits)
+    expenses = held.select(*KEY, "amount", "currency", "occurred_on")
+    if not is_small(asked):
+        # Then the join reads them three times: for its sketch, its frequent and its other keys.
+        expenses = staged(expenses, "asked-expenses")
     day = F.col("occurred_on")
     rows = (
-        lookup_join(expenses.select(*KEY, "amount", "currency", "occurred_on"), asked, KEY, "inner")
+        lookup_join(expenses, asked, KEY, "inner")
         .filter((day >= F.col("_first")) & (day < F.col("_last")))
         .withColumn("target", F.explode("_currencies"))
     )

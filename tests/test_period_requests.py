@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import BUDGETS, dec, transactions
-from purseflow.operators import balances, budgets as b, fx, period_requests as asked
+from purseflow.operators import balances, budgets as b, fx, period_requests as asked, skew
 from purseflow.schemas import SCOPES
 from purseflow.sources import tables
 
@@ -71,6 +71,21 @@ def test_status_equals_one_anchor_at_a_time(year, limits, requests, categories,
     assert total == found.count() > 20
 
 
+def test_spend_of_many_pairs_reads_transactions_once(spark, tmp_path, year, limits, requests, matrix, monkeypatch):
+    year.write.parquet(f"{tmp_path}/ledger")
+    tx = spark.read.schema(year.schema).parquet(f"{tmp_path}/ledger")
+    periods = asked.asked_periods(requests, limits)
+    wanted = asked.limits_asked(periods, limits, matrix)
+    few = asked.spend_asked(wanted, tx, matrix)
+    monkeypatch.setattr(skew, "MAX_BROADCAST_KEYS", 1)
+    many = asked.spend_asked(wanted, tx, matrix)
+    # Staged once; the join would read it for frequent and for other keys.
+    reads = lambda df: df._jdf.queryExecution().executedPlan().toString().count(f"{tmp_path}/ledger")
+    assert reads(few) == 1 and reads(many) == 0
+    same_rows(many, few, few.columns)
+    assert few.count() > 5
+
+
 def test_funds_and_balances_equal_one_anchor_at_a_time(spark, year, limits, requests, users, matrix):
     good, _ = asked.checked_requests(requests)
     overrides = spark.createDataFrame(
