@@ -697,8 +697,9 @@ def a14_report_page(v: Views) -> DataFrame:
     daily = rollup.daily_rollup(usd(v))
     monthly = rollup.monthly_rollup(daily)
     by_category = r.per_category_totals(monthly, v.categories)
-    grid = r.monthly_expense_by_category(monthly, v.categories, 6)
-    top = r.top_plus_other(r.monthly_expense_by_category(monthly, v.categories, 36))
+    shared = r.monthly_expenses(monthly)
+    grid = r.monthly_expense_by_category(monthly, v.categories, 6, shared)
+    top = r.top_plus_other(r.monthly_expense_by_category(monthly, v.categories, 36, shared))
     start, end = p.time_range_bounds("ytd", ANCHOR)
     spent = r.totals(l.filter_transactions(daily, start, end))
     burn = F.round(r.burn_rate(F.col("total_expense"), start, end)["per_month"], 2)

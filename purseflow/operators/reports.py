@@ -70,23 +70,31 @@ def monthly_totals(converted: DataFrame, months: int = 6) -> DataFrame:
     )
 
 
-def monthly_expense_by_category(
-    converted: DataFrame, categories: DataFrame, months: int = 6
-) -> DataFrame:
-    """Dense (user, category, month) expense grid over the last months with expenses.
+def monthly_expenses(converted: DataFrame) -> DataFrame:
+    """Expense per user, category and month, staged and dealt by user for the grids.
 
-    The month list of a user (at most 36) rides along as an array and is unfolded per category,
-    so no pair join is needed and everything after one exchange stays on ``user_id``. That exchange
-    sizes its tasks by rows, as each row may become a few dozen.
+    The exchange sizes its tasks by rows, as a grid may make a few dozen of each.
     """
-    _check_months(months)
     spent = (
         filter_transactions(converted, direction=OUTBOUND)
         .groupBy("user_id", "category_id", month_start(F.col("occurred_on")).alias("_month"))
         .agg(money_sum(F.col("amt")).alias("_value"))
     )
+    return dealt(spent, ["user_id"], "monthly-expenses")
+
+
+def monthly_expense_by_category(
+    converted: DataFrame, categories: DataFrame, months: int = 6, spent: DataFrame | None = None
+) -> DataFrame:
+    """Dense (user, category, month) expense grid over the last months with expenses.
+
+    The month list of a user (at most 36) rides along as an array and is unfolded per category,
+    so no pair join is needed and everything after one exchange stays on ``user_id``. Grids of the
+    same rows may share their ``spent``, the ``monthly_expenses``.
+    """
+    _check_months(months)
     newest = Window.partitionBy("user_id").orderBy(F.desc("_month"))
-    by_user = dealt(spent, ["user_id"], "monthly-expenses")
+    by_user = monthly_expenses(converted) if spent is None else spent
     kept = by_user.withColumn("_age", F.dense_rank().over(newest)).filter(F.col("_age") <= months)
     user = Window.partitionBy("user_id")
     listed = kept.withColumn("_months", F.array_sort(F.collect_set("_month").over(user)))

@@ -15,7 +15,8 @@ from purseflow.session import staged
 MAX_BROADCAST_KEYS = 200_000
 # Largest k that Spark's own window group limit prunes before the shuffle.
 GROUP_LIMIT_K = 1000
-# Rows of a task whose rows grow many times longer or more after the exchange.
+# Rows of a task whose rows grow many times longer or more after the exchange, or that keeps
+# several tables of them.
 ROWS_PER_TASK = 50_000
 # A key on more than this share of the rows is surely among a frequency sketch's entries.
 FREQUENT = 1 / 128
@@ -44,13 +45,17 @@ def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
 def dealt(df: DataFrame, keys: Sequence[str], label: str, rows: int | None = None) -> DataFrame:
     """Rows, staged and dealt by key to tasks of about ``rows`` rows each.
 
-    For steps that unfold rows in the same stage: adaptive execution sizes that stage's tasks by
-    the bytes it reads, so that they would hold ever more of the unfolded rows.
+    For steps that unfold rows, or keep several tables of them, in the same stage: adaptive
+    execution sizes that stage's tasks by the bytes it reads, so that they would hold ever more.
     """
-    kept = staged(df, label)
+    return dealt_stored(staged(df, label), keys, rows)
+
+
+def dealt_stored(stored: DataFrame, keys: Sequence[str], rows: int | None = None) -> DataFrame:
+    """The same for a table that is stored already, whose count is read off its files."""
     most = ROWS_PER_TASK if rows is None else rows
-    number = max(kept.sparkSession.sparkContext.defaultParallelism, -(-kept.count() // most))
-    return kept.repartition(number, *keys)
+    number = max(stored.sparkSession.sparkContext.defaultParallelism, -(-stored.count() // most))
+    return stored.repartition(number, *keys)
 
 
 def frequent_hashes(df: DataFrame, keys: Sequence[str], share: float = FREQUENT) -> list[int]:

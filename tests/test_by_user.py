@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from purseflow.operators import fx, reports as r, rollup
+from purseflow.operators import fx, reports as r, rollup, skew
 from purseflow.operators.ledger import filter_transactions
 from purseflow.sources import by_user
 
@@ -91,6 +91,22 @@ def test_reports_of_the_rollup_equal_those_of_the_rows(crowd, categories, matrix
         assert same(report(rows), report(daily))
 
 
+def test_rollups_are_dealt_by_rows(crowd, matrix, monkeypatch):
+    # 1200 rows are a few KB, which Spark would merge into one task, and so into one file.
+    _, tx = crowd
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 60)
+    rows = fx.to_display(tx, matrix, "EUR")
+    daily = rollup.daily_rollup(rows)
+    monthly = rollup.monthly_rollup(daily)
+    per_file = lambda df: [x["count"] for x in df.groupBy(F.input_file_name()).count().collect()]
+    for df in (daily, monthly):
+        assert len(per_file(df)) >= 8 and max(per_file(df)) < 200
+    plain = rows.groupBy("user_id", "category_id", "direction").agg(F.sum("amt"), F.min("id"), F.count("id"))
+    summed = lambda df: df.groupBy("user_id", "category_id", "direction").agg(F.sum("amt"), F.min("id"), F.sum("entries"))
+    found = lambda df: sorted(map(tuple, df.collect()))
+    assert found(summed(daily)) == found(summed(monthly)) == found(plain)
+
+
 def test_empty_tables(spark, crowd, matrix, categories, tmp_path):
     users, tx = crowd
     stored = by_user.save_by_user(spark, users.limit(0), tx.limit(0), 2, str(tmp_path / "e"))
